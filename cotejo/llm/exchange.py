@@ -17,6 +17,30 @@ PACK_SCHEMA = "bucket int, pack binary, known binary"
 GATHER = 1 << 20
 
 
+def encode(entries: np.ndarray) -> bytes:
+    """Byte planes of each field; those of sorted keys and of small numbers compress well."""
+    if not len(entries):
+        return b""
+    return b"".join(np.ascontiguousarray(entries[f]).view(np.uint8).reshape(len(entries), -1).T.tobytes() for f in entries.dtype.names)
+
+
+def decode(pack: bytes, dtype: np.dtype) -> np.ndarray:
+    n, at = len(pack) // dtype.itemsize, 0
+    out = np.empty(n, dtype)
+    for f in dtype.names:
+        width = dtype[f].itemsize
+        planes = np.frombuffer(pack, np.uint8, n * width, at).reshape(width, n)
+        out[f] = np.ascontiguousarray(planes.T).view(dtype[f]).reshape(n)
+        at += n * width
+    return out
+
+
+def read_packs(table: pa.Table, column: str, dtype: np.dtype) -> np.ndarray:
+    """All entries in a column of packs, in order of their first two fields."""
+    entries = np.concatenate([np.empty(0, dtype), *(decode(x.as_py(), dtype) for x in table.column(column) if x.is_valid)])
+    return entries[np.lexsort([entries[f] for f in reversed(dtype.names[:2])])]
+
+
 class Packer:
     """Gathers entries of a structured dtype whose first field is `key`, and makes packs of them.
 
@@ -53,8 +77,8 @@ class Packer:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(some, pa.int32()),
-                pa.array([send[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                pa.array([known[known_cut[b] : known_cut[b + 1]].tobytes() for b in some], pa.binary()),
+                pa.array([encode(send[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
+                pa.array([encode(known[known_cut[b] : known_cut[b + 1]]) for b in some], pa.binary()),
             ],
             names=["bucket", "pack", "known"],
         )
@@ -67,12 +91,16 @@ def groups_of(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 
 
-def compare(packs: DataFrame, dtype: np.dtype, outcome: Callable[[np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """outcome(entries in order of their first two fields, known entries) for each range of keys."""
+def lists_by(owner: np.ndarray, values: np.ndarray, kind: pa.DataType, names: list[str]) -> pa.Table:
+    """A row for each owner, with the list of its values."""
+    order = np.argsort(owner, kind="stable")
+    owner, values = owner[order], values[order]
+    cut = groups_of(owner)
+    heads = owner[cut[:-1]] if len(owner) else owner
+    lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values, kind))
+    return pa.table([pa.array(heads, pa.int64()), lists], names=names)
 
-    def of_bucket(table: pa.Table) -> pa.Table:
-        read = lambda name: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), dtype)
-        entries = read("pack")
-        return outcome(entries[np.lexsort([entries[x] for x in reversed(dtype.names[:2])])], read("known"))
 
-    return packs.groupBy("bucket").applyInArrow(of_bucket, schema)
+def compare(packs: DataFrame, dtype: np.dtype, outcome: Callable[[np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """outcome(entries in order of their first two fields, known entries) for each range of keys."""
+    return packs.groupBy("bucket").applyInArrow(lambda t: outcome(read_packs(t, "pack", dtype), read_packs(t, "known", dtype)), schema)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
-from cotejo.llm.exchange import PACK_SCHEMA, Packer, groups_of
+from cotejo.llm.exchange import PACK_SCHEMA, Packer, groups_of, read_packs
 from cotejo.llm.graph import connected_components
 from cotejo.llm.shared import durable, partitions
 
@@ -141,9 +141,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def outcome(table: pa.Table) -> pa.Table:
         own = table.filter(table.column("n").is_valid())
         packed = table.filter(table.column("pack").is_valid())
-        read = lambda name: np.frombuffer(b"".join(x.as_py() for x in packed.column(name)), _ENTRY)
-        entries = read("pack")
-        found = _shared_counts(entries[np.lexsort((entries["set"], entries["key"]))], read("known"))
+        found = _shared_counts(read_packs(packed, "pack", _ENTRY), read_packs(packed, "known", _ENTRY))
         return pa.concat_tables([found, pa.table([own["set"].combine_chunks(), pa.nulls(own.num_rows, pa.int64()), own["doc_id"].combine_chunks(), own["n"].combine_chunks()], names=found.schema.names)])
 
     info = durable(seen.groupBy("bucket").applyInArrow(outcome, _INFO_SCHEMA), "shingle-info")
