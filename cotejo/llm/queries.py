@@ -2,7 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cotejo.llm import mixing, warc
+from cotejo.llm.decontaminate import benchmark_leaks
 from cotejo.llm.jaccard import near_duplicate_sets
+from cotejo.llm.repeats import remove_repeated_passages
+from cotejo.llm.suffixes import remove_repeated_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,5 +17,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_sets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_substring_dedup, op4_mixing_sources, op5_benchmark_decontamination, op6_warc_zip_archives, op10_suffix_array_dedup)}
+ORACLES: dict[str, str] = {"op4_mixing_sources": mixing.ORACLE, "op6_warc_zip_archives": warc.ORACLE}
