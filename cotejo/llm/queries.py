@@ -5,8 +5,12 @@ from pyspark.sql import DataFrame, SparkSession
 from cotejo.llm import mixing, warc
 from cotejo.llm.decontaminate import benchmark_leaks
 from cotejo.llm.jaccard import near_duplicate_sets
+from cotejo.llm.languages import identify_languages
+from cotejo.llm.licenses import scan_licenses
+from cotejo.llm.quality import quality_rules
 from cotejo.llm.repeats import remove_repeated_passages
 from cotejo.llm.suffixes import remove_repeated_bytes
+from cotejo.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_sets(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -34,9 +42,21 @@ def op6_warc_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_substring_dedup, op4_mixing_sources, op5_benchmark_decontamination, op6_warc_zip_archives, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_substring_dedup, op4_mixing_sources, op5_benchmark_decontamination, op6_warc_zip_archives, op7_language_id, op8_license_scans, op9_toxicity, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {"op4_mixing_sources": mixing.ORACLE, "op6_warc_zip_archives": warc.ORACLE}
