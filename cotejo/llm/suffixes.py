@@ -123,8 +123,8 @@ def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
     """Removes every byte of the UTF-8 texts that a string of `length` bytes covers which also starts anywhere else.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept_bytes
-    (null where nothing was removed).
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept_text
+    (null where nothing was removed; code points cut by a border are left out).
 
     1. Candidates: of the hashes of 40 bytes inside every `length` bytes the least is a
        fingerprint (winnowing), chosen by content alone, so a repeated string has one that
@@ -247,11 +247,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     count.append(int((~stay & np.concatenate(([True], stay[:-1]))).sum()))
                     shas.append(hashlib.sha256(rest).hexdigest())
                     if keep_text:
-                        left.append(rest)
+                        left.append(rest.decode("utf-8", "ignore"))
             columns = [batch.column(0), pa.array(less, pa.int64()), pa.array(count, pa.int64()), pa.array(shas)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(left if keep_text else [None] * len(less), pa.binary())], names=["doc_id", "less", "spans", "left_sha", "left_bytes"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(left if keep_text else [None] * len(less), pa.string())], names=["doc_id", "less", "spans", "left_sha", "left_text"])
 
-    changed = some.select("doc_id", "text").join(spans, "doc_id").mapInArrow(kept, "doc_id long, less long, spans long, left_sha string, left_bytes binary")
+    changed = some.select("doc_id", "text").join(spans, "doc_id").mapInArrow(kept, "doc_id long, less long, spans long, left_sha string, left_text string")
     whole = info.join(first_of, "sha", "left").join(changed, "doc_id", "left")
     copy = (F.col("copies") > 1) & (F.col("size") >= length)
     result = whole.select(
@@ -260,9 +260,9 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.when(copy, F.col("size")).otherwise(F.coalesce("less", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
-        F.when(copy, F.lit(b"")).otherwise(F.col("left_bytes")).alias("kept_bytes"),
+        F.when(copy, F.lit("")).otherwise(F.col("left_text")).alias("kept_text"),
     )
-    return result if keep_text else result.drop("kept_bytes")
+    return result if keep_text else result.drop("kept_text")
 
 
 def _settle(regions: list, length: int, packer: Packer):
