@@ -17,10 +17,12 @@ TRAIN_DOCS, TRAIN_BYTES = 1500, 20_000
 WINDOW_WORDS = 8
 ORDINARY_BYTES, MOST_FRAGMENTS = 12_000, 256
 #: Of the evidence that the strongest fragment gives for toxic text, the least part that another must give.
-LEAST_EVIDENCE = 0.15
+LEAST_EVIDENCE = 0.1
+#: Letters of a word's beginning that can be a fragment, besides whole words.
+BEGINNINGS = (5, 6, 7, 8)
 CUT = 0.3
-#: Bytes that a window saves at least where the saving is clear; numbers that features() gives.
-CLEAR, FEATURES = 3, 3
+#: Bytes that a window saves at least where the saving is clear, the most that count of one window, and numbers that features() gives.
+CLEAR, MOST_SAVED, FEATURES = 2, 8, 4
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class ToxicityModel:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, compressors) -> np.ndarray:
-    """For each text: the largest saving of the toxic dictionary in a window, the sum of clear savings (bounded), and the log of the number of windows."""
+    """For each text: the largest saving of the toxic dictionary in a window, and logs of the sum of clear savings, of their number and of the number of windows."""
     ordinary, toxic = (c.compress for c in compressors)
     starts, ends, first = K.spans(~K.SPACE[data], offsets)
     joined, cuts = K.joined_words(K.LOWER[data], starts, ends, first)
@@ -49,35 +51,58 @@ def features(data: np.ndarray, offsets: np.ndarray, compressors) -> np.ndarray:
     for r in range(len(out)):
         saved = []
         for a in range(first[r], first[r + 1], WINDOW_WORDS):
-            window = b" " + raw[at[a] : at[min(a + WINDOW_WORDS, first[r + 1])]]
+            window = b" " + raw[at[a] : at[min(a + WINDOW_WORDS, first[r + 1])]]  # words end in a blank each
             saved.append(len(ordinary(window)) - len(toxic(window)))
         if saved:
             s = np.array(saved)
-            out[r] = max(0, s.max()), min(int(s[s >= CLEAR].sum()), 40), np.log1p(len(s))
+            clear = s[s >= CLEAR]
+            out[r] = min(max(0, s.max()), MOST_SAVED), np.log1p(clear.sum()), np.log1p(len(clear)), np.log1p(len(s))
     return out
 
 
+def fragments_of(text: bytes) -> Counter:
+    """Whole words and word beginnings of a text, each with the blank before it, and how often they stand."""
+    found: Counter = Counter()
+    for word in text.split():
+        found[b" " + word + b" "] += 1
+        letters = word.decode("utf-8", "replace")
+        for n in BEGINNINGS:
+            if len(letters) > n:
+                found[b" " + letters[:n].encode()] += 1
+    return found
+
+
+def evidence_of(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
+    """Share in the log likelihood ratio of each fragment that three toxic texts have, by texts that have it at all or, if that tells more, twice."""
+    evidence: dict[bytes, float] = {}
+    counted = [[fragments_of(t) for t in texts] for texts in (toxic, ordinary)]
+    for least in (1, 2):
+        has, lacks = (Counter(f for c in texts for f, n in c.items() if n >= least) for texts in counted)
+        for f, n in has.items():
+            if n >= 3 and len(f) > 4:
+                e = n * float(np.log((n / len(toxic)) / ((lacks[f] + 0.5) / (len(ordinary) + 1))))
+                evidence[f] = max(evidence.get(f, 0.0), e)
+    return evidence
+
+
 def learn(toxic: list[bytes], ordinary: list[bytes]) -> ToxicityModel:
     """Dictionaries and calibration from lower-cased texts of both kinds.
 
-    The toxic dictionary holds the words that toxic documents have and ordinary ones lack,
-    strongest last (by their share of the log likelihood ratio of document counts); the ordinary one lines spread evenly over ordinary texts.
+    The toxic dictionary holds the fragments that tell toxic documents from ordinary ones,
+    strongest last; the ordinary one lines spread evenly over ordinary texts that hold none of them.
     """
-    toxic, ordinary = [x.split() for x in toxic], [x.split(b"\n") for x in ordinary]
-    lines = sorted({line for text in ordinary for line in text}, key=lambda x: (hash_of(x), x))
+    evidence = evidence_of(toxic, ordinary)
+    best = max(evidence.values(), default=0)
+    fragments = sorted((f for f, e in evidence.items() if e >= LEAST_EVIDENCE * best > 0), key=lambda f: (evidence[f], f))[-MOST_FRAGMENTS:]
     size, taken = 0, []
-    for line in lines:
+    for line in sorted({line for text in ordinary for line in text.split(b"\n")}, key=lambda x: (hash_of(x), x)):
         if size >= ORDINARY_BYTES:
             break
-        taken.append(line[:400])
-        size += len(taken[-1]) + 1
-    has = Counter(w for t in toxic for w in set(t))
-    lacks = Counter(w for t in ordinary for w in set(b" ".join(t).split()))
-    evidence = {w: n * np.log((n / len(toxic)) / ((lacks[w] + 0.5) / (len(ordinary) + 1))) for w, n in has.items() if n >= 3 and len(w) >= 3}
-    best = max(evidence.values(), default=0)
-    fragments = sorted((w for w, e in evidence.items() if e >= LEAST_EVIDENCE * best > 0), key=lambda w: (evidence[w], w))[-MOST_FRAGMENTS:]
-    model = ToxicityModel(b" ".join(taken) + b" ", b" " + b" ".join(fragments) + b" " if fragments else b" ", ())
-    both = [*((b" ".join(t), 1) for t in toxic), *((b"\n".join(t), 0) for t in ordinary)]
+        if not any(f.strip() in line for f in fragments):
+            taken.append(line[:400])
+            size += len(taken[-1]) + 1
+    model = ToxicityModel(b" ".join(taken) + b" ", b"".join(fragments) + b" ", ())
+    both = [*((t, 1) for t in toxic), *((t, 0) for t in ordinary)]
     compressors = model.compressors()
     data = [features(np.frombuffer(t, np.uint8), np.array([0, len(t)]), compressors)[0] for t, _ in both]
     return ToxicityModel(model.ordinary, model.toxic, calibrated(np.array(data).reshape(-1, FEATURES), np.array([y for _, y in both], float)))
