@@ -83,7 +83,21 @@ def rows_only(columns: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(c for _, c in columns)], names=["bucket", "pack", "known", *(n for n, _ in columns)])
 
 
-_INFO = [("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string())]
+_INFO = [("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("mark", pa.int64())]
+
+
+def first_texts(info: DataFrame) -> DataFrame:
+    """Of the rows of each text hash the one with the smallest id: sha, rep (its id), mark (the hash of its text), copies (how many ids have it)."""
+    least = F.min(F.struct("doc_id", "mark")).alias("first")
+    one = info.where("doc_id is not null").groupBy("sha").agg(least, F.count_distinct("doc_id").alias("copies"))
+    return one.select("sha", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies")
+
+
+def searched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, sha, pos) of the wanted texts (rep, mark, sha, pos): one text of an id, one copy of a repeated row."""
+    one = wanted.groupBy(F.col("rep").alias("doc_id")).agg(F.min_by(F.struct("mark", "sha", "pos"), F.struct("mark", "sha")).alias("w"))
+    one = one.select("doc_id", F.col("w.mark").alias("mark"), F.col("w.sha").alias("sha"), F.col("w.pos").alias("pos"))
+    return texts.join(one.hint("shuffle_hash"), ["doc_id", "mark"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "sha", "pos")
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -99,13 +113,14 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     3. Of equal texts, the one with the smallest id goes through the steps; the others are
        removed whole if they have a window at all.
 
-    Null text is empty. Rows of equal id and text are one document, each row returned. A null
+    Null text is empty. Rows of equal id and text are one document, each row returned. Of rows
+    of equal id and different texts one, by the text's hash, is searched; the others only go whole, if a smaller id has their words. A null
     id takes no part: nothing is removed. Other columns are not looked at.
     """
     if window <= PERIOD:
         raise ValueError("window must be over 13 words")
     spark, length = docs.sparkSession, window - PERIOD + 1
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
 
@@ -127,19 +142,16 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                     fresh &= ids.slice(row, end - row).is_valid().to_numpy(zero_copy_only=False)
                     take = np.flatnonzero(cover[pos % PERIOD] & (pos + length <= np.diff(first)[of]) & fresh[of])
                     yield from with_empty(packer.add(key=grams[take], text=keys[of[take]], pos=pos[take]), _INFO)
-                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(first), pa.int64())), ("sha", pa.array(shas))])
+                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(first), pa.int64())), ("sha", pa.array(shas)), ("mark", batch.column(2).slice(row, end - row))])
             yield from with_empty(packer.flush(), _INFO)
 
         return run
 
-    shared, info = anchor_table(texts, anchors, "doc_id long, size long, sha string")
-    first_of = info.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep"))
+    shared, info = anchor_table(texts, anchors, "doc_id long, size long, sha string, mark long")
+    first_of = first_texts(info)
     keyed = first_of.withColumn("text_key", F.conv(F.substring("sha", 1, 12), 16, 10).cast("long"))
     places = shared.groupBy("text_key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-    wanted = keyed.join(places, "text_key").select(F.col("rep").alias("doc_id"), "sha", "pos")
-    # Of a repeated row one copy is enough here.
-    some = texts.join(wanted.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"])
-    some = durable(some.select("doc_id", "text", "pos"), "passages")
+    some = durable(searched(texts, keyed.join(places, "text_key")), "passages")
     buckets = 2 * partitions(spark)
 
     def windows(batches):
@@ -151,7 +163,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
         packer = Packer(_WINDOW, buckets, local)
         for batch in batches:
-            ids, anchored = batch.column(0).to_numpy(), batch.column(2)
+            ids, anchored = batch.column(0).to_numpy(), batch.column(3)
             for row, end, data, offsets in K.slices(batch.column(1)):
                 starts, ends, first = K.spans(~K.SPACE[data], offsets)
                 grams = K.gram_hashes(K.word_hashes(data, starts, ends), window)
@@ -181,7 +193,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
             ids, n, removed, shas = batch.column(0), [], [], []
             for row, end, data, offsets in K.slices(batch.column(1)):
                 starts, ends, first = K.spans(~K.SPACE[data], offsets)
-                lists = batch.column(2).slice(row, end - row)
+                lists = batch.column(3).slice(row, end - row)
                 at = lists.flatten().to_numpy() + np.repeat(first[:-1], lists.value_lengths().to_numpy())
                 cover_ = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(cover_, at, 1)
@@ -193,11 +205,11 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                     shas.append(hashlib.sha256(view[cuts[r] : max(cuts[r], cuts[r + 1] - 1)]).hexdigest())
                     n.append(first[r + 1] - first[r])
                     removed.append(int((~stay[first[r] : first[r + 1]]).sum()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(removed, pa.int64()), pa.array(shas)], names=["doc_id", "less", "left_sha"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(removed, pa.int64()), pa.array(shas)], names=["doc_id", "sha", "less", "left_sha"])
 
-    changed = some.select("doc_id", "text").join(found, "doc_id").mapInArrow(kept, "doc_id long, less long, left_sha string")
-    copies = info.join(first_of, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)) & (F.col("size") >= window))
-    whole = copies.join(changed, "doc_id", "left")
+    changed = some.select("doc_id", "text", "sha").join(found, "doc_id").mapInArrow(kept, "doc_id long, sha string, less long, left_sha string")
+    copies = info.join(first_of.drop("mark"), "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)) & (F.col("size") >= window))
+    whole = copies.join(changed, ["doc_id", "sha"], "left")
     return whole.select(
         "doc_id",
         F.col("size").alias("n_words"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
 from cotejo.llm.exchange import PACK_SCHEMA, Packer, groups_of, lists_by, read_packs
-from cotejo.llm.repeats import _ANCHOR, _INFO, anchor_table, rows_only, send_anchors, text_key, with_empty
+from cotejo.llm.repeats import _ANCHOR, _INFO, anchor_table, first_texts, rows_only, searched, send_anchors, text_key, with_empty
 from cotejo.llm.shared import durable, partitions
 
 _CLASS = np.dtype([("key", np.uint64), ("doc", np.int64), ("pos", np.uint32)])
@@ -138,10 +138,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     4. Equal texts of `length` bytes or more are wholly repeated; one of them stands for all in steps 1 to 3.
 
     Null text is empty. Rows of equal id and text count as one document (a table read
-    twice is not a repeat). A null id takes no part. Other columns are not looked at.
+    twice is not a repeat). Of rows of equal id and different texts one, by the text's hash, is searched; the others only go whole, if another
+    id has their text. A null id takes no part. Other columns are not looked at.
     """
     spark, width = docs.sparkSession, length - PRINT + 1
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
     def prints(buckets):
         def run(batches):
@@ -167,18 +168,16 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         pos.append(at)
                     if keys:
                         yield from with_empty(packer.add(key=np.concatenate(keys), text=np.concatenate(owner), pos=np.concatenate(pos)), _INFO)
-                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(offsets), pa.int64())), ("sha", pa.array(shas))])
+                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(offsets), pa.int64())), ("sha", pa.array(shas)), ("mark", batch.column(2).slice(row, end - row))])
             yield from with_empty(packer.flush(), _INFO)
 
         return run
 
-    shared, info = anchor_table(texts, prints, "doc_id long, size long, sha string")
-    first_of = info.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
+    shared, info = anchor_table(texts, prints, "doc_id long, size long, sha string, mark long")
+    first_of = first_texts(info)
     keyed = first_of.withColumn("text_key", F.conv(F.substring("sha", 1, 12), 16, 10).cast("long"))
     places = shared.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("pos"))
-    wanted = keyed.join(places, "text_key").select(F.col("rep").alias("doc_id"), "pos")
-    some = texts.join(wanted.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"])
-    some = durable(some, "suffix-texts")
+    some = durable(searched(texts, keyed.join(places, "text_key")), "suffix-texts")
     near = F.xxhash64(F.expr("substring(text, pos[0] + 1, 64)"))
     parts = partitions(spark)
     buckets = 2 * parts
@@ -237,7 +236,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for row, end, data, offsets in K.slices(batch.column(1)):
                 for r in range(end - row):
                     own = data[offsets[r] : offsets[r + 1]]
-                    at, n = batch.column(2)[row + r].values.to_numpy(), batch.column(3)[row + r].values.to_numpy()
+                    at, n = batch.column(3)[row + r].values.to_numpy(), batch.column(4)[row + r].values.to_numpy()
                     edge = np.zeros(len(own) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + n - 1 + length, -1)
@@ -248,11 +247,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     shas.append(hashlib.sha256(rest).hexdigest())
                     if keep_text:
                         left.append(rest.decode("utf-8", "ignore"))
-            columns = [batch.column(0), pa.array(less, pa.int64()), pa.array(count, pa.int64()), pa.array(shas)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(left if keep_text else [None] * len(less), pa.string())], names=["doc_id", "less", "spans", "left_sha", "left_text"])
+            columns = [batch.column(0), batch.column(2), pa.array(less, pa.int64()), pa.array(count, pa.int64()), pa.array(shas)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(left if keep_text else [None] * len(less), pa.string())], names=["doc_id", "sha", "less", "spans", "left_sha", "left_text"])
 
-    changed = some.select("doc_id", "text").join(spans, "doc_id").mapInArrow(kept, "doc_id long, less long, spans long, left_sha string, left_text string")
-    whole = info.join(first_of, "sha", "left").join(changed, "doc_id", "left")
+    changed = some.select("doc_id", "text", "sha").join(spans, "doc_id").mapInArrow(kept, "doc_id long, sha string, less long, spans long, left_sha string, left_text string")
+    whole = info.join(first_of.drop("mark"), "sha", "left").join(changed, ["doc_id", "sha"], "left")
     copy = (F.col("copies") > 1) & (F.col("size") >= length)
     result = whole.select(
         "doc_id",
