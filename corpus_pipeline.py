@@ -26,6 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row): the columns of docs out of reach of other tables' names."""
+    return docs.select(F.col("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a null id can't be told apart by it and stay."""
     stay = near_duplicate_sets(docs).where("doc_id = component_id").select("doc_id").distinct()
@@ -34,12 +39,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document of which nothing but white space is left goes."""
+    """A document of which nothing but white space is left goes; n_chars follows the text."""
     cut = remove_repeated_bytes(docs, keep_text=True).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    joined = docs.join(cut.hint("shuffle_hash"), "doc_id", "left")
-    text = F.coalesce("kept_text", "text")
-    rest = joined.where(F.col("kept_text").isNull() | (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) != "")).withColumn("text", text)
-    return rest.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    joined = _packed(docs).join(cut.hint("shuffle_hash"), "doc_id", "left")
+    left = joined.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.coalesce("kept_text", "row.text"), "n_chars": F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))}
+    return left.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +53,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Columns of documents of a name that the mix gives too are replaced."""
     taken = mix_sources(docs).where("taken > 0").dropDuplicates(["doc_id"])
-    return docs.join(taken.hint("shuffle_hash"), "doc_id")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in taken.columns]
+    return _packed(docs).join(taken.hint("shuffle_hash"), "doc_id").select(*taken.columns, *own)
 
 
 STAGES = [
