@@ -108,13 +108,14 @@ def likeness(rows: DataFrame) -> DataFrame:
     return pairs.select(*(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("pos", "ord")), rounded(score).alias("score"))
 
 
-def by_likeness(scores: DataFrame, threshold: float = THRESHOLD, rounds: int = 50) -> DataFrame:
-    """Pairs taken greedily by score, then order: round after round those that are best for both sides, which gives the same pairs."""
+def by_likeness(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs taken greedily by score, then order: round after round those that are best for both sides, which gives the same pairs.
+
+    The best pair of all is taken in each round, so rounds end; offers of equal names take about half as many rounds as there are of them.
+    """
     left = scores.where(F.col("score") >= threshold).persist()
     found, count = None, left.count()
-    for _ in range(rounds):
-        if not count:
-            break
+    while count:
         ends = left.select(F.col("a_pos").alias("pos"), "score", "a_ord", "b_ord", "a_pos", "b_pos").unionByName(left.select(F.col("b_pos").alias("pos"), "score", "a_ord", "b_ord", "a_pos", "b_pos"))
         best = ends.groupBy("pos").agg(F.min_by(F.struct("a_pos", "b_pos"), F.struct(-F.col("score"), F.col("a_ord"), F.col("b_ord"))).alias("p"))
         mutual = left.join(best.groupBy("p.a_pos", "p.b_pos").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n"), ["a_pos", "b_pos"]).select("a_pos", "b_pos", "score").persist()
