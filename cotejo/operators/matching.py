@@ -6,6 +6,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cotejo.functions import text
 
@@ -83,13 +84,13 @@ def by_model(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("brand_key").applyInPandas(stars, _GROUPED)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rounded(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 4))
 
