@@ -59,7 +59,7 @@ def mix_sources(
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
     u = (drawn + 0.5) / F.lit(2.0**48)
     lean = F.expr("cast(1000 + (1000 * size) div (size + 1000) as double)")
-    p = F.least(F.col("extra") * lean / F.col("leaned"), F.lit(0.999999))
+    p = F.when(F.col("leaned") > 0, F.least(F.col("extra") * lean / F.col("leaned"), F.lit(0.999999))).otherwise(0.0)
     ranked = (
         sizes.join(targets, F.col("source").eqNullSafe(F.col("name")))
         .withColumn("p", p)
@@ -93,7 +93,7 @@ targets AS (SELECT source, s, leaned, least(s * 2.0e0, coalesce(lev.level, 'inf'
 wholes AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole, target - (CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END) * s AS extra FROM targets),
 drawn AS (SELECT d.*, t.s, t.target, t.whole, t.extra,
   (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5e0) / 281474976710656.0e0 AS u,
-  least(t.extra * CAST(1000 + (1000 * d.size) // (d.size + 1000) AS DOUBLE) / t.leaned, 0.999999e0) AS p
+  CASE WHEN t.leaned > 0 THEN least(t.extra * CAST(1000 + (1000 * d.size) // (d.size + 1000) AS DOUBLE) / t.leaned, 0.999999e0) ELSE 0e0 END AS p
   FROM sizes d JOIN wholes t ON d.source IS NOT DISTINCT FROM t.source),
 ranked AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / ((1 - u) * p) END AS r FROM drawn),
 taken AS (SELECT *, sum(size) OVER (PARTITION BY source, r IS NULL ORDER BY r, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked)
