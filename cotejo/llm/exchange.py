@@ -3,7 +3,8 @@
 A mapper packs its (key, owner...) entries by range of the key's hash, Spark shuffles
 the packs, and one group per range compares all entries of equal key. A pack costs
 a few bytes an entry beyond the entry itself. A key that one mapper met often goes out
-once (or twice) from there, so that no range grows with the most frequent key.
+once (or twice) from there, so that no range grows with the most frequent key; entries whose
+outcome the mapper knows go to ranges of their owner's hash.
 """
 
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cotejo.llm.kernels import mix
+
 PACK_SCHEMA = "bucket int, pack binary, known binary"
 #: Entries that a mapper gathers before it packs them.
 GATHER = 1 << 20
@@ -72,7 +75,11 @@ class Packer:
         entries = np.concatenate(self.parts)
         self.parts, self.size = [], 0
         entries = entries[np.lexsort([entries[x] for x in reversed(self.order)])]
-        (send, cut), (known, known_cut) = map(self._by_bucket, self.local(entries))
+        send, known = self.local(entries)
+        known = known.copy()
+        known["key"] = mix(known[self.order[1]].astype(np.uint64))
+        known = known[np.argsort(known["key"], kind="stable")]
+        (send, cut), (known, known_cut) = self._by_bucket(send), self._by_bucket(known)
         some = [b for b in range(self.buckets) if cut[b] < cut[b + 1] or known_cut[b] < known_cut[b + 1]]
         yield pa.RecordBatch.from_arrays(
             [

@@ -47,8 +47,8 @@ def shared_anchors(entries: np.ndarray, known: np.ndarray) -> pa.Table:
     return lists_by(found["text"], found["pos"].astype(np.int64), pa.int64(), ["text_key", "pos"])
 
 
-def anchor_table(texts: DataFrame, mapper, more: str) -> tuple[DataFrame, DataFrame]:
-    """Runs mapper over texts once. Its packs are compared; its other rows (of the columns in more) come back as they are.
+def anchor_table(texts: DataFrame, mapper, more: str, dtype: np.dtype = _ANCHOR, shared=shared_anchors) -> tuple[DataFrame, DataFrame]:
+    """Runs mapper over texts once. Its packs of dtype are compared by shared; its other rows (of the columns in more) come back as they are.
 
     Returns (text_key, pos): the places of anchors that stand elsewhere too, and the other rows.
     """
@@ -61,7 +61,7 @@ def anchor_table(texts: DataFrame, mapper, more: str) -> tuple[DataFrame, DataFr
         from cotejo.llm.exchange import read_packs
 
         packed, own = table.filter(table["pack"].is_valid()), table.filter(table["pack"].is_null())
-        found = shared_anchors(read_packs(packed, "pack", _ANCHOR), read_packs(packed, "known", _ANCHOR))
+        found = shared(read_packs(packed, "pack", dtype), read_packs(packed, "known", dtype))
         for name in names:
             found = found.append_column(name, pa.nulls(len(found), own.schema.field(name).type))
         head = pa.table([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64()))], names=["text_key", "pos"])

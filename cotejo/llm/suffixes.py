@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
 from cotejo.llm.exchange import PACK_SCHEMA, Packer, groups_of, lists_by, read_packs
-from cotejo.llm.repeats import _ANCHOR, _INFO, anchor_table, first_texts, rows_only, searched, send_anchors, text_key, with_empty
+from cotejo.llm.repeats import _INFO, anchor_table, first_texts, rows_only, searched, send_anchors, several_places, text_key, with_empty
 from cotejo.llm.shared import durable, partitions
 
 _CLASS = np.dtype([("key", np.uint64), ("doc", np.int64), ("pos", np.uint32)])
+_PRINT = np.dtype([("key", np.uint64), ("text", np.int64), ("pos", np.uint32), ("more", np.uint32)])
 #: Bytes of candidate regions in one shard's suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes hashed for a fingerprint of the candidate search.
 PRINT = 40
+#: A place and how often its fingerprint stands anywhere make one number; 0 where that isn't known.
+COUNT_BITS = 20
+_MOST_COUNTED = (1 << COUNT_BITS) - 1
 
 
 def big_endian_words(data: np.ndarray) -> np.ndarray:
@@ -120,6 +124,26 @@ def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(hashes == ~_sliding_least(~least, width))
 
 
+def send_prints(entries: np.ndarray):
+    """As send_anchors; the first entry of a key also says how many stay behind."""
+    cut = groups_of(entries["key"])
+    entries["more"][cut[:-1]] = np.maximum(np.diff(cut) - 2, 0)
+    return send_anchors(entries)
+
+
+def shared_prints(entries: np.ndarray, known: np.ndarray) -> pa.Table:
+    """Places of fingerprints that stand elsewhere too, by text, each with the number of places of its fingerprint."""
+    cut, several = several_places(entries)
+    order = np.lexsort((entries["pos"], entries["text"], entries["key"]))
+    own = entries[order]
+    other = np.ones(len(own), bool)
+    other[1:] = (own["key"][1:] != own["key"][:-1]) | (own["text"][1:] != own["text"][:-1]) | (own["pos"][1:] != own["pos"][:-1])
+    total = np.add.reduceat(other + own["more"].astype(np.int64), cut[:-1]) if len(own) else np.zeros(0, np.int64)
+    total = np.repeat(np.minimum(total, _MOST_COUNTED), np.diff(cut))[several]
+    places = np.concatenate(((entries["pos"][several].astype(np.int64) << COUNT_BITS) | total, known["pos"].astype(np.int64) << COUNT_BITS))
+    return lists_by(np.concatenate((entries["text"][several], known["text"])), places, pa.int64(), ["text_key", "pos"])
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
     """Removes every byte of the UTF-8 texts that a string of `length` bytes covers which also starts anywhere else.
 
@@ -133,7 +157,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
        splits frequent ones by document), in shards of bounded size. Kasai's common prefixes
        cut a shard's suffix array into classes of strings equal for `length` bytes. Classes
        of several members are settled.
-    3. Each class goes as one hash to its range of hashes, where the sorted lists of all shards
+    3. A class whose own fingerprint stands outside the shard too goes as one hash to its range
+       of hashes, where the sorted lists of all shards
        are merged by binary search; a class that another shard has too is settled as well.
     4. Equal texts of `length` bytes or more are wholly repeated; one of them stands for all in steps 1 to 3.
 
@@ -146,7 +171,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def prints(buckets):
         def run(batches):
-            packer, met = Packer(_ANCHOR, buckets, send_anchors), set()
+            packer, met = Packer(_PRINT, buckets, send_prints), set()
             for batch in batches:
                 ids = batch.column(0)
                 for row, end, data, offsets in K.slices(batch.column(1)):
@@ -163,50 +188,68 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         met.add(k)
                         own = hashes[offsets[r] : offsets[r + 1] - PRINT + 1]
                         at = winnowed(own, width)
-                        keys.append(own[at])
+                        # The least hashes crowd at one end; mixed, they spread over all ranges.
+                        keys.append(K.mix(own[at]))
                         owner.append(np.full(len(at), k, np.int64))
                         pos.append(at)
                     if keys:
-                        yield from with_empty(packer.add(key=np.concatenate(keys), text=np.concatenate(owner), pos=np.concatenate(pos)), _INFO)
+                        yield from with_empty(packer.add(key=np.concatenate(keys), text=np.concatenate(owner), pos=np.concatenate(pos), more=0), _INFO)
                     yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(offsets), pa.int64())), ("sha", pa.array(shas)), ("mark", batch.column(2).slice(row, end - row))])
             yield from with_empty(packer.flush(), _INFO)
 
         return run
 
-    shared, info = anchor_table(texts, prints, "doc_id long, size long, sha string, mark long")
+    shared, info = anchor_table(texts, prints, "doc_id long, size long, sha string, mark long", _PRINT, shared_prints)
     first_of = first_texts(info)
     keyed = first_of.withColumn("text_key", F.conv(F.substring("sha", 1, 12), 16, 10).cast("long"))
     places = shared.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("pos"))
     some = durable(searched(texts, keyed.join(places, "text_key")), "suffix-texts")
-    near = F.xxhash64(F.expr("substring(text, pos[0] + 1, 64)"))
     parts = partitions(spark)
     buckets = 2 * parts
 
-    def shards(batches):
-        gathered, size = [], 0
-        packer = Packer(_CLASS, buckets, lambda e: (e, e[:0]))
-        runs = [("doc_id", pa.int64()), ("pos", pa.list_(pa.int64())), ("len", pa.list_(pa.int64()))]
+    def regions(batches):
+        """The stretches of the texts round their fingerprints; near: the least fingerprint in one."""
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, out = batch.column(0).to_pylist(), []
             for row, end, data, offsets in K.slices(batch.column(1)):
+                sums = K.prefix_sums(data)
                 for r in range(end - row):
-                    at = batch.column(2)[row + r].values.to_numpy()
+                    marks = batch.column(3)[row + r].values.to_numpy()
+                    # Of a place listed twice the first, the smaller count, stays.
+                    at, first = np.unique(marks >> COUNT_BITS, return_index=True)
                     low = np.maximum(at - width + 1, 0)
                     high = np.minimum(at + length, offsets[r + 1] - offsets[r])
                     cut = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
-                    for a, b in zip(low[cut].tolist(), high[np.concatenate((cut[1:] - 1, [len(at) - 1]))].tolist()):
+                    least = np.minimum.reduceat(K.span_hashes(sums, offsets[r] + at, offsets[r] + at + PRINT), cut)
+                    for k, (i, j) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(at)])):
+                        a, b = int(low[i]), int(high[j - 1])
                         if b - a >= length:
-                            gathered.append((ids[row + r], a, data[offsets[r] + a : offsets[r] + b].copy()))
-                            size += b - a
-                    if size >= SHARD_BYTES:
-                        for x in _settle(gathered, length, packer):
-                            yield x if "len" in x.schema.names else next(with_empty([x], runs))
-                        gathered, size = [], 0
-        for x in _settle(gathered, length, packer):
-            yield x if "len" in x.schema.names else next(with_empty([x], runs))
+                            out.append((ids[row + r], a, int(least[k].view(np.int64)), data[offsets[r] + a : offsets[r] + b].tobytes(), marks[first[i:j]] - (a << COUNT_BITS)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "a", "near", "body", "marks"])
+
+    def shards(batches):
+        gathered, size = [], 0
+        packer = Packer(_CLASS, buckets, lambda e: (e, e[:0]))
+        runs = [("doc_id", pa.int64()), ("pos", pa.list_(pa.int64())), ("len", pa.list_(pa.int64()))]
+
+        def settled(taken):
+            for x in _settle(taken, length, packer):
+                yield x if "len" in x.schema.names else next(with_empty([x], runs))
+
+        for batch in batches:
+            for doc, a, body, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)):
+                gathered.append((doc, a, np.frombuffer(body.as_buffer(), np.uint8).copy(), marks.values.to_numpy()))
+                size += len(gathered[-1][2])
+                if size >= SHARD_BYTES:
+                    yield from settled(gathered)
+                    gathered, size = [], 0
+        yield from settled(gathered)
         yield from with_empty(packer.flush(), runs)
 
-    placed = some.repartitionByRange(parts, near, "doc_id").select("doc_id", "text", "pos")
+    placed = some.mapInArrow(regions, "doc_id long, a long, near long, body binary, marks array<long>")
+    placed = placed.repartitionByRange(parts, "near", "doc_id", "a").sortWithinPartitions("near", "doc_id", "a")
     classes = placed.mapInArrow(shards, f"{PACK_SCHEMA}, doc_id long, pos array<long>, len array<long>")
     classes = classes.withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
 
@@ -268,8 +311,8 @@ def _settle(regions: list, length: int, packer: Packer):
     """Suffix array, common prefixes and classes of one shard's regions."""
     if not regions:
         return
-    data = np.concatenate([x for _, _, x in regions])
-    sizes = np.array([len(x) for _, _, x in regions])
+    data = np.concatenate([x[2] for x in regions])
+    sizes = np.array([len(x[2]) for x in regions])
     base = np.concatenate(([0], np.cumsum(sizes)))
     order = suffix_order(data)
     common = common_prefixes(data, order, length)
@@ -278,16 +321,25 @@ def _settle(regions: list, length: int, packer: Packer):
     valid = order + length <= base[region[order] + 1]
     order, klass = order[valid], klass[valid]
     cut = groups_of(klass)
-    docs = np.array([d for d, _, _ in regions], np.int64)
-    shift = np.array([a for _, a, _ in regions], np.int64) - base[:-1]
+    docs = np.array([x[0] for x in regions], np.int64)
+    shift = np.array([x[1] for x in regions], np.int64) - base[:-1]
     place = order + shift[region[order]]
     doc = docs[region[order]]
-    heads = cut[:-1]
+    heads = order[cut[:-1]]
     several = np.diff(cut) > 1
-    # One start seen in two regions of a document can't be: regions of a document don't overlap.
     sums = K.prefix_sums(data)
-    keys = K.span_hashes(sums, order[heads], order[heads] + length)
-    yield from packer.add(key=keys, doc=np.where(several, -1, doc[heads]), pos=place[heads])
+    # A string is known by the least fingerprint in it. If all places of that are here, no other shard has the string; if it isn't listed at all, the string stands once.
+    prints = K.span_hashes(sums, np.arange(len(data) - PRINT + 1), np.arange(PRINT, len(data) + 1))
+    listed = np.concatenate([x[3] + (int(at) << COUNT_BITS) for x, at in zip(regions, base)])
+    names, which, here = np.unique(prints[listed >> COUNT_BITS], return_inverse=True, return_counts=True)
+    fewest = np.full(len(names), _MOST_COUNTED)
+    np.minimum.at(fewest, which, listed & _MOST_COUNTED)
+    abroad = names[(fewest == 0) | (fewest > here) | (fewest == _MOST_COUNTED)]
+    goes = np.isin(_sliding_least(prints, length - PRINT + 1)[heads], abroad)
+    heads, first = heads[goes], cut[:-1][goes]
+    keys = K.span_hashes(sums, heads, heads + length)
+    alone = ~several[goes]
+    yield from packer.add(key=keys, doc=np.where(alone, doc[first], -1), pos=np.where(alone, place[first], 0))
     found = np.repeat(several, np.diff(cut))
     doc, place = doc[found], place[found]
     by = np.lexsort((place, doc))
