@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import pricing
+from cotejo.operators import popularity
 from cotejo.sources.catalog import ListQuery
 
 PAGE = 60
@@ -96,6 +97,24 @@ def page(rows: DataFrame, query: ListQuery, size: int = PAGE) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(Window.orderBy(*ordering(query.sort))) + (number - 1) * size)
 
 
+def pagination(rows: int, page: int, size: int = PAGE) -> dict:
+    """The page shown, how many there are, and the ranks on it."""
+    pages = page_count(rows, size)
+    number = min(max(1, page), pages)
+    return {"page": number, "pages": pages, "first": min(rows, (number - 1) * size + 1), "last": min(rows, number * size), "has_previous": number > 1, "has_next": number < pages}
+
+
+def list_rows(ranked: DataFrame, sort: str = "relevance") -> DataFrame:
+    """What a list shows of each product: rank and medal (by popularity only), stars, "from" price, discount and offers; badges and swatches where specs and colors are there."""
+    medal = popularity.medal(F.col("rank")) if sort == "popularity" else F.lit(None).cast("string")
+    shown = [F.col("rank"), medal.alias("medal"), F.col("id"), F.col("name"), pricing.stars(F.col("rating")).alias("stars"), F.col("review_count"), pricing.money(F.col("min_price")).alias("from_price"), F.col("discount_pct"), F.col("offer_count")]
+    if "specs" in ranked.columns:
+        shown += [condition_badge(F.col("specs")).alias("condition"), is_commercial(F.col("specs")).alias("commercial")]
+    if "colors" in ranked.columns:
+        shown.append(swatches(F.col("colors")).alias("swatches"))
+    return ranked.select(*shown)
+
+
 def facet_counts(rows: DataFrame, column: str) -> DataFrame:
     """Rows for each value and, with a null value, for all."""
     return rows.rollup(column).agg(F.count(F.lit(1)).alias("n"))

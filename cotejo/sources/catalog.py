@@ -152,3 +152,8 @@ class ListQuery:
             return replace(current or cls(), category=category, page=1)
         given = {k: v[0] for k, v in parse_qs(rest, keep_blank_values=True).items()}
         return cls(category=category, subcategory=given.get("sub") or None, query=given.get("q", "").strip())
+
+    def within(self, brands_in_scope: set[str], sizes_in_scope: set[str], has_magsafe: bool) -> "ListQuery":
+        """Without the choices that the category in scope doesn't offer."""
+        size = self.size if self.size in sizes_in_scope else None
+        return replace(self, brands=self.brands & brands_in_scope, size=size, magsafe_only=self.magsafe_only and has_magsafe)

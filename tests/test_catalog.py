@@ -156,6 +156,30 @@ def test_merge_is_idempotent(spark):
     assert variants.merge_variants(variants.keyed(left)).count() == 0
 
 
+def test_entries(spark):
+    offer = "array<struct<price:double,url:string,photo:string>>"
+    known = "array<struct<color:string,condition:string,price:double,url:string,photo:string,mlQuery:string>>"
+    rows = [
+        (1, "iPhone Azul", "new", [("Color", "Verde oliva")], [(5.0, "u", None)], "q", []),
+        (2, "x", "new", [("Color", "azul turquí")], [(6.0, "w", None)], "q", None),
+        (3, "x", "new", [], [], None, [("Rojo", "new", 1.0, "r", None, "q"), (None, "refurbished", 2.0, "s", None, "q")]),
+        (4, "x", "new", [], [], None, None),
+    ]
+    df = spark.createDataFrame(rows, f"id int, color string, condition string, specs array<struct<label:string,value:string>>, offers {offer}, mlQuery string, colorVariants {known}")
+    got = [(r["id"], r["color"], r["price"]) for r in variants.entries(variants.candidates(df)).orderBy("id", "variant_pos").collect()]
+    assert got == [(1, "Verde oliva", 5.0), (2, "Azul Turquí", 6.0), (3, "Rojo", 1.0), (3, None, 2.0)]
+
+
+def test_list_rows(spark):
+    rows = spark.createDataFrame([(1, 7, "a", 4.4, 3, 1234.5, 10, 2, [("Condición", "Usado")])], "rank int, id int, name string, rating double, review_count long, min_price double, discount_pct long, offer_count long, specs array<struct<label:string,value:string>>")
+    row = catalog.list_rows(rows, "popularity").first()
+    assert (row["medal"], row["stars"], row["from_price"], row["condition"]) == ("crown", "★★★★☆", "$1,234", "used")
+    assert catalog.list_rows(rows).first()["medal"] is None
+    assert catalog.pagination(121, 9) == {"page": 3, "pages": 3, "first": 121, "last": 121, "has_previous": True, "has_next": False}
+    query = ListQuery(brands=frozenset("ab"), size="M", magsafe_only=True).within({"b"}, {"S"}, False)
+    assert (query.brands, query.size, query.magsafe_only) == (frozenset("b"), None, False)
+
+
 def test_feeds(spark, tmp_path):
     path = tmp_path / "feed.csv"
     path.write_text("id;title;vendor;price;sale_price\n1;Uno;A;;5.5\n2;Dos;B;abc;\n3;Tres;C;;\n4;Cuatro;;1_000;\n5;Cinco;D;12d;\n6;Seis;E; 12 ;\n")
