@@ -21,6 +21,8 @@ LEAST_EVIDENCE = 0.1
 #: Letters of a word's beginning that can be a fragment, besides whole words.
 BEGINNINGS = (5, 6, 7, 8)
 CUT = 0.3
+#: Behind windows and dictionaries: matches are not looked for in the last bytes, and of a few bytes none pays.
+PAD = b" " * 24
 #: Bytes that a window saves at least where the saving is clear, the most that count of one window, and numbers that features() gives.
 CLEAR, MOST_SAVED, FEATURES = 2, 8, 4
 
@@ -37,7 +39,7 @@ class ToxicityModel:
             window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False
         )
         dictionary = lambda x: zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return tuple(zstandard.ZstdCompressor(dict_data=dictionary(x), compression_params=settings) for x in (self.ordinary + bytes(len(self.toxic)), self.ordinary + self.toxic))
+        return tuple(zstandard.ZstdCompressor(dict_data=dictionary(x), compression_params=settings) for x in (self.ordinary + bytes(len(self.toxic)) + PAD, self.ordinary + self.toxic + PAD))
 
 
 def features(data: np.ndarray, offsets: np.ndarray, compressors) -> np.ndarray:
@@ -51,7 +53,7 @@ def features(data: np.ndarray, offsets: np.ndarray, compressors) -> np.ndarray:
     for r in range(len(out)):
         saved = []
         for a in range(first[r], first[r + 1], WINDOW_WORDS):
-            window = b" " + raw[at[a] : at[min(a + WINDOW_WORDS, first[r + 1])]]  # words end in a blank each
+            window = b" " + raw[at[a] : at[min(a + WINDOW_WORDS, first[r + 1])]] + PAD  # words end in a blank each
             saved.append(len(ordinary(window)) - len(toxic(window)))
         if saved:
             s = np.array(saved)
@@ -101,7 +103,7 @@ def learn(toxic: list[bytes], ordinary: list[bytes]) -> ToxicityModel:
         if not any(f.strip() in line for f in fragments):
             taken.append(line[:400])
             size += len(taken[-1]) + 1
-    model = ToxicityModel(b" ".join(taken) + b" ", b"".join(fragments) + b" ", ())
+    model = ToxicityModel(b" ".join(taken) + b" ", b"".join(fragments), ())
     both = [*((t, 1) for t in toxic), *((t, 0) for t in ordinary)]
     compressors = model.compressors()
     data = [features(np.frombuffer(t, np.uint8), np.array([0, len(t)]), compressors)[0] for t, _ in both]

@@ -116,3 +116,47 @@ def license_phrases(rows):
         at = [i for i, _ in hits]
         out.append((d, len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))))
     return sorted(out)
+
+
+def kept_bytes(rows, length=200):
+    """{doc_id: text} left by repeated_bytes()."""
+    count = Counter()
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    for _, b in texts:
+        count.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = {}
+    for d, b in texts:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out[d] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def leaks(docs, items, number, unit, name, window=8, stride=3, least_plain=3):
+    """{(doc_id, item_id)} by canonical windows; number, unit and name are the patterns of the operator."""
+    import regex
+
+    def said_and_form(text):
+        flat = regex.sub(r"[\x20\x09-\x0D]+", " ", text).strip(" ")
+        form = regex.sub(name, "<name>", regex.sub(unit, "<unit>", regex.sub(number, "<num>", flat)))
+        return flat.split(" "), regex.sub(r"[^\p{L}\p{N}<> ]", "", form).lower().split(" ")
+
+    theirs = defaultdict(list)
+    size = {}
+    for i, text in items:
+        said, form = said_and_form(text)
+        size[i] = len(form)
+        for at in range(len(form) - window + 1):
+            slots = [(k, said[at + k].lower()) for k in range(1, window) if form[at + k][:1] == "<" and form[at + k][-1:] == ">"]
+            if len(slots) < window - least_plain:
+                theirs[tuple(form[at + 1 : at + window])].append((i, slots))
+    met = defaultdict(lambda: (set(), set()))
+    for d, text in docs:
+        said, form = said_and_form(text or "")
+        for at in range(0, len(form) - window + 1, stride):
+            for i, slots in theirs.get(tuple(form[at + 1 : at + window]), ()):
+                met[d, i][0].add(at)
+                met[d, i][1].update((w, said[at + k].lower()) for k, w in slots)
+    return {k for k, (at, slots) in met.items() if (len(at) >= 2 or size[k[1]] <= window + stride) and len({a for a, _ in slots}) == len(slots)}
