@@ -13,7 +13,7 @@ TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 600, 20_000, 200
 #: Least share of a text's words in content lines, in hundredths.
 CONTENT_SHARE = 50
 # Characters that count as symbols.
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _CHAR = np.ones(256, bool)
