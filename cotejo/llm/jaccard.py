@@ -119,7 +119,8 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         continue
                     met.add(s)
                     take = _head(len(h), num, den)
-                    keys.append(h[:take])
+                    # The least hashes crowd at one end; mixed, they spread over all ranges.
+                    keys.append(K.mix(h[:take]))
                     sets.append(np.full(take, s, np.int64))
                 if keys:
                     yield from tagged(packer.add(key=np.concatenate(keys), set=np.concatenate(sets)))
