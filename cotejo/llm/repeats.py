@@ -90,7 +90,8 @@ def first_texts(info: DataFrame) -> DataFrame:
     """Of the rows of each text hash the one with the smallest id: sha, rep (its id), mark (the hash of its text), copies (how many ids have it)."""
     least = F.min(F.struct("doc_id", "mark")).alias("first")
     one = info.where("doc_id is not null").groupBy("sha").agg(least, F.count_distinct("doc_id").alias("copies"))
-    return one.select("sha", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies")
+    # Written, so that a join with all rows of a frequent text is one that Spark can split.
+    return durable(one.select("sha", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies"), "first-texts")
 
 
 def searched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
