@@ -55,7 +55,8 @@ def mix_sources(
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "name")
+    # Tables of a row per source are written: Spark then knows how small they are before it deals out the documents, a third of which can be of one source.
+    targets = durable(source_targets(sizes, weights, share, most).withColumnRenamed("source", "name"), "targets")
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
     u = (drawn + 0.5) / F.lit(2.0**48)
     lean = F.expr("cast(1000 + (1000 * size) div (size + 1000) as double)")
@@ -71,7 +72,7 @@ def mix_sources(
     heap = ranked.where("rank is not null").groupBy("source", "cut").agg(F.sum("size").alias("words"), F.max("extra").alias("extra"))
     upto = Window.partitionBy("source").orderBy("cut")
     border = heap.withColumn("upto", F.sum("words").over(upto)).where("upto > extra").groupBy("source").agg(F.min_by(F.struct("cut", (F.col("upto") - F.col("words")).alias("before")), "cut").alias("b"))
-    border = border.select(F.col("source").alias("name"), F.col("b.cut").alias("last_cut"), F.col("b.before").alias("before"))
+    border = durable(border.select(F.col("source").alias("name"), F.col("b.cut").alias("last_cut"), F.col("b.before").alias("before")), "border")
     cut = ranked.join(border, F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
     inside = F.col("cut") == F.col("last_cut")
     entering = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
