@@ -33,12 +33,12 @@ def _words(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("said", F.split(flat, " ")).withColumn("form", F.split(form, " "))
 
 
-def _windows(rows: DataFrame, key: str, stride: int, and_: Column) -> DataFrame:
+def _windows(rows: DataFrame, key: list[str], stride: int, and_: Column) -> DataFrame:
     """A row per window: the hash of its words but the first, its place, and what and_ makes of the place as `i`."""
     last = F.size("form") - WINDOW
     at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride)))
     made = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("form", i + 2, WINDOW - 1)).alias("hash"), i.alias("at"), and_(i).alias("words")))
-    return rows.select(key, F.explode(made).alias("w")).select(key, "w.*")
+    return rows.select(*key, F.explode(made).alias("w")).select(*key, "w.*")
 
 
 def _slots(i: Column) -> Column:
@@ -50,26 +50,30 @@ def _slots(i: Column) -> Column:
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots) for each document that holds a passage of a benchmark item, with the same or other numbers, names and units.
 
-    Windows of canonical words are joined by hash. A pair counts if two windows match (13
-    words in a row always give two), or one of an item of at most 11 words, and if its slots are
-    consistent: each word in an item's slots always stands for the same word of the document.
+    Windows of canonical words are joined by hash. Matches of a document's text and an item's
+    text are taken apart by alignment (place in the document less place in the item), and an
+    alignment counts if its slots are consistent: each word in the item's slots always stands
+    for the same word of the document. A pair counts if two windows of such alignments match (13
+    words in a row always give two), or one of an item of at most 11 words. n_windows and
+    n_slots are taken over the consistent alignments.
 
     Null texts match nothing; items of fewer than 8 words are too short to tell and match
     nothing; repeated rows of a document or item are one. Rows with a null id are left out. Other columns are not looked at.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
-    theirs = _windows(_words(items, "text"), "item_id", 1, _slots).select("item_id", "hash", F.col("words").alias("item_slots")).where(F.size("item_slots") < WINDOW - LEAST_PLAIN)
-    theirs = theirs.join(_words(items, "text").groupBy("item_id").agg(F.max(F.size("form")).alias("item_words")), "item_id")
+    items = _words(items, "text").select("item_id", F.struct(F.xxhash64("text").alias("text"), F.size("form").alias("words")).alias("item"), "said", "form")
+    theirs = _windows(items, ["item_id", "item"], 1, _slots).select("item_id", "item", "hash", F.col("at").alias("item_at"), F.col("words").alias("item_slots")).where(F.size("item_slots") < WINDOW - LEAST_PLAIN)
     small = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    mine = _windows(_words(texts, "text"), "doc_id", STRIDE, lambda i: F.slice("said", i + 2, WINDOW - 1)).withColumnRenamed("words", "said")
+    texts = _words(texts, "text").select("doc_id", F.xxhash64("text").alias("doc"), "said", "form")
+    mine = _windows(texts, ["doc_id", "doc"], STRIDE, lambda i: F.slice("said", i + 2, WINDOW - 1)).withColumnRenamed("words", "said")
     met = mine.join(F.broadcast(theirs) if small else theirs, "hash")
     # The slots of an item's window name places; the document's words at those places fill them.
     met = met.withColumn("slots", F.expr("transform(item_slots, s -> struct(s.word as theirs, lower(said[s.place]) as mine))"))
-    pairs = met.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("at").alias("n_windows"), F.max("item_words").alias("item_words"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    aligned = met.groupBy("doc_id", "item_id", "doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set(F.struct("doc", "at")).alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
-    slots = F.col("slots")
-    consistent = F.size(F.array_distinct(F.transform(slots, lambda s: s["theirs"]))) == F.size(slots)
-    enough = (F.col("n_windows") >= 2) | (F.col("item_words") <= WINDOW + STRIDE)
-    return pairs.where(enough & consistent).select("doc_id", "item_id", "n_windows", F.size(slots).cast("long").alias("n_slots"))
+    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["theirs"]))) == F.size("slots")
+    together = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    pairs = aligned.where(consistent).groupBy("doc_id", "item_id").agg(together("places").alias("n_windows"), together("slots").alias("n_slots"), F.min("item.words").alias("item_words"))
+    return pairs.where((F.col("n_windows") >= 2) | (F.col("item_words") <= WINDOW + STRIDE)).select("doc_id", "item_id", "n_windows", "n_slots")
