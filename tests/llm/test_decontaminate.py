@@ -23,3 +23,29 @@ def test_alignments_are_judged_one_by_one(spark):
     docs = [(10 * i + k, " ".join([*FILL[:k], s])) for i, s in enumerate(said) for k in range(4)]
     got = found(spark, docs, [(1, REPEATED), (2, ITEM)])
     assert set(got) == {(d, 1 if d < 10 else 2) for d, _ in docs if d < 40}
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7, 8, 9, 10, 12, 20])
+def test_verbatim_copies_at_any_place(spark, n):
+    item = "Grey Boris counted 35 white pebbles before supper while nine patient herons slept near that quiet mill until rain arrived.".split()[:n]
+    docs = [(k, " ".join([*FILL[:k], *item, *FILL[k:]])) for k in range(9)] + [(20, " ".join(FILL)), (21, " ".join(item))]
+    assert set(found(spark, docs, [(1, " ".join(item)), (2, "?"), (3, None)])) == {(d, 1) for d, _ in docs if d != 20}
+
+
+@pytest.mark.parametrize("n", [8, 9, 12])
+def test_stretches_of_a_long_item_at_any_place(spark, n):
+    item = "yesterday morning Boris counted 35 white pebbles before supper while nine patient herons slept near that quiet mill".split()
+    other = ["99" if w == "35" else w for w in item]
+    docs = [(k, " ".join([*FILL[:k], *other[2 : 2 + n], *FILL[k:]])) for k in range(1, 6)]
+    assert set(found(spark, docs, [(1, " ".join(item))])) == {(d, 1) for d, _ in docs}
+
+
+def test_short_items_with_other_numbers(spark):
+    docs = [(1, "we saw 14 ripe apples cost 6 euros here"), (2, "we saw 14 ripe apples cost more"), (3, "we saw 35 kg here"), (4, "we saw 36 kg here")]
+    assert set(found(spark, docs, [(1, "12 ripe apples cost 5 euros"), (2, "35 kg")])) == {(1, 1), (3, 2)}
+
+
+def test_windows_of_many_placeholders_match_literally(spark):
+    item = "12 kg, 35 cm, 7 min, 99 usd, 5 days, 41 mm"
+    docs = [(k, " ".join([*FILL[:k], item, *FILL[k:]])) for k in range(4)] + [(9, "20 kg, 36 cm, 8 min, 98 usd, 6 days, 42 mm")]
+    assert set(found(spark, docs, [(1, item)])) == {(k, 1) for k in range(4)}
