@@ -4,7 +4,8 @@ A mapper packs its (key, owner...) entries by range of the key's hash, Spark shu
 the packs, and one group per range compares all entries of equal key. A pack costs
 a few bytes an entry beyond the entry itself. A key that one mapper met often goes out
 once (or twice) from there, so that no range grows with the most frequent key; entries whose
-outcome the mapper knows go to ranges of their owner's hash.
+outcome the mapper knows go to ranges of their owner's hash. What a range finds out goes
+back to the owners as packs too, one for each range of owners.
 """
 
 from collections.abc import Callable, Iterator
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame
 from cotejo.llm.kernels import mix
 
 PACK_SCHEMA = "bucket int, pack binary, known binary"
+#: What ranges of keys tell about the owners of entries: packed places, by range of owners.
+PLACES_SCHEMA = "near int, places binary"
+_PLACE = np.dtype([("owner", np.int64), ("pos", np.int64)])
 #: Entries that a mapper gathers before it packs them.
 GATHER = 1 << 20
 
@@ -108,6 +112,28 @@ def lists_by(owner: np.ndarray, values: np.ndarray, kind: pa.DataType, names: li
     return pa.table([pa.array(heads, pa.int64()), lists], names=names)
 
 
+def placed(owner: np.ndarray, pos: np.ndarray, ranges: int) -> pa.Table:
+    """The places of owners packed by range of the owner's hash: as many rows as ranges at most, however many owners."""
+    owner = owner.astype(np.int64)
+    near = ((mix(owner.view(np.uint64)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((pos, owner, near))
+    entries = np.empty(len(owner), _PLACE)
+    entries["owner"], entries["pos"], near = owner[order], pos[order], near[order]
+    cut = groups_of(near)
+    packs = [encode(entries[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.table([pa.array(near[cut[:-1]] if len(near) else near, pa.int32()), pa.array(packs, pa.binary())], names=["near", "places"])
+
+
+def places_of(packs: DataFrame, owner: str) -> DataFrame:
+    """(owner, pos): a row for each owner in the packs of placed(), with all its places in order."""
+
+    def unpack(table: pa.Table) -> pa.Table:
+        entries = read_packs(table, "places", _PLACE)
+        return lists_by(entries["owner"], entries["pos"], pa.int64(), [owner, "pos"])
+
+    return packs.groupBy("near").applyInArrow(unpack, f"{owner} long, pos array<long>")
+
+
 def compare(packs: DataFrame, dtype: np.dtype, outcome: Callable[[np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """outcome(entries in order of their first two fields, known entries) for each range of keys."""
     return packs.groupBy("bucket").applyInArrow(lambda t: outcome(read_packs(t, "pack", dtype), read_packs(t, "known", dtype)), schema)

@@ -4,11 +4,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
-from cotejo.llm.exchange import PACK_SCHEMA, Packer, compare, groups_of, lists_by
+from cotejo.llm.exchange import PACK_SCHEMA, PLACES_SCHEMA, Packer, compare, groups_of, placed, places_of, read_packs
 from cotejo.llm.shared import durable, partitions
 
 #: A perfect difference set: any two places have a step below 13 after which both stand at a residue in it.
@@ -19,8 +19,8 @@ _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def text_key(sha: str) -> int:
-    """48 bits of a text's hash. Two texts of equal key only add candidates."""
-    return int(sha[:12], 16)
+    """60 bits of a text's hash. Different texts of equal key are searched whole (see wanted_texts)."""
+    return int(sha[:15], 16)
 
 
 def send_anchors(entries: np.ndarray):
@@ -42,9 +42,10 @@ def several_places(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.repeat((entries["text"][cut[:-1]] != entries["text"][cut[1:] - 1]) | (low != high), np.diff(cut))
 
 
-def shared_anchors(entries: np.ndarray, known: np.ndarray) -> pa.Table:
+def shared_anchors(entries: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of each anchor that stands elsewhere too."""
     found = np.concatenate((entries[several_places(entries)[1]], known))
-    return lists_by(found["text"], found["pos"].astype(np.int64), pa.int64(), ["text_key", "pos"])
+    return found["text"], found["pos"].astype(np.int64)
 
 
 def anchor_table(texts: DataFrame, mapper, more: str, dtype: np.dtype = _ANCHOR, shared=shared_anchors) -> tuple[DataFrame, DataFrame]:
@@ -52,25 +53,24 @@ def anchor_table(texts: DataFrame, mapper, more: str, dtype: np.dtype = _ANCHOR,
 
     Returns (text_key, pos): the places of anchors that stand elsewhere too, and the other rows.
     """
-    buckets = 2 * partitions(texts.sparkSession)
+    ranges = partitions(texts.sparkSession)
+    buckets = 2 * ranges
     names = [x.split()[0] for x in more.split(", ")]
     seen = texts.mapInArrow(mapper(buckets), f"{PACK_SCHEMA}, {more}")
     seen = seen.withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")))
 
     def outcome(table: pa.Table) -> pa.Table:
-        from cotejo.llm.exchange import read_packs
-
         packed, own = table.filter(table["pack"].is_valid()), table.filter(table["pack"].is_null())
-        found = shared(read_packs(packed, "pack", dtype), read_packs(packed, "known", dtype))
+        found = placed(*shared(read_packs(packed, "pack", dtype), read_packs(packed, "known", dtype)), ranges)
         for name in names:
             found = found.append_column(name, pa.nulls(len(found), own.schema.field(name).type))
-        head = pa.table([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64()))], names=["text_key", "pos"])
+        head = pa.table([pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], names=["near", "places"])
         for name in names:
             head = head.append_column(name, own[name])
         return pa.concat_tables([found, head])
 
-    both = durable(seen.groupBy("bucket").applyInArrow(outcome, f"text_key long, pos array<long>, {more}"), "anchors")
-    return both.where("text_key is not null").select("text_key", "pos"), both.where("text_key is null").select(*names)
+    both = durable(seen.groupBy("bucket").applyInArrow(outcome, f"{PLACES_SCHEMA}, {more}"), "anchors")
+    return places_of(both.where("near is not null").select("near", "places"), "text_key"), both.where("near is null").select(*names)
 
 
 def with_empty(packs, fields: list[tuple[str, pa.DataType]]):
@@ -83,15 +83,23 @@ def rows_only(columns: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(c for _, c in columns)], names=["bucket", "pack", "known", *(n for n, _ in columns)])
 
 
-_INFO = [("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("mark", pa.int64())]
+#: Columns of a document's own row: mark is a hash of its text, text_key the part of its sha that anchors carry.
+_INFO = [("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("mark", pa.int64()), ("text_key", pa.int64())]
+INFO_SCHEMA = "doc_id long, size long, sha string, mark long, text_key long"
 
 
 def first_texts(info: DataFrame) -> DataFrame:
-    """Of the rows of each text hash the one with the smallest id: sha, rep (its id), mark (the hash of its text), copies (how many ids have it)."""
+    """Of the rows of each text hash the one with the smallest id: sha, rep (its id), mark (the hash of its text), text_key, copies (how many ids have it)."""
     least = F.min(F.struct("doc_id", "mark")).alias("first")
-    one = info.where("doc_id is not null").groupBy("sha").agg(least, F.count_distinct("doc_id").alias("copies"))
+    one = info.where("doc_id is not null").groupBy("sha").agg(least, F.count_distinct("doc_id").alias("copies"), F.min("text_key").alias("text_key"))
     # Written, so that a join with all rows of a frequent text is one that Spark can split.
-    return durable(one.select("sha", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies"), "first-texts")
+    return durable(one.select("sha", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "text_key", "copies"), "first-texts")
+
+
+def wanted_texts(first_of: DataFrame, places: DataFrame) -> DataFrame:
+    """(rep, mark, sha, pos): the texts that have places (text_key, pos). pos is null, all places, for texts whose key other texts have too: their places can't be told apart."""
+    keyed = first_of.withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy("text_key"))).join(places, "text_key", "left")
+    return keyed.where("alike > 1 or pos is not null").select("rep", "mark", "sha", F.when(F.col("alike") == 1, F.col("pos")).alias("pos"))
 
 
 def searched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,20 +147,18 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                     of = K.texts_of(np.diff(first))
                     pos = np.arange(len(starts)) - first[of]
                     keys = np.array([text_key(s) for s in shas], np.int64)
-                    fresh = np.array([not (k in met or met.add(k)) for k in keys.tolist()])
+                    fresh = np.array([not (x in met or met.add(x)) for x in shas], bool)
                     fresh &= ids.slice(row, end - row).is_valid().to_numpy(zero_copy_only=False)
                     take = np.flatnonzero(cover[pos % PERIOD] & (pos + length <= np.diff(first)[of]) & fresh[of])
                     yield from with_empty(packer.add(key=grams[take], text=keys[of[take]], pos=pos[take]), _INFO)
-                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(first), pa.int64())), ("sha", pa.array(shas)), ("mark", batch.column(2).slice(row, end - row))])
+                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(first), pa.int64())), ("sha", pa.array(shas)), ("mark", batch.column(2).slice(row, end - row)), ("text_key", pa.array(keys))])
             yield from with_empty(packer.flush(), _INFO)
 
         return run
 
-    shared, info = anchor_table(texts, anchors, "doc_id long, size long, sha string, mark long")
+    shared, info = anchor_table(texts, anchors, INFO_SCHEMA)
     first_of = first_texts(info)
-    keyed = first_of.withColumn("text_key", F.conv(F.substring("sha", 1, 12), 16, 10).cast("long"))
-    places = shared.groupBy("text_key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-    some = durable(searched(texts, keyed.join(places, "text_key")), "passages")
+    some = durable(searched(texts, wanted_texts(first_of, shared)), "passages")
     buckets = 2 * partitions(spark)
 
     def windows(batches):
@@ -170,13 +176,15 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                 grams = K.gram_hashes(K.word_hashes(data, starts, ends), window)
                 near = np.zeros(len(starts) + 1, np.int64)
                 lists = anchored.slice(row, end - row)
-                at = lists.flatten().to_numpy() + np.repeat(first[:-1], lists.value_lengths().to_numpy())
-                low = np.maximum(at - (PERIOD - 1), np.repeat(first[:-1], lists.value_lengths().to_numpy()))
+                begin = np.repeat(first[:-1], lists.value_lengths().fill_null(0).to_numpy())
+                at = lists.flatten().to_numpy() + begin
+                low = np.maximum(at - (PERIOD - 1), begin)
                 np.add.at(near, low, 1)
                 np.add.at(near, at + 1, -1)
                 of = K.texts_of(np.diff(first))
                 pos = np.arange(len(starts)) - first[of]
-                take = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (pos + window <= np.diff(first)[of]))
+                whole = lists.is_null().to_numpy(zero_copy_only=False)
+                take = np.flatnonzero(((np.cumsum(near[:-1]) > 0) | whole[of]) & (pos + window <= np.diff(first)[of]))
                 yield from packer.add(key=grams[take], doc=ids[row:end][of[take]], pos=pos[take])
         yield from packer.flush()
 
@@ -184,10 +192,10 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         head = np.zeros(len(entries), bool)
         head[groups_of(entries["key"])[:-1]] = True
         found = np.concatenate((entries[~head], known))
-        return lists_by(found["doc"], found["pos"].astype(np.int64), pa.int64(), ["doc_id", "pos"])
+        return placed(found["doc"], found["pos"].astype(np.int64), buckets // 2)
 
-    found = compare(some.mapInArrow(windows, PACK_SCHEMA), _WINDOW, later, "doc_id long, pos array<long>")
-    found = durable(found, "later").groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("starts"))
+    found = durable(compare(some.mapInArrow(windows, PACK_SCHEMA), _WINDOW, later, PLACES_SCHEMA), "later")
+    found = places_of(found, "doc_id")
 
     def kept(batches):
         for batch in batches:
@@ -209,7 +217,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(removed, pa.int64()), pa.array(shas)], names=["doc_id", "sha", "less", "left_sha"])
 
     changed = some.select("doc_id", "text", "sha").join(found, "doc_id").mapInArrow(kept, "doc_id long, sha string, less long, left_sha string")
-    copies = info.join(first_of.drop("mark"), "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)) & (F.col("size") >= window))
+    copies = info.join(first_of.drop("mark", "text_key"), "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)) & (F.col("size") >= window))
     whole = copies.join(changed, ["doc_id", "sha"], "left")
     return whole.select(
         "doc_id",

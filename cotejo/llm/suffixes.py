@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
 from cotejo.llm.exchange import PACK_SCHEMA, Packer, groups_of, lists_by, read_packs
-from cotejo.llm.repeats import _INFO, anchor_table, first_texts, rows_only, searched, send_anchors, several_places, text_key, with_empty
+from cotejo.llm.repeats import _INFO, INFO_SCHEMA, anchor_table, first_texts, rows_only, searched, send_anchors, several_places, text_key, wanted_texts, with_empty
 from cotejo.llm.shared import durable, partitions
 
 _CLASS = np.dtype([("key", np.uint64), ("doc", np.int64), ("pos", np.uint32)])
@@ -131,8 +131,8 @@ def send_prints(entries: np.ndarray):
     return send_anchors(entries)
 
 
-def shared_prints(entries: np.ndarray, known: np.ndarray) -> pa.Table:
-    """Places of fingerprints that stand elsewhere too, by text, each with the number of places of its fingerprint."""
+def shared_prints(entries: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of fingerprints that stand elsewhere too, each place with the number of places of its fingerprint."""
     cut, several = several_places(entries)
     order = np.lexsort((entries["pos"], entries["text"], entries["key"]))
     own = entries[order]
@@ -141,7 +141,7 @@ def shared_prints(entries: np.ndarray, known: np.ndarray) -> pa.Table:
     total = np.add.reduceat(other + own["more"].astype(np.int64), cut[:-1]) if len(own) else np.zeros(0, np.int64)
     total = np.repeat(np.minimum(total, _MOST_COUNTED), np.diff(cut))[several]
     places = np.concatenate(((entries["pos"][several].astype(np.int64) << COUNT_BITS) | total, known["pos"].astype(np.int64) << COUNT_BITS))
-    return lists_by(np.concatenate((entries["text"][several], known["text"])), places, pa.int64(), ["text_key", "pos"])
+    return np.concatenate((entries["text"][several], known["text"])), places
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
@@ -181,11 +181,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     places = np.arange(max(0, len(data) - PRINT + 1))
                     hashes = K.span_hashes(sums, places, places + PRINT)
                     keys, owner, pos = [], [], []
-                    for r, sha in enumerate(shas):
-                        k = text_key(sha)
-                        if offsets[r + 1] - offsets[r] < length or not ids[row + r].is_valid or k in met:
+                    text_keys = [text_key(s) for s in shas]
+                    for r, (sha, k) in enumerate(zip(shas, text_keys)):
+                        if offsets[r + 1] - offsets[r] < length or not ids[row + r].is_valid or sha in met:
                             continue
-                        met.add(k)
+                        met.add(sha)
                         own = hashes[offsets[r] : offsets[r + 1] - PRINT + 1]
                         at = winnowed(own, width)
                         # The least hashes crowd at one end; mixed, they spread over all ranges.
@@ -194,16 +194,14 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         pos.append(at)
                     if keys:
                         yield from with_empty(packer.add(key=np.concatenate(keys), text=np.concatenate(owner), pos=np.concatenate(pos), more=0), _INFO)
-                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(offsets), pa.int64())), ("sha", pa.array(shas)), ("mark", batch.column(2).slice(row, end - row))])
+                    yield rows_only([("doc_id", ids.slice(row, end - row)), ("size", pa.array(np.diff(offsets), pa.int64())), ("sha", pa.array(shas)), ("mark", batch.column(2).slice(row, end - row)), ("text_key", pa.array(text_keys, pa.int64()))])
             yield from with_empty(packer.flush(), _INFO)
 
         return run
 
-    shared, info = anchor_table(texts, prints, "doc_id long, size long, sha string, mark long", _PRINT, shared_prints)
+    shared, info = anchor_table(texts, prints, INFO_SCHEMA, _PRINT, shared_prints)
     first_of = first_texts(info)
-    keyed = first_of.withColumn("text_key", F.conv(F.substring("sha", 1, 12), 16, 10).cast("long"))
-    places = shared.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("pos"))
-    some = durable(searched(texts, keyed.join(places, "text_key")), "suffix-texts")
+    some = durable(searched(texts, wanted_texts(first_of, shared)), "suffix-texts")
     parts = partitions(spark)
     buckets = 2 * parts
 
@@ -214,7 +212,14 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for row, end, data, offsets in K.slices(batch.column(1)):
                 sums = K.prefix_sums(data)
                 for r in range(end - row):
-                    marks = batch.column(3)[row + r].values.to_numpy()
+                    listed = batch.column(3)[row + r]
+                    if listed.is_valid:
+                        marks = listed.values.to_numpy()
+                    else:
+                        places = np.arange(offsets[r], max(offsets[r], offsets[r + 1] - PRINT + 1))
+                        marks = winnowed(K.span_hashes(sums, places, places + PRINT), width) << COUNT_BITS
+                    if not len(marks):
+                        continue
                     # Of a place listed twice the first, the smaller count, stays.
                     at, first = np.unique(marks >> COUNT_BITS, return_index=True)
                     low = np.maximum(at - width + 1, 0)
@@ -294,7 +299,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*columns, pa.array(left if keep_text else [None] * len(less), pa.string())], names=["doc_id", "sha", "less", "spans", "left_sha", "left_text"])
 
     changed = some.select("doc_id", "text", "sha").join(spans, "doc_id").mapInArrow(kept, "doc_id long, sha string, less long, spans long, left_sha string, left_text string")
-    whole = info.join(first_of.drop("mark"), "sha", "left").join(changed, ["doc_id", "sha"], "left")
+    whole = info.join(first_of.drop("mark", "text_key"), "sha", "left").join(changed, ["doc_id", "sha"], "left")
     copy = (F.col("copies") > 1) & (F.col("size") >= length)
     result = whole.select(
         "doc_id",
