@@ -1,5 +1,6 @@
 """Web archives in ZIP packages: a writer, and a reader that range-reads records without extraction."""
 
+import gzip
 import hashlib
 import io
 import json
@@ -7,6 +8,7 @@ import re
 import struct
 import uuid
 import zipfile
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs
@@ -15,46 +17,62 @@ from pyspark.sql import functions as F
 
 from cotejo.llm.shared import durable, new_folder
 
-#: Bytes of records in one package, and bytes that one range read takes in about.
+#: Bytes of an archive in one package, and bytes that one range read takes in about.
 PACKAGE_BYTES, RANGE_BYTES = 32 << 20, 4 << 20
 #: Payloads below this many bytes are always stored.
 LEAST_REVISIT = 100
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_SPACE = uuid.UUID("6f1d0b52-2f3c-4a58-9c54-0a8f4a5f3a10")
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _record(page_id, url: str, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
+def _urn(page_id) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, '' if page_id is None else str(page_id))}>"
+
+
+def _record(page_id, url: str, payload: bytes, size: int, digest: str, kind: str, refers_to, date: str) -> bytes:
     block = _HTTP + payload if kind == "response" else _HTTP
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', lambda m: f'%{ord(m[0]):02X}', url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {size}",
+        *([] if page_id is None else [f"WARC-Page-ID: {page_id}"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(raw: bytes) -> tuple:
-    """One record, from its first byte to its last, as a row of RECORDS. A payload that differs from its digest raises ValueError."""
+    """One record, from its first byte to its last, as a row of RECORDS; gzipped records are unpacked.
+
+    A payload that differs from its SHA-256 digest raises ValueError. Records of other writers have a
+    null page_id; without a SHA-256 digest in hexadecimals it is computed from the payload.
+    """
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    page = lambda name: int(m[1]) if (m := re.search(r"urn:page:(-?\d+)>", fields.get(name, ""))) else None
-    block = rest[: int(fields["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    kind = fields["WARC-Type"]
-    if kind == "response":
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
-        return page("WARC-Record-ID"), fields["WARC-Target-URI"], payload, len(payload), digest, kind, None
-    return page("WARC-Record-ID"), fields["WARC-Target-URI"], None, int(fields["WARC-Payload-Length"]), digest, kind, page("WARC-Refers-To")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    page = lambda name: int(fields[name]) if re.fullmatch(r"-?\d+", fields.get(name, "")) else None
+    block = rest[: int(fields.get("content-length", 0))]
+    http = "application/http" in fields.get("content-type", "")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    said = fields.get("warc-payload-digest", "")
+    digest = said.removeprefix("sha256:") if re.fullmatch("sha256:[0-9a-f]{64}", said) else None
+    kind, url = fields.get("warc-type", ""), fields.get("warc-target-uri")
+    if kind == "revisit":
+        length = page("warc-payload-length")
+        return page("warc-page-id"), url, None, length, digest, kind, page("warc-refers-to-page-id")
+    found = hashlib.sha256(payload).hexdigest()
+    if digest not in (None, found):
+        raise ValueError(f"payload of {fields.get('warc-record-id')} differs from its digest")
+    return page("warc-page-id"), url, payload, len(payload), found, kind, None
 
 
 def open_file(path: str):
@@ -109,46 +127,67 @@ def package_members(file) -> list[tuple[str, int, int]]:
 
 
 def record_places(file) -> list[tuple[int, int]]:
-    """(first byte in the package, bytes) of every record, by the indexes in the package."""
+    """(first byte in the package, bytes) of every record, by the indexes (CDX lines that end in JSON, plain or gzipped) in the package."""
     members = package_members(file)
-    base = {name: at for name, at, _ in members if name.endswith(".warc")}
+    base = {name.removeprefix("archive/"): at for name, at, _ in members if name.startswith("archive/")}
     places = []
     for name, at, size in members:
-        if name.startswith("indexes/"):
+        if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", name):
             file.seek(at)
-            for line in file.read(size).splitlines():
-                x = json.loads(line.split(b" ", 1)[1])
-                places.append((base[f"archive/{x['filename']}"] + x["offset"], x["length"]))
+            raw = file.read(size)
+            for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).splitlines():
+                if b"{" in line:
+                    x = json.loads(line[line.index(b"{") :])
+                    if x["filename"] not in base:
+                        raise ValueError(f"the index names {x['filename']}, which is not in the package")
+                    places.append((base[x["filename"]] + int(x["offset"]), int(x["length"])))
     return sorted(places)
 
 
-def write_packages(pages: DataFrame, folder: str) -> DataFrame:
+class _Forward:
+    """An output stream that zipfile writes from front to back."""
+
+    def __init__(self, out):
+        self.out, self.at = out, 0
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        self.at += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.at
+
+    def flush(self) -> None:
+        self.out.flush()
+
+
+def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes rows of RECORDS (payload as stored) as packages under folder; returns (path, records), one row each.
 
-    Each task names its own files, so a repeated task writes others and only those of the one that succeeded are in the result, which is written at once.
+    Every record is a gzip member of its own in an archive that the package stores as it is, so records can be read by range. Each task names its own files, so a repeated task writes others and only those of the one that succeeded are in the result, which is written at once.
     """
 
     def run(batches):
         fs, inner = pyarrow.fs.FileSystem.from_uri(folder)
         body, index = io.BytesIO(), []
+        date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        stamp = re.sub(r"\D", "", date)
 
         def flush():
             name = f"{uuid.uuid4().hex}.wacz"
             fs.create_dir(inner, recursive=True)
-            package = io.BytesIO()
-            with zipfile.ZipFile(package, "w", zipfile.ZIP_STORED) as z:
-                z.writestr(zipfile.ZipInfo("archive/data.warc"), body.getbuffer())
+            with fs.open_output_stream(f"{inner}/{name}") as out, zipfile.ZipFile(_Forward(out), "w", zipfile.ZIP_STORED) as z:
+                z.writestr(zipfile.ZipInfo("archive/data.warc.gz"), body.getbuffer())
                 z.writestr(zipfile.ZipInfo("indexes/index.cdxj"), "".join(index))
-            with fs.open_output_stream(f"{inner}/{name}") as out:
-                out.write(package.getbuffer())
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(index)], pa.int64())], names=["path", "records"])
 
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"))):
-                raw = _record(row[0], row[1] or "", (row[2] or "").encode(), *row[3:])
-                index.append(f"{row[0]} " + json.dumps({"filename": "data.warc", "offset": body.tell(), "length": len(raw)}) + "\n")
+                raw = gzip.compress(_record(row[0], row[1] or "", (row[2] or "").encode(), *row[3:], date), 6, mtime=0)
+                index.append(f"{row[0]} {stamp} " + json.dumps({"filename": "data.warc.gz", "offset": body.tell(), "length": len(raw)}) + "\n")
                 body.write(raw)
-                if body.tell() >= PACKAGE_BYTES:
+                if body.tell() >= package_bytes:
                     yield flush()
                     body, index = io.BytesIO(), []
         if index:
@@ -206,7 +245,8 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes one record a page into packages in the shared folder and reads them back.
 
     Null html is an empty payload and null urls are empty. Rows of equal id are records each; a null id is a
-    response that nothing refers to. Other columns are not kept. The file system of the folder must be one that
+    response that nothing refers to. Of equal payloads the smallest id is the response, so ties can't occur. A payload of any
+    length is one record and one read; a package may exceed its usual size by one record. An empty table gives no package and no rows. Other columns are not kept. The file system of the folder must be one that
     pyarrow opens on all executors.
     """
     return read_packages(write_packages(deduplicated(pages), new_folder(spark, "warc")))

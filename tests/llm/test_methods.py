@@ -156,7 +156,7 @@ def test_zip64_directories():
 
 
 def test_changed_payloads_are_noticed():
-    raw = warc._record(1, "u", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), "response", None)
+    raw = warc._record(1, "u", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), "response", None, "2024-01-01T00:00:00Z")
     assert warc.parse_record(raw)[2] == b"payload"
     with pytest.raises(ValueError):
         warc.parse_record(raw.replace(b"payload\r\n", b"paylord\r\n"))
