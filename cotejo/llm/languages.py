@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from cotejo.llm import kernels as K
 from cotejo.llm.samples import bounded_by_class, remainder
 
-BINS = 1 << 15
-#: Documents of each language that the model learns from, about, and most languages that it can have.
-TRAIN_DOCS, MOST_LANGUAGES = 1500, 1000
+#: Hashed trigrams of the model, and the parts in which they are counted.
+BINS, PARTS = 1 << 15, 16
+#: Documents of each language that the model learns from, about. Of languages it can have samples.MOST_CLASSES.
+TRAIN_DOCS = 1500
 #: Nats that each further language of a document has to gain, besides half the log of its words.
 PENALTY = 4.0
 
@@ -36,9 +37,9 @@ class LanguageModel:
 
 
 def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, most: int = TRAIN_DOCS) -> LanguageModel:
-    """A model from about `most` documents of each language. The driver gets one table of BINS counts a language and task, of 16 tasks."""
+    """A model from about `most` documents of each language, counted where they lie. The driver gets one table of BINS counts a language."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sample = bounded_by_class(rows, "lang", "doc_id", most).select("lang", "text").repartition(16)
+    sample = bounded_by_class(rows, "lang", "doc_id", most).select("lang", "text")
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
@@ -49,18 +50,30 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, most:
                 for r in range(end - row):
                     c = counts.setdefault(langs[row + r], np.zeros(BINS, np.int64))
                     c += np.bincount(bins[offsets[r] : offsets[r + 1]], minlength=BINS)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
+        # Only bins that stand in these texts go out, so a task sends no more than its own sample holds.
+        for lang, c in counts.items():
+            some = np.flatnonzero(c)
+            part = some * PARTS // BINS
+            cut = np.searchsorted(part, np.arange(PARTS + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * PARTS), pa.array(np.arange(PARTS, dtype=np.int32)), K.list_array(some.astype(np.int64), cut, pa.int64()), K.list_array(c[some], cut, pa.int64())], names=["lang", "part", "bins", "n"]
+            )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(BINS, np.int64)
+        for bins, n in zip(table["bins"], table["n"]):
+            total[bins.values.to_numpy()] += n.values.to_numpy()
+        part, width = table["part"][0].as_py(), BINS // PARTS
+        return pa.table([table["lang"][:1], table["part"][:1], pa.array([total[part * width : (part + 1) * width].tobytes()], pa.binary())], names=["lang", "part", "counts"])
 
     total: dict[str, np.ndarray] = {}
-    for lang, counts in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        total[lang] = total.get(lang, 0) + np.frombuffer(counts, np.int64)
-    if len(total) > MOST_LANGUAGES:
-        raise ValueError(f"{len(total)} languages; the model holds {MOST_LANGUAGES}")
+    summed = sample.mapInArrow(count, "lang string, part int, bins array<long>, n array<long>").groupBy("lang", "part").applyInArrow(add, "lang string, part int, counts binary")
+    for lang, part, counts in summed.toLocalIterator():
+        total.setdefault(lang, np.zeros((PARTS, BINS // PARTS), np.int64))[part] = np.frombuffer(counts, np.int64)
     names = tuple(sorted(total))
     if not names:
         return LanguageModel((), np.zeros((BINS, 0), np.float32))
-    c = np.stack([total[x] for x in names], axis=1) + 0.1
+    c = np.stack([total[x].reshape(-1) for x in names], axis=1) + 0.1
     return LanguageModel(names, np.log(c / c.sum(axis=0)).astype(np.float32))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
-from cotejo.llm.samples import bounded_by_class
+from cotejo.llm.samples import labelled_texts
 
 #: Labelled documents of each class that the field is fitted on, about, and the most bytes and lines of one that is.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 600, 20_000, 200
@@ -176,12 +176,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Null and empty texts have no words and fail the base rules. Rows of equal id are each
     judged. Without labels of both classes every line is content. Other columns are not looked at.
     """
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    drawn = bounded_by_class(marked, "quality", "doc_id", train_docs)
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("quality")).where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     short = texts.where((F.octet_length("text") <= TRAIN_BYTES) & (F.regexp_count("text", F.lit("\n")) < TRAIN_LINES))
-    sample = sorted((r["quality"], r["text"]) for r in short.join(drawn, "doc_id").select("quality", "text").limit(4 * train_docs).collect())
-    encoded = [(np.frombuffer(t.encode(), np.uint8), y) for y, t in sample]
+    encoded = [(np.frombuffer(t.encode(), np.uint8), int(y)) for y, t in labelled_texts(short, marked, "good", train_docs)]
     if len({y for _, y in encoded}) > 1:
         model = fit([(Lines(d, np.array([0, len(d)])).x, y) for d, y in encoded])
     else:

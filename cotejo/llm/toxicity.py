@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
-from cotejo.llm.samples import bounded_by_class, remainder
+from cotejo.llm.samples import labelled_texts, remainder
 
 #: Labelled documents of each class that are learnt from, about, and the most bytes of one that is.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 20_000
@@ -137,16 +137,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Null and empty texts get the score of a text without savings. Without labels of both kinds all scores are low.
     Rows of equal id are each scored by their own text; a null id is not held out. Other columns are not looked at.
     """
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     marked = marked.where(remainder("doc_id", 4) != 2)
     shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    drawn = bounded_by_class(marked, "toxic", "doc_id", train_docs)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    sample = sorted((r["toxic"], r["text"]) for r in texts.join(drawn, "doc_id").select("toxic", "text").limit(4 * train_docs).collect())
-    lower = lambda y: [x.encode().translate(bytes(K.LOWER)) for k, x in sample if (k == 1) == y]
+    sample = labelled_texts(texts, marked, "toxic", train_docs)
+    lower = lambda y: [x.encode().translate(bytes(K.LOWER)) for k, x in sample if k == y]
     toxic, ordinary = lower(True), lower(False)
     model = learn(toxic, ordinary)
-    n, m = shares.get(1, 0), sum(v for k, v in shares.items() if k != 1)
+    n, m = shares.get(True, 0), shares.get(False, 0)
     shift = float(np.log((n + 0.5) / (m + 0.5) * (len(ordinary) + 0.5) / (len(toxic) + 0.5)))
     model = ToxicityModel(model.ordinary, model.toxic, (model.weights[0] + shift, *model.weights[1:]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
