@@ -30,6 +30,10 @@ def fee_info(fee: Column, threshold: Column, price_usd: Column, store: Column, d
     return F.struct(F.coalesce(fee, F.when(guess, default), F.lit(0.0)).alias("fee"), guess.alias("estimated"))
 
 
+def is_wholesale(store: Column) -> Column:
+    return F.coalesce(store == "alibaba", F.lit(False))
+
+
 def display_price(price: Column, fee: Column, include_shipping: bool) -> Column:
     return price + fee if include_shipping else price
 

@@ -8,7 +8,7 @@ MARKED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūýÿñçÁÀÂ
 PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuyyncAAAAAAAEEEEEIIIIIOOOOOOUUUUUYYNC"
 # Noise in names, words without content, unit words.
 NOISE = [r"\[[^\]]*warehouse[^\]]*\]", r"\bglobal\b", r"\beu\s*plug\b", r"\bus\s*plug\b", r"\buk\s*plug\b", r"\bnew\b", r"\bversion\b"]
-STOP_WORDS = "de con para the and y a en un una inch pulgadas color network support black white".split()
+STOP_WORDS = ["de", "con", "para", "the", "and", "y", "a", "en", "un", "una", "inch", "pulgadas", "color", "network", "support", "black", "white"]
 UNITS = r"gb|mb|tb|kg|mah|watts?|hz|kpa|pulgadas?|in"
 
 _NOISE = "(?iU)" + "|".join(NOISE)

@@ -115,6 +115,14 @@ def list_rows(ranked: DataFrame, sort: str = "relevance") -> DataFrame:
     return ranked.select(*shown)
 
 
+def option_counts(offers: DataFrame, variants: DataFrame) -> DataFrame:
+    """(id, options, variants): the larger of a product's numbers of offers and of colour variants, and the most variants that one of its offers has."""
+    n = offers.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    per = variants.groupBy("id", "store_id").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.sum("k").alias("colors"), F.max("k").alias("variants"))
+    both = n.join(per, "id", "full_outer").na.fill(0, ["n", "colors", "variants"])
+    return both.select("id", F.greatest("n", "colors").alias("options"), "variants")
+
+
 def facet_counts(rows: DataFrame, column: str) -> DataFrame:
     """Rows for each value and, with a null value, for all."""
     return rows.rollup(column).agg(F.count(F.lit(1)).alias("n"))
@@ -125,6 +133,16 @@ def brands_in_scope(rows: DataFrame, typed: str = "") -> DataFrame:
     return (brands.where(F.contains(F.lower("brand"), F.lit(typed.lower()))) if typed else brands).orderBy("brand")
 
 
+def brand_categories(brands: DataFrame) -> DataFrame:
+    """The categories of the brand directory, in order."""
+    return brands.select("category").where("category is not null and category <> ''").distinct().orderBy("category")
+
+
+def brands_of_category(brands: DataFrame, category: str | None) -> DataFrame:
+    """The brand directory's entries of a category; all of them for none."""
+    return brands if category is None else brands.where(F.col("category") == category)
+
+
 def price_scope(rows: DataFrame) -> DataFrame:
     """Whole bounds of the slider for the category in scope; 0 and 1000 where nothing is."""
     bounds = rows.agg(F.floor(F.min("min_price")).alias("low"), F.ceil(F.max("min_price")).alias("top"))

@@ -1,6 +1,7 @@
 """The same product across stores' feeds: by identifier, by model and specifications, by likeness."""
 
 import difflib
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cotejo.functions import text
+from cotejo.sources.written import durable
 
 THRESHOLD = 0.60
 _COMPARED = ("ram_gb", "storage_gb", "screen_in")
-_ROW = "pos long, source string, source_id string, name string, normal string, brand_key string, identifier_key string, model array<string>, ram_gb long, storage_gb long, screen_in double, ord long"
-_GROUPED = "group_key string, pos long, matched_by string, confidence double"
+#: What decides whether two offers of a brand and model word go together.
+_SIGN = ("source", *_COMPARED)
 
 
 def prepare(offers: DataFrame) -> DataFrame:
@@ -55,33 +57,51 @@ def by_identifier(rows: DataFrame) -> DataFrame:
     return groups.select(F.concat(F.lit("i:"), "identifier_key").alias("group_key"), F.explode("kept").alias("k")).select("group_key", F.col("k.pos").alias("pos"), F.lit("identifier").alias("matched_by"), F.lit(1.0).alias("confidence"))
 
 
-def by_model(rows: DataFrame) -> DataFrame:
-    """Stars round the first free offer of a brand: other sources, a shared model token, nothing that contradicts.
+def _least_of_signs(rows: DataFrame, name: str) -> DataFrame:
+    """For each brand and model word, the earliest row of every sign: one entry for each sign, however many rows have it."""
+    sign = F.struct(*_SIGN)
+    per = rows.select("brand_key", sign.alias("sign"), "ord", "pos", F.explode("model").alias("token")).groupBy("brand_key", "token", "sign").agg(F.min(F.struct("ord", "pos")).alias("least"))
+    return per.groupBy("brand_key", "token").agg(F.collect_list(F.struct("sign", "least")).alias(name))
+
+
+def _earliest_fit(rows: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
+    """rows with `name`: the earliest entry (ord, pos) of blocks before the row that shares a brand and model word, comes from another source and contradicts in nothing; null if none."""
+
+    def before(entry: Column) -> Column:
+        sign, fine = entry["sign"], (entry["least"]["ord"] < F.col("ord")) & (entry["sign"]["source"] != F.col("source"))
+        for c in _COMPARED:
+            fine &= F.coalesce(sign[c] == F.col(c), F.lit(True))
+        return fine
+
+    met = rows.select("pos", "ord", "brand_key", *_SIGN, F.explode("model").alias("token")).join(blocks, ["brand_key", "token"])
+    found = met.select("pos", F.array_min(F.transform(F.filter("entries", before), lambda e: e["least"])).alias("e")).groupBy("pos").agg(F.min("e").alias(name))
+    return rows.join(found, "pos", "left")
 
-    Pairs come from a join on brand and token; only the order in which anchors take their stars is walked, in a brand's pairs.
-    """
-    token = rows.select("*", F.explode("model").alias("token"))
-    a, b = token.alias("a"), token.alias("b")
-    later = (F.col("a.ord") < F.col("b.ord")) & (F.col("a.source") != F.col("b.source"))
-    pairs = a.join(b, (F.col("a.brand_key") == F.col("b.brand_key")) & (F.col("a.token") == F.col("b.token")) & later).where(compatible("a", "b"))
-    pairs = pairs.select(F.col("a.brand_key").alias("brand_key"), F.col("a.pos").alias("anchor"), F.col("a.ord").alias("anchor_ord"), F.col("b.pos").alias("other"), F.col("b.ord").alias("other_ord")).distinct()
-
-    def stars(block: pd.DataFrame) -> pd.DataFrame:
-        key = lambda o: (o["a"], o["b"], o["c"])
-        used, out = set(), []
-        links: dict = {}
-        for p in block.itertuples(index=False):
-            links.setdefault((key(p.anchor_ord), p.anchor), []).append((key(p.other_ord), p.other))
-        for (_, anchor), others in sorted(links.items()):
-            if anchor in used:
-                continue
-            star = [o for _, o in sorted(others) if o not in used]
-            if star:
-                used.update(star, [anchor])
-                out += [(f"m:{anchor}", x, "model_specs", 0.9) for x in (anchor, *star)]
-        return pd.DataFrame(out, columns=["group_key", "pos", "matched_by", "confidence"])
 
-    return pairs.groupBy("brand_key").applyInPandas(stars, _GROUPED)
+def by_model(rows: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Stars round the first free offer of a brand: other sources, a shared model word, nothing that contradicts.
+
+    In order, an offer is the centre of a star unless an earlier centre goes with it; the others
+    join their earliest centre. Each round settles at once all offers without an earlier unsettled one
+    that goes with them. Offers meet their word's earliest offer of every sign (source and specifications), never each
+    other, so a frequent word costs its rows times its signs, not its pairs. Every round is written.
+    """
+    model = durable(rows.where(F.size("model") > 0).select("pos", "ord", "brand_key", "model", *_SIGN), "models")
+    open_, centres = model, None
+    for _ in range(rounds):
+        seen = durable(_earliest_fit(open_, _least_of_signs(open_, "entries"), "earlier"), "round")
+        new = seen.where("earlier is null").drop("earlier")
+        centres = new if centres is None else centres.unionByName(new)
+        open_ = durable(_earliest_fit(seen.where("earlier is not null").drop("earlier"), _least_of_signs(new, "entries"), "taken").where("taken is null").drop("taken"), "open")
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"stars not settled after {rounds} rounds")
+    others = model.join(centres.select("pos"), "pos", "left_anti")
+    joined = _earliest_fit(others, _least_of_signs(centres, "entries"), "centre").select(F.col("centre.pos").alias("anchor"), "pos")
+    stars = durable(joined, "stars")
+    both = stars.unionByName(stars.select("anchor", F.col("anchor").alias("pos")).distinct())
+    return both.select(F.concat(F.lit("m:"), F.col("anchor").cast("string")).alias("group_key"), "pos", F.lit("model_specs").alias("matched_by"), F.lit(0.9).alias("confidence"))
 
 
 @F.pandas_udf(DoubleType())
@@ -95,37 +115,92 @@ def rounded(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 4))
 
 
-def likeness(rows: DataFrame) -> DataFrame:
-    """Scores of all pairs of a brand from different sources, the earlier offer first: half the share of common words, half the likeness of characters, less if specifications contradict."""
+def likeness(rows: DataFrame, least: float = 0.0, left: DataFrame | None = None) -> DataFrame:
+    """Scores of pairs of a brand from different sources, the earlier offer first: half the share of common words, half the likeness of characters, less if specifications contradict.
+
+    Every pair that scores `least` or more is there. Characters are compared only where words and
+    lengths leave that score within reach; from 0.2 on, half of which words alone must give beyond 0.5, pairs meet by a common word.
+    left: (pos), where only pairs with one of these are asked for.
+    """
     words = rows.withColumn("words", text.content_tokens(F.col("normal")))
-    a, b = words.alias("a"), words.alias("b")
-    pairs = a.join(b, (F.col("a.brand_key") == F.col("b.brand_key")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.source") != F.col("b.source")))
+    one, two = words.alias("a"), words.alias("b")
+    if least >= 0.51:
+        # Without a common word the score is at most 0.5.
+        key = words.select("pos", F.explode("words").alias("w"), "brand_key", "ord", "source")
+        a, b = key.alias("a"), key.alias("b")
+        met = a.join(b, (F.col("a.brand_key") == F.col("b.brand_key")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.source") != F.col("b.source")))
+        pairs = met.select(F.col("a.pos").alias("p"), F.col("b.pos").alias("q")).distinct()
+        pairs = pairs.join(one, F.col("p") == F.col("a.pos")).join(two, F.col("q") == F.col("b.pos"))
+    else:
+        pairs = one.join(two, (F.col("a.brand_key") == F.col("b.brand_key")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.source") != F.col("b.source")))
+    if left is not None:
+        mark = lambda side: left.select(F.col("pos").alias(f"left_{side}"))
+        pairs = pairs.join(mark("a"), F.col("a.pos") == F.col("left_a"), "left").join(mark("b"), F.col("b.pos") == F.col("left_b"), "left").where("left_a is not null or left_b is not null")
     union = F.size(F.array_union("a.words", "b.words"))
     jaccard = F.when((F.size("a.words") > 0) & (F.size("b.words") > 0), F.size(F.array_intersect("a.words", "b.words")) / union).otherwise(0.0)
     conflict = F.lit(False)
     for c in _COMPARED:
         conflict |= F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(False))
-    score = (0.5 * jaccard + 0.5 * char_ratio("a.normal", "b.normal")) * F.when(conflict, 0.3).otherwise(1.0)
-    return pairs.select(*(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("pos", "ord")), rounded(score).alias("score"))
+    pairs = pairs.select(*(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("pos", "ord", "normal")), jaccard.alias("shared"), F.when(conflict, 0.3).otherwise(1.0).alias("factor"))
+    if least > 0:
+        n, m = F.length("a_normal"), F.length("b_normal")
+        most = F.when(n + m > 0, 2 * F.least(n, m) / (n + m)).otherwise(1.0)
+        pairs = pairs.where((0.5 * F.col("shared") + 0.5 * most) * F.col("factor") >= least - 0.0001)
+    score = (0.5 * F.col("shared") + 0.5 * char_ratio("a_normal", "b_normal")) * F.col("factor")
+    return pairs.select("a_pos", "a_ord", "b_pos", "b_ord", rounded(score).alias("score")).where(F.col("score") >= least)
+
+
+def equal_names(rows: DataFrame) -> DataFrame:
+    """(a_pos, b_pos, score): pairs of equal names of a brand, which score 1 and so come before all others: each offer in order takes the next free one of another source that contradicts in nothing."""
+
+    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        rows = block.sort_values("key")
+        known = list(zip(rows.pos, rows.source, *(rows[c] for c in _COMPARED)))
+        # Free offers by sign, in order: an offer looks at the first of each sign only.
+        waiting: dict = {}
+        for i, r in enumerate(known):
+            waiting.setdefault(tuple(None if pd.isna(v) else v for v in r[1:]), deque()).append(i)
+        fits = lambda s, t: s[0] != t[0] and all(x is None or y is None or x == y for x, y in zip(s[1:], t[1:]))
+        used, out = set(), []
+        for i, r in enumerate(known):
+            sign = tuple(None if pd.isna(v) else v for v in r[1:])
+            if i in used:
+                continue
+            waiting[sign].popleft()
+            best = min((w[0] for s, w in waiting.items() if w and fits(sign, s)), default=None)
+            if best is not None:
+                other = next(s for s, w in waiting.items() if w and w[0] == best)
+                waiting[other].popleft()
+                used.add(best)
+                out.append((r[0], known[best][0], 1.0))
+        return pd.DataFrame(out, columns=["a_pos", "b_pos", "score"])
+
+    key = F.format_string("%d:%020d:%020d", F.col("ord.a"), F.col("ord.b"), F.col("ord.c"))
+    return rows.select("brand_key", "normal", "pos", "source", *_COMPARED, key.alias("key")).groupBy("brand_key", "normal").applyInPandas(pairs, "a_pos long, b_pos long, score double")
 
 
-def by_likeness(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs taken greedily by score, then order: round after round those that are best for both sides, which gives the same pairs.
+def greedy_pairs(scores: DataFrame) -> DataFrame:
+    """(a_pos, b_pos, score): pairs taken by score, then order, each offer once.
 
-    The best pair of all is taken in each round, so rounds end; offers of equal names take about half as many rounds as there are of them.
+    Round after round takes those that are best for both sides, which gives the same pairs; the best
+    pair of all is taken in each round, so rounds end. Every round is written.
     """
-    left = scores.where(F.col("score") >= threshold).persist()
-    found, count = None, left.count()
-    while count:
+    found, left = None, durable(scores, "scores")
+    while found is None or not left.isEmpty():
         ends = left.select(F.col("a_pos").alias("pos"), "score", "a_ord", "b_ord", "a_pos", "b_pos").unionByName(left.select(F.col("b_pos").alias("pos"), "score", "a_ord", "b_ord", "a_pos", "b_pos"))
         best = ends.groupBy("pos").agg(F.min_by(F.struct("a_pos", "b_pos"), F.struct(-F.col("score"), F.col("a_ord"), F.col("b_ord"))).alias("p"))
-        mutual = left.join(best.groupBy("p.a_pos", "p.b_pos").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n"), ["a_pos", "b_pos"]).select("a_pos", "b_pos", "score").persist()
+        mutual = durable(left.join(best.groupBy("p.a_pos", "p.b_pos").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n"), ["a_pos", "b_pos"]).select("a_pos", "b_pos", "score"), "mutual")
         found = mutual if found is None else found.unionByName(mutual)
         taken = mutual.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"))
-        left = left.join(taken.withColumnRenamed("pos", "a_pos"), "a_pos", "left_anti").join(taken.withColumnRenamed("pos", "b_pos"), "b_pos", "left_anti").persist()
-        count = left.count()
-    if found is None:
-        return scores.sparkSession.createDataFrame([], _GROUPED)
+        left = durable(left.join(taken.withColumnRenamed("pos", "a_pos"), "a_pos", "left_anti").join(taken.withColumnRenamed("pos", "b_pos"), "b_pos", "left_anti"), "scores")
+    return found
+
+
+def by_likeness(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of at least `threshold`, taken greedily by score, then order. Pairs of equal names come first, all in one step."""
+    first = durable(equal_names(rows), "equal-names")
+    rest = rows.join(first.select(F.explode(F.array("a_pos", "b_pos")).alias("pos")), "pos", "left_anti")
+    found = first.unionByName(greedy_pairs(likeness(rest, threshold))).where(F.col("score") >= threshold)
     return found.select(F.concat(F.lit("s:"), F.col("a_pos").cast("string")).alias("group_key"), F.explode(F.array("a_pos", "b_pos")).alias("pos"), F.lit("similarity").alias("matched_by"), F.col("score").alias("confidence"))
 
 
@@ -134,14 +209,14 @@ def match_offers(offers: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
 
     review has the offers in no group: status pending with best candidate, score and question, or singleton where no pair scored above 0.
     """
-    rows = prepare(offers).persist()
-    first = by_identifier(rows).persist()
-    rest = rows.join(first.select("pos"), "pos", "left_anti").persist()
-    second = by_model(rest).persist()
-    rest = rest.join(second.select("pos"), "pos", "left_anti").persist()
-    scores = likeness(rest).persist()
-    third = by_likeness(scores, threshold)
+    rows = durable(prepare(offers), "offers")
+    first = durable(by_identifier(rows), "by-identifier")
+    rest = durable(rows.join(first.select("pos"), "pos", "left_anti"), "rest")
+    second = by_model(rest)
+    rest = durable(rest.join(second.select("pos"), "pos", "left_anti"), "rest")
+    third = durable(by_likeness(rest, threshold), "by-likeness")
     groups = first.unionByName(second).unionByName(third)
+    scores = durable(likeness(rest, 0.0, rest.join(third, "pos", "left_anti").select("pos")), "candidates")
     sides = scores.select(F.col("a_pos").alias("pos"), F.col("b_pos").alias("candidate"), "a_ord", "b_ord", "score").unionByName(scores.select(F.col("b_pos").alias("pos"), F.col("a_pos").alias("candidate"), "a_ord", "b_ord", "score"))
     best = sides.where("score > 0").groupBy("pos").agg(F.min_by(F.struct("candidate", "score"), F.struct(-F.col("score"), F.col("a_ord"), F.col("b_ord"))).alias("b"))
     left = rest.join(third.select("pos"), "pos", "left_anti").join(best, "pos", "left")

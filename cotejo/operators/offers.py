@@ -18,7 +18,8 @@ def routes(regions: DataFrame, target: int | str) -> DataFrame:
     """Every hub region's way to the target region: same_region, same_metro, km and the target's infrastructure days."""
     to = regions.where(F.col("region") == target).select(F.col("region").alias("t"), F.col("metro").alias("tm"), F.col("lat").alias("tlat"), F.col("lng").alias("tlng"), F.col("infra").alias("infra_days"))
     from_ = regions.select(F.col("region").alias("hub"), "metro", "lat", "lng")
-    both = from_.join(F.broadcast(to))
+    # A region's key is unique: the target is one row.
+    both = from_.join(F.broadcast(to.limit(1)))
     km = pricing.distance_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng"))
     return both.select("hub", (F.col("hub") == F.col("t")).alias("same_region"), (F.col("metro") == F.col("tm")).alias("same_metro"), km.alias("km"), "infra_days")
 
@@ -38,6 +39,10 @@ def offer_table(offers: DataFrame, stores: DataFrame, regions: DataFrame, target
     return rows.withColumn("shipping_label", pricing.shipping_label(F.col("ship_fee"), F.col("free"), F.lit(None).cast("double"), F.col("hub"))).withColumn("verified", F.coalesce("verified", F.lit(False)))
 
 
+def regions_in_metro(regions: DataFrame, metro: int | str) -> DataFrame:
+    return regions.where(F.col("metro") == metro)
+
+
 def best_value(offers: DataFrame) -> DataFrame:
     """The offer of best value of each product with offers: 0.4 price + 0.3 rating + 0.3 stock; null store where it is the cheapest's."""
     of = Window.partitionBy("id")
@@ -60,6 +65,12 @@ def explode_variants(products: DataFrame, offers: DataFrame, variants: DataFrame
     return single.unionByName(many)
 
 
+def with_store(offers: DataFrame, stores: DataFrame) -> DataFrame:
+    """Offers with their stores; an offer of an unknown store is an error."""
+    rows = offers.join(small(stores.withColumn("known", F.lit(True))), "store_id", "left")
+    return rows.where(F.assert_true(F.col("known").isNotNull(), F.concat(F.lit("unknown store "), F.col("store_id").cast("string"))).isNull()).drop("known")
+
+
 def upsert_live(offers: DataFrame, live: DataFrame) -> DataFrame:
     """Live offers over stored ones by (id, store_id): live fields win, nulls too; fields that only stored offers have stay; new ones come last."""
     keys = ["id", "store_id"]

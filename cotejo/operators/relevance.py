@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from cotejo.functions import text
 
 # Words of accessories, of model variants, and words that tell nothing.
-ACCESSORIES = "funda, case, carcasa, protector, mica, vidrio, templado, pantalla, lcd, display, cable, cargador, adaptador, bateria, soporte, cover, estuche, correa, mochila, maletin, repuesto, juguete, para nino, para nina".split(", ")
-VARIANTS = "max plus ultra lite mini pro neo se".split()
-NOISE = "gb ram dual sim celular smartphone global version g tb mah".split()
+ACCESSORIES = ["funda", "case", "carcasa", "protector", "mica", "vidrio", "templado", "pantalla", "lcd", "display", "cable", "cargador", "adaptador", "bateria", "soporte", "cover", "estuche", "correa", "mochila", "maletin", "repuesto", "juguete", "para nino", "para nina"]
+VARIANTS = ["max", "plus", "ultra", "lite", "mini", "pro", "neo", "se"]
+NOISE = ["gb", "ram", "dual", "sim", "celular", "smartphone", "global", "version", "g", "tb", "mah"]
 REFURBISHED = r"(?i)reacondicionad|renewed|reembalad|remanufactur|segunda\s+mano|semi-?nuevo|\busado\b"
 
 
@@ -66,7 +66,24 @@ def cheapest_listing(listings: DataFrame) -> DataFrame:
 
 
 # Attributes shown as specifications, with their labels, in this order.
-ATTRIBUTES = {"BRAND": "Marca", "MODEL": "Modelo", "COLOR": "Color", "INTERNAL_MEMORY": "Memoria interna", "RAM": "RAM"}
+ATTRIBUTES = {
+    "MODEL": "Modelo",
+    "LINE": "Línea",
+    "INTERNAL_MEMORY": "Almacenamiento",
+    "RAM": "Memoria RAM",
+    "MAIN_COLOR": "Color",
+    "SCREEN_SIZE": "Pantalla",
+    "MAIN_REAR_CAMERA_RESOLUTION": "Cámara principal",
+    "PROCESSOR_MODEL": "Procesador",
+    "CAPACITY": "Capacidad",
+    "WEIGHT": "Peso",
+    "IS_SMART": "Smart TV",
+    "DISPLAY_RESOLUTION": "Resolución",
+}
+
+
+def item_url(key: Column, base: str) -> Column:
+    return F.concat(F.lit(base.rstrip("/") + "/p/"), key)
 
 
 def attribute(attributes: Column, key: str) -> Column:

@@ -29,6 +29,12 @@ def category_report(rows: DataFrame, cap: int = CAP) -> DataFrame:
     return rows.withColumn("total", F.count(F.lit(1)).over(of)).withColumn("rank", F.row_number().over(of.orderBy(F.desc("review_count"), "pos"))).where(F.col("rank") <= cap)
 
 
+def report_offers(offers: DataFrame) -> DataFrame:
+    """Offers of each product by raw price, with rank and a mark on the cheapest."""
+    of = Window.partitionBy("id")
+    return offers.withColumn("rank", F.row_number().over(of.orderBy("price", "store_id"))).withColumn("cheapest", F.min("price").over(of) == F.col("price"))
+
+
 def category_description(rows: DataFrame) -> DataFrame:
     brands = F.array_join(F.array_sort(F.collect_set("brand")), ", ")
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), brands.alias("brands")).withColumn("description", F.concat(text.plural(F.col("n"), "producto", "productos"), F.lit(" de "), F.col("brands")))
@@ -63,10 +69,16 @@ def sitemap(products: DataFrame, categories: DataFrame, base: str = "https://exa
 
 
 def product_description(rows: DataFrame) -> DataFrame:
-    said = F.concat(F.lit("Compara precios de "), text.escape_html(F.col("name")), F.lit(" en "), text.plural(F.col("offer_count"), "tienda", "tiendas"), F.lit(" desde "), pricing.money(F.col("min_price")))
+    said = F.concat(F.lit("Precios de "), text.escape_html(F.col("name")), F.lit(" en "), text.plural(F.col("offer_count"), "tienda", "tiendas"), F.lit(" desde "), pricing.money(F.col("min_price")))
     return rows.select("id", said.alias("description"))
 
 
-def write_reports(models: DataFrame, path: str, key: str = "id") -> None:
-    """A model's JSON as text under a folder for each key."""
-    models.select(key, F.to_json(F.struct(*[c for c in models.columns if c != key])).alias("value")).write.partitionBy(key).mode("overwrite").text(path)
+def today() -> Column:
+    """The date that a new review or report carries."""
+    return F.current_date()
+
+
+def write_reports(models: DataFrame, path: str, key: str = "id", buckets: int = 64) -> None:
+    """A model's JSON for each key, in `buckets` folders by hash of the key."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    models.select(bucket, F.col(key), F.to_json(F.struct(*[c for c in models.columns if c != key])).alias("value")).write.partitionBy("bucket").mode("overwrite").json(path)

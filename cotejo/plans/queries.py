@@ -1,7 +1,5 @@
 """The catalog's queries over the star-schema tables, each with its SQL."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +7,7 @@ from cotejo.functions import pricing, text
 from cotejo.operators import catalog, matching, offers, popularity, relevance, reports, variants
 from cotejo.sources.catalog import ListQuery
 from cotejo.sources.tables import VIEWS_SQL, Catalog
+from cotejo.sources.written import new_folder
 from cotejo.streaming import counters
 
 QUERIES: dict = {}
@@ -20,7 +19,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = lambda spark, folder: f(Catalog(spark, folder))
         if sql:
-            ORACLES[f.__name__] = VIEWS_SQL + sql
+            ORACLES[f.__name__] = VIEWS_SQL.replace("WITH", "WITH RECURSIVE", 1) + sql
         return f
 
     return register
@@ -255,7 +254,7 @@ def specs_extract(c):
     return feed(c).select("pos", text.specs(F.col("name")).alias("s")).select("pos", "s.*")
 
 
-@query()
+@query(FEED_SQL + "SELECT pos, array_to_string(list_sort(tokens), ',') AS tokens FROM tok")
 def model_tokens(c):
     return feed(c).select("pos", F.array_join(text.model_tokens(F.col("name")), ",").alias("tokens"))
 
@@ -269,12 +268,35 @@ def identifier_buckets(c):
     return rows.groupBy(F.col("identifier_key").alias("identifier")).agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("source").alias("sources")).where("sources > 1")
 
 
-@query()
+#: Groups by identifier, walked offer by offer.
+BY_IDENTIFIER_SQL = """, member AS (SELECT l.identifier, row_number() OVER (PARTITION BY l.identifier ORDER BY t.pos) AS i, {'pos': t.pos, 'brand': t.brand, 'ram': t.ram_gb, 'storage': t.storage_gb, 'screen': t.screen} AS m
+  FROM tok t JOIN listing l USING (pos) WHERE l.identifier IN (SELECT identifier FROM listing WHERE identifier IS NOT NULL GROUP BY identifier HAVING count(DISTINCT source) > 1)),
+walk AS (SELECT identifier, i, [m] AS taken FROM member WHERE i = 1
+  UNION ALL SELECT n.identifier, n.i, CASE WHEN len(list_filter(w.taken, lambda x: x.brand <> n.m.brand OR coalesce(x.ram <> n.m.ram, false) OR coalesce(x.storage <> n.m.storage, false) OR coalesce(x.screen <> n.m.screen, false))) = 0 THEN list_append(w.taken, n.m) ELSE w.taken END
+  FROM walk w JOIN member n ON n.identifier = w.identifier AND n.i = w.i + 1),
+grouped AS (SELECT identifier, max_by(taken, i) AS taken FROM walk GROUP BY identifier),
+by_identifier AS (SELECT 'i:' || identifier AS group_key, unnest(taken).pos AS pos FROM grouped WHERE len(taken) > 1)
+"""
+
+
+@query(FEED_SQL + BY_IDENTIFIER_SQL + "SELECT group_key, pos, 'identifier' AS matched_by, 1e0 AS confidence FROM by_identifier")
 def match_identifier(c):
     return matching.by_identifier(matching.prepare(feed(c)))
 
 
-@query()
+#: Stars by model word, walked offer by offer of each brand.
+BY_MODEL_SQL = """, lead AS (SELECT identifier, min(pos) AS lead FROM listing WHERE identifier IS NOT NULL GROUP BY identifier),
+rest AS (SELECT t.*, row_number() OVER (PARTITION BY t.brand ORDER BY l.identifier IS NOT NULL, coalesce(d.lead, t.pos), t.pos) AS i FROM tok t JOIN listing l USING (pos) LEFT JOIN lead d ON d.identifier = l.identifier WHERE t.pos NOT IN (SELECT pos FROM by_identifier)),
+nearby AS (SELECT a.brand, a.i, coalesce(list(b.i ORDER BY b.i) FILTER (b.i IS NOT NULL), []) AS later FROM rest a LEFT JOIN rest b ON a.brand = b.brand AND a.i < b.i AND a.source <> b.source AND list_has_any(a.tokens, b.tokens)
+  AND coalesce(a.ram_gb = b.ram_gb, true) AND coalesce(a.storage_gb = b.storage_gb, true) AND coalesce(a.screen = b.screen, true) GROUP BY a.brand, a.i),
+stars AS (SELECT brand, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS star FROM (SELECT DISTINCT brand FROM rest)
+  UNION ALL SELECT brand, i, CASE WHEN len(star) > 0 THEN list_append(list_concat(used, star), i) ELSE used END, star FROM (
+    SELECT n.brand, n.i, s.used, CASE WHEN list_contains(s.used, n.i) THEN CAST([] AS BIGINT[]) ELSE list_filter(n.later, lambda x: NOT list_contains(s.used, x)) END AS star FROM stars s JOIN nearby n ON n.brand = s.brand AND n.i = s.i + 1)),
+by_model AS (SELECT a.pos AS anchor, unnest(list_append(s.star, s.i)) AS i, s.brand FROM stars s JOIN rest a ON a.brand = s.brand AND a.i = s.i WHERE len(s.star) > 0)
+"""
+
+
+@query(FEED_SQL + BY_IDENTIFIER_SQL + BY_MODEL_SQL + "SELECT 'm:' || g.anchor AS group_key, r.pos, 'model_specs' AS matched_by, 0.9e0 AS confidence FROM by_model g JOIN rest r USING (brand, i)")
 def match_model_specs(c):
     rows = matching.prepare(feed(c))
     return matching.by_model(rows.join(matching.by_identifier(rows).select("pos"), "pos", "left_anti"))
@@ -285,9 +307,18 @@ def plain_feed(c: Catalog) -> DataFrame:
     return feed(c).withColumn("name", F.regexp_replace("name", r" X\d+ Pro .*", "")).withColumn("identifier", F.lit(None).cast("string"))
 
 
-@query()
+# The names are of two words, of which `new` is noise. Equal names, a bare noun and a named one, and `old` and `cold` can reach the threshold: with two words of three apart, the characters would have to be alike for 0.867.
+@query(
+    """, named AS (SELECT brand, id AS pos, id % 3 AS shop, replace(split_part(name, ' ', 1), 'new', '') AS adj, split_part(name, ' ', 2) AS noun FROM product),
+scored AS (SELECT a.brand, a.pos AS a_pos, b.pos AS b_pos, CASE WHEN a.adj = b.adj THEN 1e0 WHEN a.adj <> '' AND b.adj <> '' THEN round(0.5e0 * (1e0 / 3) + 0.5e0 * (2e0 * (length(a.noun) + 4) / (2 * length(a.noun) + 9)), 4) ELSE round(0.25e0 + 0.5e0 * (2e0 * length(a.noun) / (2 * length(a.noun) + length(a.adj || b.adj) + 1)), 4) END AS score
+  FROM named a JOIN named b ON a.brand = b.brand AND a.noun = b.noun AND a.pos < b.pos AND a.shop <> b.shop AND (a.adj = b.adj OR a.adj = '' OR b.adj = '' OR (a.adj IN ('old', 'cold') AND b.adj IN ('old', 'cold')))),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, a_pos, b_pos) AS i FROM scored WHERE score >= 0.6e0),
+paired AS (SELECT brand, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a_pos, CAST(NULL AS BIGINT) AS b_pos, 0e0 AS score FROM (SELECT DISTINCT brand FROM ordered)
+  UNION ALL SELECT n.brand, n.i, CASE WHEN list_has_any(p.used, [n.a_pos, n.b_pos]) THEN p.used ELSE list_concat(p.used, [n.a_pos, n.b_pos]) END, CASE WHEN NOT list_has_any(p.used, [n.a_pos, n.b_pos]) THEN n.a_pos END, n.b_pos, n.score FROM paired p JOIN ordered n ON n.brand = p.brand AND n.i = p.i + 1)
+SELECT 's:' || a_pos AS group_key, unnest([a_pos, b_pos]) AS pos, 'similarity' AS matched_by, score AS confidence FROM paired WHERE a_pos IS NOT NULL"""
+)
 def match_similarity(c):
-    return matching.by_likeness(matching.likeness(matching.prepare(plain_feed(c))))
+    return matching.by_likeness(matching.prepare(plain_feed(c)))
 
 
 @query()
@@ -302,24 +333,43 @@ def titles(c: Catalog) -> DataFrame:
     return variants.keyed(c.products.join(price, "id")).withColumn("url", F.concat(F.lit("https://example.org/"), F.col("id").cast("string")))
 
 
-@query()
+#: Names of parts are two words, of which the first can be a colour.
+VARIANTS_SQL = """, priced AS (SELECT p.*, o.price, lower(p.brand) AS brand_key, CASE split_part(name, ' ', 1) WHEN 'red' THEN 'Rojo' WHEN 'blue' THEN 'Azul' WHEN 'green' THEN 'Verde' WHEN 'black' THEN 'Negro' WHEN 'white' THEN 'Blanco' END AS color
+  FROM product p JOIN (SELECT id, min(price) AS price FROM offer GROUP BY id) o USING (id)),
+title AS (SELECT *, CASE WHEN color IS NULL THEN name ELSE split_part(name, ' ', 2) END AS model_key FROM priced),
+combo AS (SELECT *, row_number() OVER (PARTITION BY category, brand_key, model_key, color ORDER BY price, pos) AS k, min(pos) OVER (PARTITION BY category, brand_key, model_key, color) AS seen FROM title),
+merged AS (SELECT category, brand_key, model_key, count(*) AS members, count(*) FILTER (k = 1) AS n_variants, min_by(id, struct_pack(a := price, b := seen)) FILTER (k = 1) AS primary_id, min(price) AS price
+  FROM combo GROUP BY ALL HAVING count(*) > 1)
+"""
+
+
+@query(VARIANTS_SQL + "SELECT category, brand_key, model_key, members, CAST(n_variants AS INT) AS n_variants FROM merged")
 def variant_groups(c):
     rows = titles(c)
     merged = variants.merge_variants(rows)
     return merged.select("category", "brand_key", "model_key", "members", F.size("variants").alias("n_variants"))
 
 
-@query()
+@query(VARIANTS_SQL + "SELECT category, brand_key, model_key, primary_id, round(price, 6) AS price FROM merged")
 def variant_primary(c):
     return variants.merge_variants(titles(c)).select("category", "brand_key", "model_key", "primary_id", F.round(F.col("variants")[0]["price"], 6).alias("price"))
 
 
-@query()
+@query(VARIANTS_SQL + "SELECT *, before - merged_rows + variant_groups AS after FROM (SELECT (SELECT count(*) FROM title) AS before, count(*) AS variant_groups, CAST(coalesce(sum(members), 0) AS BIGINT) AS merged_rows FROM merged)")
 def variant_stats(c):
     rows = titles(c)
     return variants.merge_stats(rows, variants.merge_variants(rows))
 
 
+@query(VARIANTS_SQL + "SELECT id, t.name, color, coalesce(n_variants, 0) AS n_variants FROM title t LEFT JOIN merged m USING (category, brand_key, model_key) WHERE m.primary_id IS NULL OR m.primary_id = t.id")
+def merged_catalog(c):
+    """The merged catalog, written as documents and read again."""
+    rows = titles(c)
+    path = variants.write_catalog(variants.merged_catalog(rows, variants.merge_variants(rows)), new_folder(c.spark, "catalog"))
+    back = c.spark.read.schema("id long, name string, color string, variants array<struct<price:double>>").json(path)
+    return back.select("id", "name", "color", F.coalesce(F.size("variants"), F.lit(0)).cast("long").alias("n_variants"))
+
+
 RELEVANT_SQL = """, pairs AS (SELECT a.p_partkey AS query_id, b.p_partkey AS title_id, a.p_name || ' ' || (a.p_partkey % 7) || 'GB' AS q, b.p_name || ' ' || (b.p_partkey % 7) || ' GB' || CASE b.p_size % 5 WHEN 0 THEN ' Max' WHEN 1 THEN ' funda' ELSE '' END AS t
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type),
 words AS (SELECT *, string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(q), '(\\d)([a-z])', '\\1 \\2', 'g'), '([a-z])(\\d)', '\\1 \\2', 'g'), '[^a-z0-9]+', ' ', 'g')), ' ') AS qw,
@@ -354,10 +404,7 @@ def stream_counts(c):
     schema = c.table("events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{c.folder}/events.parquet*")
     counted = counters.running_counts(stream.select("event_type", F.get_json_object("props", "$.k").cast("long").alias("id")))
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
-    name = "stream_counts_" + spark.sql("select replace(uuid(), '-', '')").first()[0]
-    counters.run_once(counted, name, f"{base}/{name}")
-    return spark.table(name)
+    return counters.final_counts(counted, new_folder(spark, "stream-counts"))
 
 
 @query(

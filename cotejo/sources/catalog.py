@@ -87,16 +87,17 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.inline("brands"))
 
 
-def read_state(spark: SparkSession, path: str, schema: str, default: list | None = None) -> DataFrame:
-    """A keyed state document; the default where it is missing or broken."""
+def read_state(spark: SparkSession, path: str, schema: str, default: list | None = None, lines: bool = False) -> DataFrame:
+    """A keyed state document, or (lines) the entries that write_state wrote; the default where it is missing or broken."""
     try:
-        rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", True).json(path)
+        rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", not lines).json(path)
     except AnalysisException:
         return spark.createDataFrame(default or [], schema)
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
 def write_state(rows: DataFrame, path: str) -> None:
+    """An entry a line."""
     rows.write.mode("overwrite").json(path)
 
 

@@ -31,15 +31,43 @@ def run_once(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete"
     return query
 
 
-def upsert_into(stream: DataFrame, path: str, keys: list[str], sequence: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table of the latest row of each key: every batch writes a new version beside the last, and names it in the folder's newest number."""
+def final_counts(rows: DataFrame, folder: str) -> DataFrame:
+    """All that is there now: the last state of a stream in complete mode, written under folder and read back."""
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/v={number}")
+        last[:] = [number]
+
+    query = rows.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = rows.sparkSession
+    return spark.read.schema(rows.schema).parquet(f"{folder}/table/v={last[0]}") if last else spark.createDataFrame([], rows.schema)
+
+
+def read_latest(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The table that upsert_into keeps: of every bucket the newest version (before a number)."""
+    rows = spark.read.schema(f"{schema}, _version int, _bucket int").parquet(path)
+    rows = rows if before is None else rows.where(F.col("_version") < before)
+    newest = rows.groupBy("_bucket").agg(F.max("_version").alias("_version"))
+    return rows.join(newest, ["_bucket", "_version"]).drop("_version", "_bucket")
+
+
+def upsert_into(stream: DataFrame, path: str, keys: list[str], sequence: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps a table of the latest row of each key in buckets by hash of the keys: a batch writes a new version of the buckets that it touches, and no others.
+
+    A batch that runs again writes its own version again, from the versions before it.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch
+        spark, new = batch.sparkSession, batch
         if number:
-            new = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch)
-        latest(new, keys, sequence).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+            touched = batch.select(at.alias("touched")).distinct()
+            new = read_latest(spark, path, schema, number).join(F.broadcast(touched), at == F.col("touched"), "left_semi").unionByName(batch)
+        rows = latest(new, keys, sequence).select(*batch.columns, at.alias("_bucket"), F.lit(number).alias("_version"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_version", "_bucket").parquet(path)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -81,10 +81,80 @@ def test_greedy_pairs_equal_a_plain_walk(spark):
             want.add((i, j))
     order = lambda c: F.struct(F.lit(0).alias("a"), F.col(c).alias("b"), F.lit(0).cast("long").alias("c"))
     scores = spark.createDataFrame(pairs, "a_pos long, b_pos long, score double").withColumn("a_ord", order("a_pos")).withColumn("b_ord", order("b_pos"))
+    assert {(row["a_pos"], row["b_pos"]) for row in matching.greedy_pairs(scores).collect()} == want
+
+
+def plain_matches(rows, threshold):
+    """(groups, best) by walks over all pairs: rows are prepared offers. groups: {(step, positions)}; best: {pos: (candidate, score)} of offers in no group."""
+    import difflib
+    import itertools
+
+    order = lambda r: tuple(r["ord"])
+    same = lambda x, y: x is None or y is None or x == y
+    fits = lambda a, b: all(same(a[c], b[c]) for c in ("ram_gb", "storage_gb", "screen_in"))
+    groups, used = set(), set()
+    buckets: dict = {}
+    for r in sorted(rows, key=lambda r: r["pos"]):
+        if r["identifier_key"]:
+            buckets.setdefault(r["identifier_key"], []).append(r)
+    for bucket in buckets.values():
+        if len({r["source"] for r in bucket}) > 1:
+            taken = bucket[:1]
+            for r in bucket[1:]:
+                if all(fits(r, t) and ("" in (r["brand_key"], t["brand_key"]) or r["brand_key"] == t["brand_key"]) for t in taken):
+                    taken.append(r)
+            if len(taken) > 1:
+                groups.add(("identifier", tuple(sorted(t["pos"] for t in taken))))
+                used |= {t["pos"] for t in taken}
+    left = sorted((r for r in rows if r["pos"] not in used), key=order)
+    for i, a in enumerate(left):
+        if a["pos"] in used:
+            continue
+        star = [b for b in left[i + 1 :] if b["pos"] not in used and a["brand_key"] == b["brand_key"] and a["source"] != b["source"] and set(a["model"]) & set(b["model"]) and fits(a, b)]
+        if star:
+            taken = {a["pos"], *(b["pos"] for b in star)}
+            groups.add(("model_specs", tuple(sorted(taken))))
+            used |= taken
+    left = [r for r in left if r["pos"] not in used]
+    stop = set(text.STOP_WORDS)
+    words = lambda r: {w for w in r["normal"].split() if len(w) > 1 and w not in stop}
+    scored = []
+    for a, b in itertools.combinations(left, 2):
+        if a["brand_key"] == b["brand_key"] and a["source"] != b["source"]:
+            x, y = words(a), words(b)
+            shared = len(x & y) / len(x | y) if x and y else 0.0
+            score = 0.5 * shared + 0.5 * difflib.SequenceMatcher(None, a["normal"], b["normal"]).ratio()
+            scored.append((round(score * (1.0 if fits(a, b) else 0.3), 4), a, b))
+    for s, a, b in sorted(scored, key=lambda p: (-p[0], order(p[1]), order(p[2]))):
+        if s >= threshold and not {a["pos"], b["pos"]} & used:
+            groups.add(("similarity", tuple(sorted((a["pos"], b["pos"])))))
+            used |= {a["pos"], b["pos"]}
+    best = {}
+    for s, a, b in sorted(scored, key=lambda p: (-p[0], order(p[1]), order(p[2]))):
+        for one, other in ((a, b), (b, a)):
+            if s > 0 and one["pos"] not in used:
+                best.setdefault(one["pos"], (other["pos"], s))
+    return groups, {r["pos"]: best.get(r["pos"], (None, 0.0)) for r in left if r["pos"] not in used}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_steps_equal_plain_walks(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for i in range(90):
+        name = " ".join(r.sample(["aero", "beam", "core", "dune", "echo"], r.randint(1, 3)))
+        name += r.choice(["", " X7", " X7", " R2D", " Lite 5"]) + r.choice(["", " 8GB+128GB", " 12GB 256GB", " 128 GB"]) + r.choice(["", ' 6.1"', " 6.5 inch"])
+        rows.append((i, f"s{r.randrange(3)}", f"S{i}", name, r.choice(["Uno", "Duo", ""]), r.choice([None] * 5 + ["69222889400%02d" % r.randrange(6)])))
+    offers = spark.createDataFrame(rows, OFFER)
+    groups, review = matching.match_offers(offers)
     got: dict = {}
-    for row in matching.by_likeness(scores).collect():
-        got.setdefault(row["group_key"], []).append(row["pos"])
-    assert {tuple(sorted(v)) for v in got.values()} == want
+    for g in groups.collect():
+        got.setdefault((g["matched_by"], g["group_key"]), []).append(g["pos"])
+    want, best = plain_matches(matching.prepare(offers).collect(), matching.THRESHOLD)
+    assert {(m, tuple(sorted(v))) for (m, _), v in got.items()} == want
+    assert {g["pos"]: (g["candidate"], g["score"]) for g in review.collect()} == best
 
 
 def test_prices(spark):
@@ -209,6 +279,18 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (2, 1, "z")], "id int, seq int, v string").write.parquet(folder)
     stream = lambda: spark.readStream.schema("id int, seq int, v string").parquet(folder)
     counters.upsert_into(stream(), str(tmp_path / "t"), ["id"], "seq", str(tmp_path / "c1"))
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v=0")).collect()} == {(1, 7, "y"), (2, 1, "z")}
+    now = lambda: {tuple(r) for r in counters.read_latest(spark, str(tmp_path / "t"), "id int, seq int, v string").collect()}
+    assert now() == {(1, 7, "y"), (2, 1, "z")}
+    spark.createDataFrame([(2, 3, "later"), (1, 6, "late"), (9, 1, "new")], "id int, seq int, v string").write.mode("append").parquet(folder)
+    counters.upsert_into(stream(), str(tmp_path / "t"), ["id"], "seq", str(tmp_path / "c1"))
+    assert now() == {(1, 7, "y"), (2, 3, "later"), (9, 1, "new")}
     counters.run_once(counters.toggles(stream()), "toggled_keys", str(tmp_path / "c2"))
-    assert {tuple(r) for r in spark.table("toggled_keys").collect()} == {(1, False), (2, True)}
+    assert {tuple(r) for r in spark.table("toggled_keys").collect()} == {(1, True), (2, False), (9, True)}
+    assert {tuple(r) for r in counters.final_counts(counters.toggles(stream()), str(tmp_path / "f")).collect()} == {(1, True), (2, False), (9, True)}
+
+
+def test_unknown_stores_are_errors(spark):
+    rows, stores = spark.createDataFrame([(1, 1), (1, 2)], "id int, store_id int"), spark.createDataFrame([(1, "one")], "store_id int, store string")
+    assert offers.with_store(rows.where("store_id = 1"), stores).collect()[0]["store"] == "one"
+    with pytest.raises(Exception, match="unknown store 2"):
+        offers.with_store(rows, stores).collect()
