@@ -12,21 +12,33 @@ NOISE = ["gb", "ram", "dual", "sim", "celular", "smartphone", "global", "version
 REFURBISHED = r"(?i)reacondicionad|renewed|reembalad|remanufactur|segunda\s+mano|semi-?nuevo|\busado\b"
 
 
+def prepared(said: Column) -> Column:
+    """What a comparison needs of a query or title, worked out once a text and not once a pair: tokens, and the accessory and variant words, numbers and other words in it."""
+    plain, tokens = text.search_text(said), text.search_tokens(said)
+    number = lambda w: w.rlike("^[0-9]+$")
+    return F.struct(
+        tokens.alias("tokens"),
+        F.filter(F.array(*map(F.lit, ACCESSORIES)), lambda w: F.contains(plain, w)).alias("accessories"),
+        F.filter(F.array(*map(F.lit, VARIANTS)), lambda w: F.array_contains(tokens, w)).alias("variants"),
+        F.filter(tokens, number).alias("numbers"),
+        F.array_distinct(F.filter(tokens, lambda w: ~number(w) & ~w.isin(NOISE))).alias("words"),
+    )
+
+
+def is_match_prepared(q: Column, t: Column) -> Column:
+    """No foreign accessory; the same variant words on both sides; all numbers of the query; all its other words up to three, of more at least 60 %."""
+    words = q["words"]
+    covered = F.size(F.array_intersect(words, t["tokens"]))
+    enough = F.when(F.size(words) == 0, F.size(q["numbers"]) > 0).when(F.size(words) <= 3, covered == F.size(words)).otherwise(covered / F.size(words) >= 0.6)
+    return (q["variants"] == t["variants"]) & (F.size(F.array_except(t["accessories"], q["accessories"])) == 0) & (F.size(F.array_except(q["numbers"], t["tokens"])) == 0) & enough
+
+
 def foreign_accessory(query: Column, title: Column) -> Column:
-    q, t = text.search_text(query), text.search_text(title)
-    return F.exists(F.array(*map(F.lit, ACCESSORIES)), lambda w: F.contains(t, w) & ~F.contains(q, w))
+    return F.size(F.array_except(prepared(title)["accessories"], prepared(query)["accessories"])) > 0
 
 
 def is_match(query: Column, title: Column) -> Column:
-    """No foreign accessory; the same variant words on both sides; all numbers of the query; all its other words up to three, of more at least 60 %."""
-    q, t = text.search_tokens(query), text.search_tokens(title)
-    variants = F.array(*map(F.lit, VARIANTS))
-    same = F.forall(variants, lambda w: F.array_contains(q, w) == F.array_contains(t, w))
-    numbers = F.filter(q, lambda w: w.rlike("^[0-9]+$"))
-    words = F.array_distinct(F.filter(q, lambda w: ~w.rlike("^[0-9]+$") & ~w.isin(NOISE)))
-    covered = F.size(F.array_intersect(words, t))
-    enough = F.when(F.size(words) == 0, F.size(numbers) > 0).when(F.size(words) <= 3, covered == F.size(words)).otherwise(covered / F.size(words) >= 0.6)
-    return ~foreign_accessory(query, title) & same & (F.size(F.array_except(numbers, t)) == 0) & enough
+    return is_match_prepared(prepared(query), prepared(title))
 
 
 def is_refurbished(title: Column) -> Column:

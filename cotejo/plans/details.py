@@ -122,7 +122,7 @@ def variant_offers(c):
 
 
 @query("SELECT id, CAST(count(*) AS BIGINT) AS options, CAST(1 AS BIGINT) AS variants FROM offer GROUP BY id")
-def option_counts(c):
+def product_options(c):
     return catalog.option_counts(c.offers, colored(c))
 
 
