@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a long, b long), in any direction -> (node, component): the smallest node that each node with an edge can reach.
 
     Every round is written to the shared folder. The rounds needed grow with the logarithm
-    of the longest path; only two sums a round come to the driver.
+    of the longest path; only two sums a round come to the driver. Not settled after `rounds` rounds
+    is an error. Repeated edges and edges of a node to itself do nothing; of no edges there are no rows.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = durable(edges, "edges")
@@ -30,5 +31,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen, edges = mark, durable(_round(edges), "edges")
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -27,8 +27,8 @@ TEMPLATES = {
 }
 #: Share of a template's words that a block has to hold, in hundredths.
 CONTAINMENT = 80
-#: Templates that one pass takes to every task; more of them make more passes.
-PASS_TEMPLATES = 2000
+#: Words of all templates together that go to every task (about 100 bytes each); more raise an error.
+MOST_WORDS = 2_000_000
 
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[:128] = [chr(b).isalnum() for b in range(128)]
@@ -43,7 +43,7 @@ def _hashes(text: str) -> np.ndarray:
 def _words(data: np.ndarray, offsets: np.ndarray):
     data = K.LOWER[data]
     starts, ends, first = K.spans(_WORD_BYTE[data], offsets)
-    return K.word_hashes(data, starts, ends), starts, first
+    return K.word_hashes(data, starts, ends), first
 
 
 class TemplateIndex:
@@ -51,42 +51,57 @@ class TemplateIndex:
 
     def __init__(self, templates: dict[str, str], frequency: dict[int, int]):
         self.names = list(templates)
-        sets = [sorted(set(_hashes(t).tolist()), key=lambda w: (frequency.get(w, 0), w)) for t in templates.values()]
+        found = [_hashes(t) for t in templates.values()]
+        #: Words of each template, repeats counted: the length of its blocks.
+        self.length = np.array([len(h) for h in found], np.int64)
+        sets = [sorted(set(h.tolist()), key=lambda w: (frequency.get(w, 0), w)) for h in found]
         order = sorted({w for s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.vocabulary = np.array(sorted(order), np.uint64)
         self.rank_of = np.array([self.rank[w] for w in self.vocabulary.tolist()], np.int64)
-        self.sets = [np.array([self.rank[w] for w in s]) for s in sets]
-        self.least = [-(-CONTAINMENT * len(s) // 100) for s in sets]
-        self.prefixes: dict[int, list[tuple[int, int]]] = {}
-        for t, s in enumerate(self.sets):
-            for place, r in enumerate(s[: len(s) - self.least[t] + 1].tolist()):
-                self.prefixes.setdefault(r, []).append((t, place))
-        self.starts = np.array(sorted(self.prefixes), np.int64)
-        self.shortest = min(self.least, default=0)
-
-    def matches(self, words: np.ndarray, block: np.ndarray):
-        """(block, template, overlap) of all pairs that reach the containment; block numbers the words' blocks, in order."""
+        self.sets = [np.sort([self.rank[w] for w in s]).astype(np.int64) for s in sets]
+        self.least = np.array([-(-CONTAINMENT * len(s) // 100) for s in sets], np.int64)
+        # The prefix: a block without any of a template's len - least + 1 rarest words lacks too many. One entry a word and template, by word.
+        entries = sorted((int(r), t) for t, s in enumerate(self.sets) for r in s[: len(s) - self.least[t] + 1])
+        self.prefix_rank = np.array([r for r, _ in entries], np.int64)
+        self.prefix_of = np.array([t for _, t in entries], np.int64)
+
+    def matches(self, words: np.ndarray, of: np.ndarray, first: np.ndarray):
+        """(text, template, overlap) of every block near a prefix word that reaches the containment: blocks are all windows of a template's length of a text's words."""
+        if not len(self.vocabulary) or not len(words):
+            return
         at = np.searchsorted(self.vocabulary, words)
         at[at == len(self.vocabulary)] = 0
-        if not len(self.vocabulary):
-            return
         known = np.flatnonzero(self.vocabulary[at] == words)
-        pairs = np.unique(np.stack((block[known], self.rank_of[at[known]])), axis=1)
-        cut = np.concatenate(([0], np.flatnonzero(pairs[0][1:] != pairs[0][:-1]) + 1, [pairs.shape[1]])) if pairs.shape[1] else np.zeros(1, np.int64)
-        # Length filter, for all blocks at once.
-        for k in np.flatnonzero(np.diff(cut) >= self.shortest):
-            b, ranks = pairs[0][cut[k]], pairs[1][cut[k] : cut[k + 1]]
-            seen = set()
-            for i in np.flatnonzero(np.isin(ranks, self.starts)):
-                for t, place in self.prefixes[int(ranks[i])]:
-                    # Length and positional filters: what can still follow the first common word, itself included.
-                    if t in seen or len(ranks) < self.least[t] or min(len(ranks) - i, len(self.sets[t]) - place) < self.least[t]:
-                        continue
-                    seen.add(t)
-                    overlap = len(np.intersect1d(ranks, self.sets[t], assume_unique=True))
-                    if overlap >= self.least[t]:
-                        yield int(b), t, overlap
+        ranks = self.rank_of[at[known]]
+        # Prefix filter: a hit for every template that has the word in its prefix.
+        low, high = np.searchsorted(self.prefix_rank, ranks, "left"), np.searchsorted(self.prefix_rank, ranks, "right")
+        n = high - low
+        entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit, t = np.repeat(known, n), self.prefix_of[entry]
+        # Positional filter: only words within a block's length of the hit can be in a block with it. Length filter: enough of them have to be some template's.
+        begin = np.searchsorted(known, np.maximum(hit - self.length[t] + 1, first[of[hit]]))
+        end = np.searchsorted(known, np.minimum(hit + self.length[t], first[of[hit] + 1]))
+        open_ = np.flatnonzero(end - begin >= self.least[t])
+        whole = set()
+        for i in open_.tolist():
+            k, text = int(t[i]), int(of[hit[i]])
+            if (text, k) in whole:
+                continue
+            own = self.sets[k]
+            r, p = ranks[begin[i] : end[i]], known[begin[i] : end[i]]
+            place = np.searchsorted(own, r)
+            place[place == len(own)] = 0
+            mine = own[place] == r
+            place, p = place[mine], p[mine]
+            if len(np.unique(place)) < self.least[k]:
+                continue
+            # A block can begin at one of the template's words.
+            overlap = max(len(set(place[j : np.searchsorted(p, p[j] + self.length[k])].tolist())) for j in range(len(p)))
+            if overlap >= self.least[k]:
+                if overlap == len(own):
+                    whole.add((text, k))
+                yield text, k, overlap
 
 
 def word_frequency(texts: DataFrame, templates: dict[str, str]) -> dict[int, int]:
@@ -97,7 +112,7 @@ def word_frequency(texts: DataFrame, templates: dict[str, str]) -> dict[int, int
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for _, _, data, offsets in K.slices(batch.column(0)):
-                words, _, _ = _words(data, offsets)
+                words, _ = _words(data, offsets)
                 at = np.searchsorted(vocabulary, words)
                 at[at == len(vocabulary)] = 0
                 total += np.bincount(at[vocabulary[at] == words], minlength=len(vocabulary))
@@ -110,23 +125,19 @@ def word_frequency(texts: DataFrame, templates: dict[str, str]) -> dict[int, int
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: places where a phrase's words stand in a row. Method: every line of a text is a
-    block, every block a set of words; a block that holds 80 % of a template's words carries
-    its label, found by prefix, length and positional filters over the words in global order
-    of frequency (counted over all texts), then verified. score: the best containment of a template that matched in a line; 1 where a phrase stands.
+    Base: places where a phrase's words stand in a row. Method: a block is any run of as many
+    words of a text as the template has, across lines; a block that holds 80 % of a template's
+    distinct words carries its label. Blocks are found by prefix, positional and length filters over the words in global order
+    of frequency (counted over all texts), then verified. score: the best containment of a template in a block; 1 where a phrase stands.
 
     Null and empty texts have no words; first_word, last_word are null without a base place.
-    Rows of equal id are each scanned. Other columns are not looked at. More than 2000 templates go in several passes over the texts.
+    Rows of equal id are each scanned. Of templates with equal words all match. A very long text is scanned in one
+    piece of memory, some 30 bytes a byte of text. Other columns are not looked at. Templates of more than 2,000,000 words together are an error.
     """
     templates = TEMPLATES if templates is None else templates
+    if sum(len(t.split()) for t in templates.values()) > MOST_WORDS:
+        raise ValueError(f"templates of more than {MOST_WORDS} words")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    names = sorted(templates)
-    if len(names) > PASS_TEMPLATES:
-        first, rest = dict(list(templates.items())[:PASS_TEMPLATES]), dict(list(templates.items())[PASS_TEMPLATES:])
-        parts = scan_licenses(docs, id_col, text_col, first).unionByName(scan_licenses(docs, id_col, text_col, rest))
-        keys = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-        joined = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split("labels", ","), lambda x: x != ""))))), ",")
-        return parts.groupBy(*keys).agg(joined.alias("labels"), F.max("score").alias("score"))
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates, word_frequency(texts.select("text"), templates)))
     phrases = [(_hashes(p), label) for p, label in PHRASES.items()]
 
@@ -134,7 +145,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             ids = batch.column(0)
             for row, end, data, offsets in K.slices(batch.column(1)):
-                words, starts, first = _words(data, offsets)
+                words, first = _words(data, offsets)
                 n = end - row
                 of = K.texts_of(np.diff(first))
                 count, low, high = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -156,11 +167,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         high[r] = max(high[r], p)
                         score[r] = 1
                 labels = [set(b) for b in base]
-                # Lines are numbered over the slice; a text's end ends its last line.
-                lines = np.cumsum(data == 10)
-                line = (lines[starts] if len(starts) else np.zeros(0, np.int64)) + of
-                for b, t, overlap in index.value.matches(words, line):
-                    r = of[np.searchsorted(line, b)]
+                for r, t, overlap in index.value.matches(words, of, first):
                     labels[r].add(index.value.names[t])
                     score[r] = max(score[r], overlap / len(index.value.sets[t]))
                 some = lambda v: pa.array(v, pa.int64(), mask=v < 0)

@@ -1,29 +1,10 @@
 """Tables in the folder that driver and executors share."""
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from cotejo.sources.written import durable, new_folder, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none (tests, local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="cotejo-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/cotejo/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs a reread only."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["durable", "new_folder", "partitions", "shared_dir"]
 
 
 def partitions(spark: SparkSession) -> int:

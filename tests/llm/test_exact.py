@@ -93,3 +93,15 @@ def test_null_ids_repeated_rows_and_ids_with_several_texts(spark, name):
     # The same id with other texts: a row each, and no failure.
     mixed = run(table(spark, rows + [(d, (t or "") + " more of it") for d, t in rows] + [(d, "short") for d, _ in rows]), spark)
     assert mixed.count() == 3 * len(rows)
+
+
+@pytest.mark.parametrize("name", ["repeated_words", "repeated_bytes"])
+def test_texts_of_equal_keys(spark, monkeypatch, name):
+    """Texts whose keys collide are searched whole: nothing is lost."""
+    from cotejo.llm import repeats, suffixes
+
+    for module in (repeats, suffixes):
+        monkeypatch.setattr(module, "text_key", lambda sha: 7)
+    run, plain = OPERATORS[name]
+    rows = corpus(4, 48)
+    assert sorted((tuple(r) for r in run(table(spark, rows), spark).collect()), key=key) == sorted(plain(rows), key=key)

@@ -252,11 +252,26 @@ def test_license_join_is_exact(spark):
     rows += [(80, None), (81, "")]
     got = {x["doc_id"]: x for x in licenses.scan_licenses(extra(spark.createDataFrame(rows, "doc_id long, text string")), templates=templates).collect()}
     for i, text in rows:
-        share = {t: max((len(set(s.split()) & set(line.split())) / len(set(s.split())) for line in (text or "").split("\n")), default=0) for t, s in templates.items()}
+        share = {t: best_window(t_text, text) for t, t_text in templates.items()}
         assert got[i]["labels"] == ",".join(sorted(t for t, v in share.items() if v >= 0.8))
         assert got[i]["score"] == pytest.approx(max((v for v in share.values() if v >= 0.8), default=0))
 
 
+def best_window(template, text):
+    """The best share of a template's words in a run of as many words of the text."""
+    own, said = template.split(), (text or "").split()
+    runs = [said[k : k + len(own)] for k in range(max(1, len(said) - len(own) + 1))]
+    return max(len(set(own) & set(run)) / len(set(own)) for run in runs)
+
+
+def test_many_templates_and_wrapped_text(spark):
+    many = {f"x{k}": f"alpha{k} beta{k} gamma{k} delta{k} common words" for k in range(2500)} | {"mit-text": licenses.TEMPLATES["mit-text"], "mit": licenses.TEMPLATES["mit"]}
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the"
+    rows = [(1, "so alpha7 beta7 gamma7 delta7\ncommon words end"), (1, "so alpha7 beta7 gamma7 delta7\ncommon words end"), (2, wrapped), (3, "the license of the mit students was released"), (4, None), (None, "alpha2400 beta2400 gamma2400 delta2400 common"), (5, "filler " * 5000 + wrapped)]
+    got = sorted((r["doc_id"] or 0, r["labels"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=many).collect())
+    assert got == [(0, "x2400"), (1, "x7"), (1, "x7"), (2, "mit-text"), (3, ""), (4, ""), (5, "mit-text")]
+
+
 # The pipeline
 
 
@@ -288,8 +303,14 @@ def test_pipeline_stages_on_awkward_rows(spark):
     null = docs.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes))
     for rows in (docs.limit(0), docs.limit(40).unionByName(docs.limit(10)).unionByName(null)):
         rows = rows.withColumns({c: F.lit("x") for c in (*CLASHING, "kept_text", "taken", "source_size")})
+        before = {r[0] for r in rows.select("doc_id").collect()}
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             columns = rows.columns
             rows = stage(spark, rows, FOLDER).cache()
-            assert rows.count() >= 0
+            ids = [r[0] for r in rows.select("doc_id").collect()]
+            # Every stage's rows are rows of the one before; ids are unique after the near duplicates, and clean documents stay.
+            assert set(ids) <= before and (k == 0 or len(ids) == len(set(ids)))
+            assert (not before) == (not ids)
+            assert rows.where("doc_id is not null and text is null").count() == 0
+            before = set(ids)
             assert k == len(corpus_pipeline.STAGES) - 1 or rows.columns == columns
