@@ -12,7 +12,7 @@ from cotejo.llm.shared import durable, partitions
 
 _ENTRY = np.dtype([("key", np.uint64), ("set", np.int64)])
 #: Bucket entries that only pass through the exchange: a document's set.
-_INFO_SCHEMA = "set long, shared long, doc_id long, n long"
+_INFO_SCHEMA = "set long, shared long, doc_id long, n long, mark long"
 
 
 def shingle_sets(batch_ids: list, data: np.ndarray, offsets: np.ndarray, n: int):
@@ -75,14 +75,15 @@ def _shared_counts(entries: np.ndarray, known: np.ndarray) -> pa.Table:
         sets = np.concatenate((sets, entries["set"][_several(entries)[1]]))
     sets, counts = np.unique(sets, return_counts=True)
     none = pa.nulls(len(sets), pa.int64())
-    return pa.table([pa.array(sets, pa.int64()), pa.array(counts, pa.int64()), none, none], names=["set", "shared", "doc_id", "n"])
+    return pa.table([pa.array(sets, pa.int64()), pa.array(counts, pa.int64()), none, none, none], names=["set", "shared", "doc_id", "n", "mark"])
 
 
 def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Links texts whose n-word shingle sets have den * |A and B| >= num * |A or B|.
 
     Returns one row per row of docs: doc_id, n_shingles, component_id (the smallest id that
-    links reach, its own included). The join is exact, in these steps:
+    links reach, its own included), mark (xxhash64 of the text, which tells rows of one id apart).
+    The join is exact, in these steps:
 
     1. Equal sets are one set from here on. Each sends a little more than a prefix of its
        hashes (in order of hash) through an exchange, which counts how many of them some
@@ -103,7 +104,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
     def heads(batches):
         packer = Packer(_ENTRY, buckets, _send_local)
@@ -125,28 +126,28 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if keys:
                     yield from tagged(packer.add(key=np.concatenate(keys), set=np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(info), pa.int32()), pa.nulls(len(info), pa.binary()), pa.nulls(len(info), pa.binary()), pa.array([s for s, _ in info.values()], pa.int64()), pa.array([ids[r] for r in info], pa.int64()), pa.array([c for _, c in info.values()], pa.int64())],
-                    names=["bucket", "pack", "known", "set", "doc_id", "n"],
+                    [pa.nulls(len(info), pa.int32()), pa.nulls(len(info), pa.binary()), pa.nulls(len(info), pa.binary()), pa.array([s for s, _ in info.values()], pa.int64()), pa.array([ids[r] for r in info], pa.int64()), pa.array([c for _, c in info.values()], pa.int64()), batch.column(2).slice(row, end - row)],
+                    names=["bucket", "pack", "known", "set", "doc_id", "n", "mark"],
                 )
         yield from tagged(packer.flush())
 
     def tagged(packs):
         for p in packs:
             none = pa.nulls(p.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*p.columns, none, none, none], names=[*p.schema.names, "set", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([*p.columns, none, none, none, none], names=[*p.schema.names, "set", "doc_id", "n", "mark"])
 
     # One pass over the texts: documents' own rows ride along with the packs as buckets of their own.
-    seen = texts.mapInArrow(heads, PACK_SCHEMA + ", set long, doc_id long, n long")
+    seen = texts.mapInArrow(heads, PACK_SCHEMA + ", set long, doc_id long, n long, mark long")
     seen = seen.withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id", "set"), F.lit(buckets)).cast("int")))
 
     def outcome(table: pa.Table) -> pa.Table:
         own = table.filter(table.column("n").is_valid())
         packed = table.filter(table.column("pack").is_valid())
         found = _shared_counts(read_packs(packed, "pack", _ENTRY), read_packs(packed, "known", _ENTRY))
-        return pa.concat_tables([found, pa.table([own["set"].combine_chunks(), pa.nulls(own.num_rows, pa.int64()), own["doc_id"].combine_chunks(), own["n"].combine_chunks()], names=found.schema.names)])
+        return pa.concat_tables([found, pa.table([own["set"].combine_chunks(), pa.nulls(own.num_rows, pa.int64()), own["doc_id"].combine_chunks(), own["n"].combine_chunks(), own["mark"].combine_chunks()], names=found.schema.names)])
 
     info = durable(seen.groupBy("bucket").applyInArrow(outcome, _INFO_SCHEMA), "shingle-info")
-    rows = info.where("n is not null").select("doc_id", "n", "set")
+    rows = info.where("n is not null").select("doc_id", "n", "set", "mark")
     sets = rows.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep"))
     shared = info.where("n is null").groupBy("set").agg(F.sum("shared").alias("shared"))
     head = F.least(F.col("n"), misses(F.col("n"), num, den) + 1 + spare(F.col("n")))
@@ -158,7 +159,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = sets.join(component, "set", "left").withColumn("head", F.coalesce("head", "set"))
     least = named.groupBy("head").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "head").select("set", "n", "component_id")
-    return rows.join(named, ["set", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(named, ["set", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
 
 
 def _links(texts: DataFrame, left: DataFrame, n: int, num: int, den: int) -> DataFrame:

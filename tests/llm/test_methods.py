@@ -314,3 +314,19 @@ def test_pipeline_stages_on_awkward_rows(spark):
             assert rows.where("doc_id is not null and text is null").count() == 0
             before = set(ids)
             assert k == len(corpus_pipeline.STAGES) - 1 or rows.columns == columns
+
+
+def test_pipeline_stages_on_rows_without_an_id(spark):
+    import corpus_pipeline
+
+    say = lambda k: " ".join(f"{w}{k}" for w in WORDS)
+    rows = [(1, say("a"), "x"), (2, say("b"), "x"), (2, say("a"), "x"), (None, say("c"), "x"), (None, say("d"), "y"), (None, None, "y"), (3, say("e"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, FOLDER).collect()]
+    # The text that id 2 shares with document 1 goes, its other text stays.
+    assert sorted(got, key=str) == sorted([*rows[:2], *rows[3:]], key=str)
+    mixed = corpus_pipeline.mixing_sources(spark, docs, FOLDER)
+    assert mixed.columns == ["doc_id", "size", "source_size", "target", "taken", "text", "source"]
+    took = [(r["doc_id"], r["text"], r["source"]) for r in mixed.collect()]
+    assert (None, say("c"), "x") in took or (None, say("d"), "y") in took
+    assert set(took) <= set(rows) and len(took) == len(set(took))
