@@ -32,9 +32,10 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null id can't be told apart by it and stay."""
-    stay = near_duplicate_sets(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of an id stays, as later stages go by it: of its texts that stand for their group the one with the smallest hash. Rows with a null id can't be told apart by it and stay."""
+    stay = near_duplicate_sets(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    marked = docs.select(F.col("doc_id"), F.xxhash64("text").alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = marked.join(stay.hint("shuffle_hash"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -53,10 +54,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns of documents of a name that the mix gives too are replaced."""
-    taken = mix_sources(docs).where("taken > 0").dropDuplicates(["doc_id"])
-    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in taken.columns]
-    return _packed(docs).join(taken.hint("shuffle_hash"), "doc_id").select(*taken.columns, *own)
+    """Columns of documents of a name that the mix gives too are replaced. Rows with a null id go by a hash of their text and source."""
+    by_content = F.concat(F.lit("text:"), F.hex(F.xxhash64("row.text", "row.source")))
+    named = _packed(docs).select(F.coalesce(F.col("doc_id").cast("string"), by_content).alias("name"), "doc_id", "row")
+    sized = named.select("name", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    taken = mix_sources(sized, id_col="name").withColumnRenamed("doc_id", "name").where("taken > 0").dropDuplicates(["name"])
+    given = ["doc_id", *(c for c in taken.columns if c != "name")]
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in given]
+    return named.join(taken.hint("shuffle_hash"), "name").select(*given, *own)
 
 
 STAGES = [
