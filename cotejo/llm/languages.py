@@ -136,7 +136,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     score is that language's proportion, for a single one its posterior against the others.
 
     `und` with score 0: null text, no letter, or no language learnt. Rows of equal id are each
-    judged by their own text. A null id is not held out.
+    judged by their own text. A null id is not held out. Equally likely languages: the first by name. A very long text
+    is judged whole, in a slice of its own: memory grows with its bytes times the languages.
     """
     train = docs.where(F.coalesce(remainder(id_col, 3), F.lit(0)) != 1)
     model = learn(train, text_col, lang_col, id_col, train_docs)
@@ -147,18 +148,20 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         m = shared.value
         for batch in batches:
             best, score = [], []
-            for _, _, data, offsets in K.slices(batch.column(0), limit):
+            for _, _, data, offsets in K.slices(batch.column(2).field(at), limit):
                 b, s = infer(m, data, offsets)
                 best.append(b)
                 score.append(s)
             if best:
                 names = pa.array([m.names[k] if m.names else None for k in np.concatenate(best)], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], names, pa.array(np.concatenate(score))], names=["letter", "held_out", "row", "guess", "sure"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(np.concatenate(score))], names=["letter", "held_out", "row", "guess", "sure"])
 
     held_out = F.coalesce(remainder(id_col, 3) == 1, F.lit(False))
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(F.col(text_col).alias("text"), letter.alias("letter"), held_out.alias("held_out"), row.alias("row"))
+    # The text goes to Python once, inside its row.
+    rows = docs.select(letter.alias("letter"), held_out.alias("held_out"), row.alias("row"))
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
     schema = rows.schema["row"].dataType.simpleString()
     judged = rows.mapInArrow(judge, f"letter boolean, held_out boolean, row {schema}, guess string, sure double")
     known = F.col("letter") & F.col("guess").isNotNull()
