@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cotejo.llm import kernels as K
 from cotejo.llm.exchange import PACK_SCHEMA, Packer, groups_of, read_packs
 from cotejo.llm.graph import connected_components
-from cotejo.llm.shared import durable, partitions
+from cotejo.llm.shared import bound_batches, durable, partitions
 
 _ENTRY = np.dtype([("key", np.uint64), ("set", np.int64)])
 #: Bucket entries that only pass through the exchange: a document's set.
@@ -103,6 +103,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 

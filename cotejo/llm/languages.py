@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
 from cotejo.llm.samples import bounded_by_class, remainder
+from cotejo.llm.shared import bound_batches
 
 #: Hashed trigrams of the model, and the parts in which they are counted.
 BINS, PARTS = 1 << 15, 16
@@ -139,6 +140,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     judged by their own text. A null id is not held out. Equally likely languages: the first by name. A very long text
     is judged whole, in a slice of its own: memory grows with its bytes times the languages.
     """
+    bound_batches(docs.sparkSession)
     train = docs.where(F.coalesce(remainder(id_col, 3), F.lit(0)) != 1)
     model = learn(train, text_col, lang_col, id_col, train_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)

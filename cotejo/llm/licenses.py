@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
+from cotejo.llm.shared import bound_batches
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -138,6 +139,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if sum(len(t.split()) for t in templates.values()) > MOST_WORDS:
         raise ValueError(f"templates of more than {MOST_WORDS} words")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates, word_frequency(texts.select("text"), templates)))
     phrases = [(_hashes(p), label) for p, label in PHRASES.items()]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
 from cotejo.llm.samples import labelled_texts
+from cotejo.llm.shared import bound_batches
 
 #: Labelled documents of each class that the field is fitted on, about, and the most bytes and lines of one that is.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 600, 20_000, 200
@@ -184,6 +185,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         model = fit([(Lines(d, np.array([0, len(d)])).x, y) for d, y in encoded])
     else:
         model = np.zeros((FEATURES, 2)), np.zeros((2, 2))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):

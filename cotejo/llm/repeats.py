@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
 from cotejo.llm.exchange import PACK_SCHEMA, PLACES_SCHEMA, Packer, compare, groups_of, placed, places_of, read_packs
-from cotejo.llm.shared import durable, partitions
+from cotejo.llm.shared import bound_batches, durable, partitions
 
 #: A perfect difference set: any two places have a step below 13 after which both stand at a residue in it.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -129,6 +129,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     if window <= PERIOD:
         raise ValueError("window must be over 13 words")
     spark, length = docs.sparkSession, window - PERIOD + 1
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True

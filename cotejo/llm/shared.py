@@ -1,11 +1,20 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and the size of batches."""
 
 from pyspark.sql import SparkSession
 
 from cotejo.sources.written import durable, new_folder, shared_dir
 
-__all__ = ["durable", "new_folder", "partitions", "shared_dir"]
+__all__ = ["bound_batches", "durable", "new_folder", "partitions", "shared_dir"]
+
+#: Bytes of rows that go to Python at once; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of texts are bounded by bytes, not only by rows: 10,000 long texts are no longer one batch. A session's own setting stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

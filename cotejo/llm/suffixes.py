@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cotejo.llm import kernels as K
 from cotejo.llm.exchange import PACK_SCHEMA, Packer, groups_of, lists_by, read_packs
 from cotejo.llm.repeats import _INFO, INFO_SCHEMA, anchor_table, first_texts, rows_only, searched, send_anchors, several_places, text_key, wanted_texts, with_empty
-from cotejo.llm.shared import durable, partitions
+from cotejo.llm.shared import bound_batches, durable, partitions
 
 _CLASS = np.dtype([("key", np.uint64), ("doc", np.int64), ("pos", np.uint32)])
 _PRINT = np.dtype([("key", np.uint64), ("text", np.int64), ("pos", np.uint32), ("more", np.uint32)])
@@ -167,6 +167,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id has their text. A null id takes no part. Other columns are not looked at.
     """
     spark, width = docs.sparkSession, length - PRINT + 1
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
     def prints(buckets):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kernels as K
 from cotejo.llm.samples import labelled_texts, remainder
+from cotejo.llm.shared import bound_batches
 
 #: Labelled documents of each class that are learnt from, about, and the most bytes of one that is.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 20_000
@@ -148,6 +149,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     n, m = shares.get(True, 0), shares.get(False, 0)
     shift = float(np.log((n + 0.5) / (m + 0.5) * (len(ordinary) + 0.5) / (len(toxic) + 0.5)))
     model = ToxicityModel(model.ordinary, model.toxic, (model.weights[0] + shift, *model.weights[1:]))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
