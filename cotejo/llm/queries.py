@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import mixing, warc
+from cotejo.llm import embeddings, exponion, mixing, trie, warc
 from cotejo.llm.decontaminate import benchmark_leaks
 from cotejo.llm.jaccard import near_duplicate_sets
 from cotejo.llm.languages import identify_languages
@@ -58,5 +58,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_substring_dedup, op4_mixing_sources, op5_benchmark_decontamination, op6_warc_zip_archives, op7_language_id, op8_license_scans, op9_toxicity, op10_suffix_array_dedup)}
-ORACLES: dict[str, str] = {"op4_mixing_sources": mixing.ORACLE, "op6_warc_zip_archives": warc.ORACLE}
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_substring_dedup, op4_mixing_sources, op5_benchmark_decontamination, op6_warc_zip_archives, op7_language_id, op8_license_scans, op9_toxicity, op10_suffix_array_dedup, op11_embedding_near_dedup, op12_conversation_prefix_trie, op13_centroid_clustering)}
+ORACLES: dict[str, str] = {
+    "op4_mixing_sources": mixing.ORACLE,
+    "op6_warc_zip_archives": warc.ORACLE,
+    "op11_embedding_near_dedup": embeddings.ORACLE,
+    "op12_conversation_prefix_trie": trie.ORACLE,
+    "op13_centroid_clustering": exponion.ORACLE,
+}
