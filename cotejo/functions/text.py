@@ -1,21 +1,30 @@
 """Column functions on catalog texts."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and their plain forms, in step.
-MARKED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūýÿñçÁÀÂÄÃÅĀÉÈÊËĒÍÌÎÏĪÓÒÔÖÕŌÚÙÛÜŪÝŸÑÇ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuyyncAAAAAAAEEEEEIIIIIOOOOOOUUUUUYYNC"
+#: Latin letters that are a plain letter and marks, and that letter, in step.
+_LETTERS = [(chr(c), "".join(x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x) != "Mn")) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
+MARKED = "".join(c for c, plain in _LETTERS if len(plain) == 1 and plain != c)
+PLAIN = "".join(plain for c, plain in _LETTERS if len(plain) == 1 and plain != c)
 # Noise in names, words without content, unit words.
 NOISE = [r"\[[^\]]*warehouse[^\]]*\]", r"\bglobal\b", r"\beu\s*plug\b", r"\bus\s*plug\b", r"\buk\s*plug\b", r"\bnew\b", r"\bversion\b"]
 STOP_WORDS = ["de", "con", "para", "the", "and", "y", "a", "en", "un", "una", "inch", "pulgadas", "color", "network", "support", "black", "white"]
 UNITS = r"gb|mb|tb|kg|mah|watts?|hz|kpa|pulgadas?|in"
 
-_NOISE = "(?iU)" + "|".join(NOISE)
+# How names tell memory, screen and refresh rate.
 _PAIR = r"(?iU)(\d+)\s*GB\s*[+/]?\s*(\d+)\s*(GB|TB)\b"
 _SINGLE = r"(?iU)\b(\d+)\s*(GB|TB)\b"
 _SCREEN = r'(?iU)(\d+(?:\.\d+)?)\s*(?:inch|"|pulgadas)'
 _HERTZ = r"(?iU)(\d+)\s*Hz"
+# Fixed value: a word of letters and digits that can name a model.
+_MODEL = r"\b(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9]{2,10}\b"
+# Fixed value: gigabytes without their B.
+_BARE_G = r"(?<=\d)G(?=\s|$|[^a-zA-Z])"
+
+_NOISE = "(?iU)" + "|".join(NOISE)
 
 
 def fold_accents(text: Column) -> Column:
@@ -57,7 +66,7 @@ def specs(name: Column) -> Column:
 def model_tokens(name: Column) -> Column:
     """Words of letters and digits, and neighbouring word and number pairs outside specifications; upper case, sorted."""
     clean = F.regexp_replace(name, _NOISE, " ")
-    mixed = F.regexp_extract_all(clean, F.lit(r"\b(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9]{2,10}\b"), F.lit(0))
+    mixed = F.regexp_extract_all(clean, F.lit(_MODEL), F.lit(0))
     for pattern in (_PAIR, _SINGLE, _SCREEN, _HERTZ):
         clean = F.regexp_replace(clean, pattern, " ")
     words = F.regexp_extract_all(clean, F.lit(r"[A-Za-z]+|[0-9]+"), F.lit(0))
@@ -90,7 +99,7 @@ def variant_key(text: Column) -> Column:
 
 
 def full_gigabytes(title: Column) -> Column:
-    return F.regexp_replace(title, r"(?<=\d)G(?=\s|$|[^a-zA-Z])", "GB")
+    return F.regexp_replace(title, _BARE_G, "GB")
 
 
 def without_brand(title: Column, brand: Column) -> Column:

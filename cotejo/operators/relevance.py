@@ -9,7 +9,8 @@ from cotejo.functions import text
 ACCESSORIES = ["funda", "case", "carcasa", "protector", "mica", "vidrio", "templado", "pantalla", "lcd", "display", "cable", "cargador", "adaptador", "bateria", "soporte", "cover", "estuche", "correa", "mochila", "maletin", "repuesto", "juguete", "para nino", "para nina"]
 VARIANTS = ["max", "plus", "ultra", "lite", "mini", "pro", "neo", "se"]
 NOISE = ["gb", "ram", "dual", "sim", "celular", "smartphone", "global", "version", "g", "tb", "mah"]
-REFURBISHED = r"(?i)reacondicionad|renewed|reembalad|remanufactur|segunda\s+mano|semi-?nuevo|\busado\b"
+# Fixed value: what titles of refurbished products say.
+REFURBISHED = r"(?i)reacondicionad|renewed|reembalad|remanufactur|segunda mano|seminuevo|semi.?nuevo|\busado\b"
 
 
 def prepared(said: Column) -> Column:

@@ -69,7 +69,7 @@ def sitemap(products: DataFrame, categories: DataFrame, base: str = "https://exa
 
 
 def product_description(rows: DataFrame) -> DataFrame:
-    said = F.concat(F.lit("Precios de "), text.escape_html(F.col("name")), F.lit(" en "), text.plural(F.col("offer_count"), "tienda", "tiendas"), F.lit(" desde "), pricing.money(F.col("min_price")))
+    said = F.concat(text.escape_html(F.col("name")), F.lit(": ofertas en "), text.plural(F.col("offer_count"), "tienda", "tiendas"), F.lit(" desde "), pricing.money(F.col("min_price")))
     return rows.select("id", said.alias("description"))
 
 

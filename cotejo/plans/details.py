@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import pricing, text
-from cotejo.operators import catalog, offers, popularity, relevance, reports
+from cotejo.operators import catalog, offers, popularity, relevance, reports, variants
 from cotejo.plans.queries import METRICS_SQL, POPULAR_SQL, ROUTE_SQL, TARGET, metrics, popular, query, r6
 from cotejo.sources.catalog import CatalogDocument, ListQuery, read_brands, read_feeds, read_state, write_state
 from cotejo.sources.tables import Catalog
@@ -165,12 +165,12 @@ def answers(c: Catalog) -> DataFrame:
     part = c.table("part")
     asked = part.groupBy("p_brand").agg(F.concat("p_brand", F.lit(" "), F.min("p_name")).alias("query"))
     size = F.col("p_size")
-    more = F.when(size % 5 == 0, " Max").when(size % 5 == 1, " funda").when(size % 7 == 3, " usado").when(size % 7 == 4, " Renewed").otherwise("")
+    more = F.when(size % 5 == 0, " Max").when(size % 5 == 1, " funda").when(size % 7 == 3, " usado").when(size % 7 == 4, " Renewed").when(size % 7 == 5, " semi nuevo").otherwise("")
     return part.join(asked, "p_brand").select("query", F.col("p_partkey").alias("pos"), F.col("p_type").alias("domain"), F.concat("p_brand", F.lit(" "), "p_name", more).alias("title"), (size % 5 == 1).alias("cover"))
 
 
 ANSWERS_SQL = """, asked AS (SELECT p_brand, p_brand || ' ' || min(p_name) AS query, min(p_name) AS least FROM part GROUP BY p_brand),
-answer AS (SELECT a.query, p_partkey AS pos, p_type AS domain, p_name = a.least AS named, p_size % 5 = 0 AS max, p_size % 5 = 1 AS cover, p_size % 5 > 1 AND p_size % 7 IN (3, 4) AS again FROM part p JOIN asked a ON a.p_brand = p.p_brand)
+answer AS (SELECT a.query, p_partkey AS pos, p_type AS domain, p_name = a.least AS named, p_size % 5 = 0 AS max, p_size % 5 = 1 AS cover, p_size % 5 > 1 AND p_size % 7 IN (3, 4, 5) AS again FROM part p JOIN asked a ON a.p_brand = p.p_brand)
 """
 
 
@@ -223,7 +223,7 @@ def breadcrumbs(c):
     return made.select("id", get("$.@type").alias("kind"), F.json_array_length(get(at)).alias("n"), get(at + "[1].name").alias("second"), get(at + "[1].item").alias("second_url"), get(at + "[2].name").alias("last"), get(at + "[2].position", "int").alias("last_position"), get(at + "[2].item").alias("last_url"))
 
 
-@query(METRICS_SQL + f"SELECT id, 'Precios de ' || name || ' &amp; más en ' || offer_count || CASE WHEN offer_count = 1 THEN ' tienda' ELSE ' tiendas' END || ' desde ' || {MONEY % 'min_price'} AS description FROM metric")
+@query(METRICS_SQL + f"SELECT id, name || ' &amp; más: ofertas en ' || offer_count || CASE WHEN offer_count = 1 THEN ' tienda' ELSE ' tiendas' END || ' desde ' || {MONEY % 'min_price'} AS description FROM metric")
 def product_descriptions(c):
     return reports.product_description(metrics(c).withColumn("name", F.concat("name", F.lit(" & más"))))
 
@@ -313,6 +313,22 @@ def toggles_by_stream(c):
     return counters.final_counts(counters.toggles(rows), new_folder(c.spark, "toggles"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS safe FROM documents")
-def escaped_lines(c):
-    return c.table("documents").select("doc_id", text.escape_html(F.split_part("text", F.lit("\n"), F.lit(1))).alias("safe"))
+@query(
+    """, said AS (SELECT p_partkey AS id, p_size % 7 AS k, 'k' || p_partkey AS m FROM part)
+SELECT id, CASE k WHEN 0 THEN 'funda ' || m || ' rose' WHEN 1 THEN 'teclado white ' || m WHEN 2 THEN 'caja ' || m WHEN 3 THEN 'caja ' || m || ' negro space' WHEN 4 THEN 'reloj ' || m || ' 46mm' WHEN 5 THEN 'ampli ' || m || ' 64gb' ELSE 'telefono ' || m END AS model_key,
+  CASE k WHEN 0 THEN 'Funda K' || id || ' Rose' WHEN 1 THEN 'Teclado White K' || id WHEN 2 THEN 'Caja K' || id WHEN 3 THEN 'Caja K' || id || ' Negro Space' WHEN 4 THEN 'Reloj K' || id || ' 46 mm' WHEN 5 THEN 'Ampli K' || id || ' 64GB' ELSE 'Teléfono K' || id END AS display,
+  CASE k WHEN 0 THEN 'Dorado' WHEN 1 THEN 'Negro' WHEN 2 THEN 'Morado' WHEN 3 THEN 'Gris' WHEN 4 THEN 'Azul marino' WHEN 6 THEN 'Café' END AS color, CASE WHEN k IN (3, 5) THEN 'refurbished' ELSE 'new' END AS condition FROM said"""
+)
+def title_reading(c):
+    """Titles with colours inside models, chained colours, links and conditions."""
+    size, model = F.col("p_size") % 7, F.concat(F.lit("K"), F.col("p_partkey").cast("string"))
+    said = lambda a, b: F.concat(F.lit(a), model, F.lit(b))
+    title = F.when(size == 0, said("Funda ", " Rose Gold")).when(size == 1, said("Teclado White ", " Negro")).when(size == 2, said("Caja ", " Morado Color Violeta")).when(size == 3, said("Caja ", " Negro Space Gray (Reacondicionado)"))
+    title = title.when(size == 4, said("Reloj ", " color del Mar Azul marino 46 mm")).when(size == 5, said("Ampli ", " 64G semi nuevo")).otherwise(said("Teléfono ", " Gris Café"))
+    rows = variants.keyed(c.table("part").select(F.col("p_partkey").alias("id"), title.alias("name"), F.col("p_brand").alias("brand")))
+    return rows.select("id", "model_key", "display", "color", "condition")
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS safe FROM documents")
+def escaped_texts(c):
+    return c.table("documents").select("doc_id", text.escape_html(F.col("text")).alias("safe"))

@@ -207,10 +207,9 @@ def sitemap(c):
     return reports.sitemap(c.products, c.products.select("category").distinct())
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(replace(split_part(text, chr(10), 1), 'ß', '')), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '-', 'g'), '-')) AS slug FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(replace(text, 'ß', '')), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '-', 'g'), '-')) AS slug FROM documents")
 def slug(c):
-    line = F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("ß"), F.lit(""))
-    return c.table("documents").select("doc_id", text.slug(line).alias("slug"))
+    return c.table("documents").select("doc_id", text.slug(F.replace("text", F.lit("ß"), F.lit(""))).alias("slug"))
 
 
 IDENTIFIER = "CASE l_linenumber WHEN 1 THEN ' 6922-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') WHEN 2 THEN 'B0' || lpad(CAST(l_suppkey AS VARCHAR), 8, 'X') WHEN 3 THEN '0000000000000' WHEN 4 THEN NULL ELSE CAST(l_orderkey AS VARCHAR) END"

@@ -1,5 +1,7 @@
 """Functions and operators of the catalog on hand-worked rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,11 +210,18 @@ def test_relevance(spark):
     assert values(spark, relevance.is_match(F.col("q"), F.col("t")), pairs, "q string, t string") == [False, False, False, False, True]
 
 
-def test_variant_titles():
-    assert variants.read_title("Funda Rose Gold")[2] == "Dorado" and "rose" in variants.read_title("Funda Rose Gold")[0]
-    key, _, color, _ = variants.read_title("Redragon Dragonborn White K630 Teclado Negro")
-    assert color == "Negro" and "white" in key
-    assert variants.read_title("iPhone 13 Azul (Reacondicionado)")[2:] == ("Azul", "refurbished")
+def test_variant_titles(spark):
+    said = [
+        "Funda Rose Gold", "Redragon Dragonborn White K630 Teclado Negro", "iPhone 13 Azul (Reacondicionado)", "Galaxy S21 Morado Color Violeta", "Galaxy S21 Negro Space Gray", "Reloj GT color del Mar Azul marino, 46 mm",
+        "Redmi 12 Azul - Open  Box, open box", "Moto G54 semi nuevo Negra", "Teléfono Café", "Rojo", "", "Blackberry Redmi", "Caja NEGRA blanca Color\t", "Funda rosa oro - ",
+    ]
+    got = values(spark, F.to_json(variants.title_parts(F.col("x")), {"ignoreNullFields": "false"}), [(t,) for t in said], "x string")
+    assert [tuple(json.loads(g).values()) for g in got] == [
+        ("funda rose", "Funda Rose", "Dorado", "new"), ("redragon dragonborn white k630 teclado", "Redragon Dragonborn White K630 Teclado", "Negro", "new"), ("iphone 13", "iPhone 13", "Azul", "refurbished"),
+        ("galaxy s21", "Galaxy S21", "Morado", "new"), ("galaxy s21 negro space", "Galaxy S21 Negro Space", "Gris", "new"), ("reloj gt , 46 mm", "Reloj GT , 46 mm", "Azul marino", "new"),
+        ("redmi 12 - ,".strip(" ,-"), "Redmi 12 - , open box", "Azul", "refurbished"), ("moto g54", "Moto G54", "Negro", "refurbished"), ("telefono", "Teléfono", "Café", "new"), ("", "", "Rojo", "new"), ("", "", None, "new"),
+        ("blackberry redmi", "Blackberry Redmi", None, "new"), ("caja color", "Caja Color", "Blanco", "new"), ("funda", "Funda", "Dorado", "new"),
+    ]
 
 
 def test_merge_is_idempotent(spark):
