@@ -45,15 +45,22 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column], values:
     return summed.withColumns({f"{v}_upto": F.col(f"{v}_upto") + F.col(n) for v, n in zip(values, names)}).drop("piece", "place", *names)
 
 
-def numbered(df: DataFrame, name: str, start: int, tag: str = "numbered") -> tuple[DataFrame, int]:
-    """df written with numbers start, start + 1, ... in no given order, and the number after the last.
-
-    The numbers have no gaps. One count for each partition comes to the driver and goes back as a table of so many rows.
-    """
-    held = durable(df.withColumn("piece", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS))), tag)
+def _with_offsets(held: DataFrame, name: str, start: int) -> tuple[DataFrame, int]:
+    """One count for each partition comes to the driver and goes back as a table of so many rows."""
     offsets, at = [], start
     for piece, n in sorted(held.groupBy("piece").count().collect()):
         offsets.append((piece, at))
         at += n
-    table = df.sparkSession.createDataFrame(offsets, "piece int, offset long")
+    table = held.sparkSession.createDataFrame(offsets, "piece int, offset long")
     return held.join(F.broadcast(table), "piece").withColumn(name, F.col("place") + F.col("offset")).drop("piece", "place", "offset"), at
+
+
+def numbered(df: DataFrame, name: str, start: int, tag: str = "numbered") -> tuple[DataFrame, int]:
+    """df written with numbers start, start + 1, ... without gaps, in no given order, and the number after the last."""
+    held = durable(df.withColumn("piece", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS))), tag)
+    return _with_offsets(held, name, start)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, start: int = 0, tag: str = "ranked") -> DataFrame:
+    """df written with numbers start, start + 1, ... in order."""
+    return _with_offsets(in_order(df, order, tag), name, start)[0]
