@@ -82,7 +82,8 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Links texts whose n-word shingle sets have den * |A and B| >= num * |A or B|.
 
     Returns one row per row of docs: doc_id, n_shingles, component_id (the smallest id that
-    links reach, its own included), mark (xxhash64 of the text, which tells rows of one id apart).
+    links reach, its own included), mark (xxhash64 of the text, which tells rows of one id apart), cluster (a number for
+    what links reach, null without words: unlike component_id it tells unlinked texts of one id apart).
     The join is exact, in these steps:
 
     1. Equal sets are one set from here on. Each sends a little more than a prefix of its
@@ -159,8 +160,8 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A component is named by a set; its smallest document comes from all sets in it.
     named = sets.join(component, "set", "left").withColumn("head", F.coalesce("head", "set"))
     least = named.groupBy("head").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "head").select("set", "n", "component_id")
-    return rows.join(named, ["set", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
+    named = named.join(least, "head").select("set", "n", "component_id", F.col("head").alias("cluster"))
+    return rows.join(named, ["set", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark", "cluster")
 
 
 def _links(texts: DataFrame, left: DataFrame, n: int, num: int, den: int) -> DataFrame:

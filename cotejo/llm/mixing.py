@@ -36,11 +36,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
-    Returns doc_id, size (words), source_size, target (of its source), taken (words, repeats counted).
+    Returns doc_id, size (words), source_size, target (of its source), taken (words, repeats counted), and the columns in `carry`, whose
+    names must not be among the operator's own.
 
     Each source gets whole copies of all its documents as often as its target allows. The
     rest is a Pareto order sample: a document's inclusion probability p leans to longer
@@ -54,7 +55,7 @@ def mix_sources(
     draw the same number and stand each for itself. A null id draws as the empty string. Other columns are not looked at.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    sizes = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carry), "sizes")
     # Tables of a row per source are written: Spark then knows how small they are before it deals out the documents, a third of which can be of one source.
     targets = durable(source_targets(sizes, weights, share, most).withColumnRenamed("source", "name"), "targets")
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
@@ -68,17 +69,17 @@ def mix_sources(
         .withColumn("rank", F.when(F.col("p") > 0, F.col("u") * (1 - F.col("p")) / ((1 - F.col("u")) * F.col("p"))))
         .withColumn("cut", F.floor(F.col("rank") / (1 + F.col("rank")) * CUTS))
     )
-    ranked = durable(ranked.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", "rank", "cut"), "ranked")
+    ranked = durable(ranked.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", "rank", "cut", *carry), "ranked")
     heap = ranked.where("rank is not null").groupBy("source", "cut").agg(F.sum("size").alias("words"), F.max("extra").alias("extra"))
     upto = Window.partitionBy("source").orderBy("cut")
     border = heap.withColumn("upto", F.sum("words").over(upto)).where("upto > extra").groupBy("source").agg(F.min_by(F.struct("cut", (F.col("upto") - F.col("words")).alias("before")), "cut").alias("b"))
     border = durable(border.select(F.col("source").alias("name"), F.col("b.cut").alias("last_cut"), F.col("b.before").alias("before")), "border")
     cut = ranked.join(border, F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
     inside = F.col("cut") == F.col("last_cut")
-    entering = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entering = Window.partitionBy("source").orderBy("rank", "doc_id", *carry).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_border = cut.where(inside).withColumn("upto", F.col("before") + F.sum("size").over(entering)).withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("extra")).cast("long"))
     clear = cut.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.coalesce((F.col("cut") < F.col("last_cut")) | F.col("last_cut").isNull() & F.col("cut").isNotNull(), F.lit(False)).cast("long"))
-    names = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken")]
+    names = ["doc_id", "size", "source_size", "target", *carry, (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken")]
     return clear.select(*names).unionByName(at_border.select(*names))
 
 

@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_sets(_table(spark, sf_dir, "documents")).drop("mark")
+    return near_duplicate_sets(_table(spark, sf_dir, "documents")).drop("mark", "cluster")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

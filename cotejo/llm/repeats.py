@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cotejo.llm import kernels as K
 from cotejo.llm.exchange import PACK_SCHEMA, PLACES_SCHEMA, Packer, compare, groups_of, placed, places_of, read_packs
 from cotejo.llm.shared import bound_batches, durable, partitions
+from cotejo.operators.ordering import ranked
 
 #: A perfect difference set: any two places have a step below 13 after which both stand at a residue in it.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -89,24 +90,24 @@ INFO_SCHEMA = "doc_id long, size long, sha string, mark long, text_key long"
 
 
 def first_texts(info: DataFrame) -> DataFrame:
-    """Of the rows of each text hash the one with the smallest id: sha, rep (its id), mark (the hash of its text), text_key, copies (how many ids have it)."""
+    """Of the rows of each text hash the one with the smallest id: sha, rep (its id), mark (the hash of its text), text_key, copies (how many ids have it), doc (a number of the text, in order of rep and mark)."""
     least = F.min(F.struct("doc_id", "mark")).alias("first")
     one = info.where("doc_id is not null").groupBy("sha").agg(least, F.count_distinct("doc_id").alias("copies"), F.min("text_key").alias("text_key"))
+    one = one.select("sha", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "text_key", "copies")
     # Written, so that a join with all rows of a frequent text is one that Spark can split.
-    return durable(one.select("sha", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "text_key", "copies"), "first-texts")
+    return ranked(one, [F.col("rep"), F.col("mark"), F.col("sha")], "doc", tag="first-texts")
 
 
 def wanted_texts(first_of: DataFrame, places: DataFrame) -> DataFrame:
-    """(rep, mark, sha, pos): the texts that have places (text_key, pos). pos is null, all places, for texts whose key other texts have too: their places can't be told apart."""
+    """(rep, mark, sha, doc, pos): the texts that have places (text_key, pos). pos is null, all places, for texts whose key other texts have too: their places can't be told apart."""
     keyed = first_of.withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy("text_key"))).join(places, "text_key", "left")
-    return keyed.where("alike > 1 or pos is not null").select("rep", "mark", "sha", F.when(F.col("alike") == 1, F.col("pos")).alias("pos"))
+    return keyed.where("alike > 1 or pos is not null").select("rep", "mark", "sha", "doc", F.when(F.col("alike") == 1, F.col("pos")).alias("pos"))
 
 
 def searched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text, sha, pos) of the wanted texts (rep, mark, sha, pos): one text of an id, one copy of a repeated row."""
-    one = wanted.groupBy(F.col("rep").alias("doc_id")).agg(F.min_by(F.struct("mark", "sha", "pos"), F.struct("mark", "sha")).alias("w"))
-    one = one.select("doc_id", F.col("w.mark").alias("mark"), F.col("w.sha").alias("sha"), F.col("w.pos").alias("pos"))
-    return texts.join(one.hint("shuffle_hash"), ["doc_id", "mark"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "sha", "pos")
+    """(doc, text, sha, pos, doc_id) of the wanted texts (rep, mark, sha, doc, pos): one copy of a repeated row, every text of an id."""
+    met = texts.join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["doc_id", "mark"])
+    return met.dropDuplicates(["doc_id", "mark"]).select("doc", "text", "sha", "pos", "doc_id")
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -122,8 +123,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     3. Of equal texts, the one with the smallest id goes through the steps; the others are
        removed whole if they have a window at all.
 
-    Null text is empty. Rows of equal id and text are one document, each row returned. Of rows
-    of equal id and different texts one, by the text's hash, is searched; the others only go whole, if a smaller id has their words. A null
+    Null text is empty. Rows of equal id and text are one document, each row returned. Rows of equal id and
+    different texts are a document each, in order of the text's hash. A null
     id takes no part: nothing is removed. Other columns are not looked at.
     """
     if window <= PERIOD:
@@ -196,7 +197,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         return placed(found["doc"], found["pos"].astype(np.int64), buckets // 2)
 
     found = durable(compare(some.mapInArrow(windows, PACK_SCHEMA), _WINDOW, later, PLACES_SCHEMA), "later")
-    found = places_of(found, "doc_id")
+    found = places_of(found, "doc")
 
     def kept(batches):
         for batch in batches:
@@ -217,8 +218,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                     removed.append(int((~stay[first[r] : first[r + 1]]).sum()))
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(removed, pa.int64()), pa.array(shas)], names=["doc_id", "sha", "less", "left_sha"])
 
-    changed = some.select("doc_id", "text", "sha").join(found, "doc_id").mapInArrow(kept, "doc_id long, sha string, less long, left_sha string")
-    copies = info.join(first_of.drop("mark", "text_key"), "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)) & (F.col("size") >= window))
+    changed = some.select("doc", "doc_id", "text", "sha").join(found, "doc").select("doc_id", "text", "sha", "pos").mapInArrow(kept, "doc_id long, sha string, less long, left_sha string")
+    copies = info.join(first_of.select("sha", "rep"), "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)) & (F.col("size") >= window))
     whole = copies.join(changed, ["doc_id", "sha"], "left")
     return whole.select(
         "doc_id",

@@ -147,8 +147,8 @@ def shared_prints(entries: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, n
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
     """Removes every byte of the UTF-8 texts that a string of `length` bytes covers which also starts anywhere else.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept_text
-    (null where nothing was removed; code points cut by a border are left out).
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also mark (xxhash64 of the text, which tells rows of
+    one id apart) and kept_text (null where nothing was removed; code points cut by a border are left out).
 
     1. Candidates: of the hashes of 40 bytes inside every `length` bytes the least is a
        fingerprint (winnowing), chosen by content alone, so a repeated string has one that
@@ -163,8 +163,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     4. Equal texts of `length` bytes or more are wholly repeated; one of them stands for all in steps 1 to 3.
 
     Null text is empty. Rows of equal id and text count as one document (a table read
-    twice is not a repeat). Of rows of equal id and different texts one, by the text's hash, is searched; the others only go whole, if another
-    id has their text. A null id takes no part. Other columns are not looked at.
+    twice is not a repeat). Rows of equal id and different texts are a document each; a text of several ids goes whole.
+    A null id takes no part. Other columns are not looked at.
     """
     spark, width = docs.sparkSession, length - PRINT + 1
     bound_batches(spark)
@@ -277,7 +277,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.concat_tables([one.append_column("len", two["len"]), own.select(["doc_id", "pos", "len"])])
 
     settled = durable(classes.groupBy("bucket").applyInArrow(merge, "doc_id long, pos array<long>, len array<long>"), "settled")
-    spans = settled.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"), F.flatten(F.collect_list("len")).alias("len"))
+    spans = settled.withColumnRenamed("doc_id", "doc").groupBy("doc").agg(F.flatten(F.collect_list("pos")).alias("pos"), F.flatten(F.collect_list("len")).alias("len"))
 
     def kept(batches):
         for batch in batches:
@@ -299,8 +299,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             columns = [batch.column(0), batch.column(2), pa.array(less, pa.int64()), pa.array(count, pa.int64()), pa.array(shas)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(left if keep_text else [None] * len(less), pa.string())], names=["doc_id", "sha", "less", "spans", "left_sha", "left_text"])
 
-    changed = some.select("doc_id", "text", "sha").join(spans, "doc_id").mapInArrow(kept, "doc_id long, sha string, less long, spans long, left_sha string, left_text string")
-    whole = info.join(first_of.drop("mark", "text_key"), "sha", "left").join(changed, ["doc_id", "sha"], "left")
+    changed = some.select("doc", "doc_id", "text", "sha").join(spans, "doc").select("doc_id", "text", "sha", "pos", "len").mapInArrow(kept, "doc_id long, sha string, less long, spans long, left_sha string, left_text string")
+    whole = info.join(first_of.select("sha", "copies"), "sha", "left").join(changed, ["doc_id", "sha"], "left")
     copy = (F.col("copies") > 1) & (F.col("size") >= length)
     result = whole.select(
         "doc_id",
@@ -309,8 +309,9 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.when(copy, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("left_text")).alias("kept_text"),
+        "mark",
     )
-    return result if keep_text else result.drop("kept_text")
+    return result if keep_text else result.drop("kept_text", "mark")
 
 
 def _settle(regions: list, length: int, packer: Packer):

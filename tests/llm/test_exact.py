@@ -105,3 +105,27 @@ def test_texts_of_equal_keys(spark, monkeypatch, name):
     run, plain = OPERATORS[name]
     rows = corpus(4, 48)
     assert sorted((tuple(r) for r in run(table(spark, rows), spark).collect()), key=key) == sorted(plain(rows), key=key)
+
+
+@pytest.mark.parametrize("name", ["repeated_words", "repeated_bytes"])
+def test_every_text_of_an_id_is_searched(spark, name):
+    """Rows of one id and different texts are a document each, in order of the text's hash."""
+    import xxhash
+
+    run, plain = OPERATORS[name]
+    rows = corpus(5, 40)
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = sorted({(d // 3, t or "") for d, t in rows} | {(d, f"{x} {passage} {x}") for d, x in [(90, "one"), (90, "two"), (91, "three"), (90, "four")]})
+    mark = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    number = {r: k for k, r in enumerate(sorted(rows, key=lambda r: (r[0], mark(r[1]))))}
+    seen, alone = set(), []
+    for d, t in rows:
+        # A text that several ids have is removed whole by either operator; here each text has one id.
+        if t not in seen:
+            alone.append((d, t))
+        seen.add(t)
+    want = sorted(plain([(number[r], r[1]) for r in alone]))
+    back = {n: r[0] for r, n in number.items()}
+    got = sorted((tuple(r) for r in run(table(spark, alone), spark).collect()), key=key)
+    assert got == sorted(((back[r[0]], *r[1:]) for r in want), key=key)
+    assert any(r[2] for r in got)

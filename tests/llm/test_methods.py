@@ -320,13 +320,28 @@ def test_pipeline_stages_on_rows_without_an_id(spark):
     import corpus_pipeline
 
     say = lambda k: " ".join(f"{w}{k}" for w in WORDS)
-    rows = [(1, say("a"), "x"), (2, say("b"), "x"), (2, say("a"), "x"), (None, say("c"), "x"), (None, say("d"), "y"), (None, None, "y"), (3, say("e"), None)]
+    rows = [(1, say("a"), "x"), (2, say("b"), "x"), (2, say("a"), "x"), (None, say("c"), "x"), (None, say("d"), "y"), (None, None, "y"), (3, say("e"), None), (1, say("f"), "x"), (None, say("b"), "z"), (9, "", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = [tuple(r) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, FOLDER).collect()]
-    # The text that id 2 shares with document 1 goes, its other text stays.
-    assert sorted(got, key=str) == sorted([*rows[:2], *rows[3:]], key=str)
+    # The text that id 2 shares with document 1 goes, its other text stays, and so does the other text of id 1; a copy without an id goes.
+    assert sorted(got, key=str) == sorted([r for k, r in enumerate(rows) if k not in (2, 8)], key=str)
     mixed = corpus_pipeline.mixing_sources(spark, docs, FOLDER)
     assert mixed.columns == ["doc_id", "size", "source_size", "target", "taken", "text", "source"]
     took = [(r["doc_id"], r["text"], r["source"]) for r in mixed.collect()]
     assert (None, say("c"), "x") in took or (None, say("d"), "y") in took
     assert set(took) <= set(rows) and len(took) == len(set(took))
+
+
+def test_pipeline_cleans_rows_that_share_an_id_or_have_none(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
+    passage, own = " ".join(f"p{k}assage" for k in range(60)), lambda k: " ".join(f"{w}{k}" for w in WORDS)
+    rows = [(1, f"{own('a')} {item} {own('b')}"), (None, f"{own('c')} {item}"), (2, own("d")), (2, f"{own('e')} {item}"), (None, own("f")), (None, None), (3, f"{own('g')} {passage}"), (None, f"{own('h')} {passage}"), (3, f"{own('i')} {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.benchmark_decontamination(spark, docs, FOLDER).collect()), key=str)
+    assert got == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+    cut = sorted(map(tuple, corpus_pipeline.suffix_array_dedup(spark, docs, FOLDER).collect()), key=str)
+    # The passage, and the blank before it, goes from all three texts, of one id or none.
+    assert len(cut) == len(rows) and not [t for _, t in cut if t and "p7assage" in t]
+    assert [r for r in cut if r[1] in (own("d"), own("f"))] == [(2, own("d")), (None, own("f"))]
