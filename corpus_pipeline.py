@@ -19,49 +19,69 @@ from cotejo.llm.suffixes import remove_repeated_bytes
 
 #: A language that makes up less of a document than this doesn't name it.
 LEAST_LANGUAGE_SHARE = 0.4
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a recognised language stay; those without a letter or text, or too mixed, go. Ids are not looked at."""
     judged = identify_languages(docs)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row): the columns of docs out of reach of other tables' names."""
-    return docs.select(F.col("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, mark, row): what tells rows apart, and the columns of docs out of reach of other tables' names.
+
+    key is the id; without one it comes from the text, above all usual ids. mark is a hash of the text, so rows of one id with different
+    texts are told apart; rows of equal id and text are alike to every stage.
+    """
+    mark = F.xxhash64("text")
+    by_text = mark.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("key"), mark.alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of an id stays, as later stages go by it: of its texts that stand for their group the one with the smallest hash. Rows with a null id can't be told apart by it and stay."""
-    stay = near_duplicate_sets(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("mark"))
-    marked = docs.select(F.col("doc_id"), F.xxhash64("text").alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    one = marked.join(stay.hint("shuffle_hash"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select("row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies stays, that with the smallest id and, of its texts, the smallest hash. Rows without words are in no group and stay; rows without an id take part, after those with one."""
+    keyed = _keyed(docs)
+    found = near_duplicate_sets(_texts(keyed)).where("cluster is not null")
+    stay = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").alias("key"), "mark")).alias("one")).select("one.*")
+    one = keyed.join(stay.hint("shuffle_hash"), ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"])
+    wordless = keyed.where(~F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)))
+    return one.unionByName(wordless).select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document of which nothing but white space is left goes; n_chars follows the text."""
-    cut = remove_repeated_bytes(docs, keep_text=True).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    joined = _packed(docs).join(cut.hint("shuffle_hash"), "doc_id", "left")
-    left = joined.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.coalesce("kept_text", "row.text"), "n_chars": F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))}
+    """Repeated byte strings are cut from every row's text, with or without an id. A document of which nothing but white space is left goes; n_chars follows the text."""
+    keyed = _keyed(docs)
+    cut = remove_repeated_bytes(_texts(keyed), keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("key"), "mark", "kept_text").dropDuplicates(["key", "mark"])
+    joined = keyed.join(cut.hint("shuffle_hash"), ["key", "mark"], "left")
+    left = joined.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(WORD))
+    new = {"text": F.coalesce("kept_text", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))
     return left.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks.hint("shuffle_hash"), "doc_id", "left_anti")
+    """Rows whose text holds a benchmark passage go, whatever their id: a text is judged by itself, so a clean text of the same id stays, and so do rows without text."""
+    of_text = F.struct(F.xxhash64("row.text").alias("hash"), F.length("row.text").alias("length"))
+    keyed = _keyed(docs).select(of_text.alias("of_text"), "row")
+    texts = keyed.select(F.col("of_text").alias("doc_id"), F.col("row.text").alias("text"))
+    leaks = benchmark_leaks(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("of_text")).distinct()
+    return keyed.join(leaks.hint("shuffle_hash"), "of_text", "left_anti").select("row.*")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns of documents of a name that the mix gives too are replaced. Rows with a null id go by a hash of their text and source."""
-    by_content = F.concat(F.lit("text:"), F.hex(F.xxhash64("row.text", "row.source")))
-    named = _packed(docs).select(F.coalesce(F.col("doc_id").cast("string"), by_content).alias("name"), "doc_id", "row")
-    sized = named.select("name", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
-    taken = mix_sources(sized, id_col="name").withColumnRenamed("doc_id", "name").where("taken > 0").dropDuplicates(["name"])
-    given = ["doc_id", *(c for c in taken.columns if c != "name")]
-    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in given]
-    return named.join(taken.hint("shuffle_hash"), "name").select(*given, *own)
+    """Rows that the mix takes, with doc_id, size, source_size, target and taken, and the other columns of docs. Columns of docs of a name that the mix gives too are replaced; a row without an id draws by its text."""
+    keyed = _keyed(docs)
+    sized = keyed.select(F.col("key").alias("doc_id"), "mark", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    taken = mix_sources(sized, carry=("mark",)).where("taken > 0").withColumnRenamed("doc_id", "key").dropDuplicates(["key", "mark"])
+    given = [c for c in taken.columns if c not in ("key", "mark")]
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", *given)]
+    return keyed.join(taken.hint("shuffle_hash"), ["key", "mark"]).select(F.col("row.doc_id").alias("doc_id"), *given, *own)
 
 
 STAGES = [
