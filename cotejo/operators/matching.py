@@ -2,12 +2,11 @@
 
 import difflib
 from collections import deque
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from cotejo.functions import text
 from cotejo.sources.written import durable
@@ -16,6 +15,12 @@ THRESHOLD = 0.60
 _COMPARED = ("ram_gb", "storage_gb", "screen_in")
 #: What decides whether two offers of a brand and model word go together.
 _SIGN = ("source", *_COMPARED)
+#: Rows (or pairs) of a brand that one task walks through; larger brands go in rounds of joins.
+WALK = 20_000
+#: Rows of a brand on either side of a comparison.
+BLOCK = 2_000
+#: Scores have four places, so a bound is safe within half of the last.
+_PLACE = 0.0001
 
 
 def prepare(offers: DataFrame) -> DataFrame:
@@ -41,20 +46,35 @@ def compatible(a: str, b: str) -> Column:
 
 
 def by_identifier(rows: DataFrame) -> DataFrame:
-    """Groups of one identifier: of at least two offers and sources, the first offer and each that fits all taken before it."""
-    member = F.struct("pos", "source", "brand_key", *_COMPARED)
-    buckets = rows.where("identifier_key is not null").groupBy("identifier_key").agg(F.array_sort(F.collect_list(member)).alias("m"), F.count_distinct("source").alias("sources")).where("sources > 1")
+    """Groups of one identifier: of at least two offers and sources, the first offer and each that fits all taken before it.
 
-    def fits(x: Column, y: Column) -> Column:
-        fine = (x["brand_key"] == "") | (y["brand_key"] == "") | (x["brand_key"] == y["brand_key"])
+    Offers that fit each other add up to one brand and one value of each specification at most, so what is taken so far is one signature. An offer that
+    doesn't fit it never will, and one that does makes room for all later offers of its own signature: only the distinct signatures of an identifier
+    are walked through, in order of their first offers, however many offers have them.
+    """
+    signature = ("brand_key", *_COMPARED)
+    coded = rows.where("identifier_key is not null")
+    per = coded.groupBy("identifier_key", *signature).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"), F.min("source").alias("lo"), F.max("source").alias("hi"))
+    entry = F.struct("first", "n", F.struct(F.nullif("brand_key", F.lit("")).alias("brand_key"), *_COMPARED).alias("s"))
+    codes = per.groupBy("identifier_key").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    agree = lambda x, y: F.coalesce(x == y, F.lit(True))
+
+    def take(acc: Column, x: Column) -> Column:
+        fits = agree(acc["s"][signature[0]], x["s"][signature[0]])
         for c in _COMPARED:
-            fine &= F.coalesce(x[c] == y[c], F.lit(True))
-        return fine
+            fits &= agree(acc["s"][c], x["s"][c])
+        both = F.struct(*(F.coalesce(acc["s"][c], x["s"][c]).alias(c) for c in signature))
+        return F.when(fits, F.struct(both.alias("s"), F.concat(acc["kept"], F.array(x["first"])).alias("kept"), (acc["n"] + x["n"]).alias("n"))).otherwise(acc)
 
-    start = F.slice("m", 1, 1)
-    kept = F.aggregate(F.slice("m", 2, F.size("m")), start, lambda acc, x: F.when(F.forall(acc, lambda y: fits(x, y)), F.concat(acc, F.array(x))).otherwise(acc))
-    groups = buckets.select("identifier_key", kept.alias("kept")).where(F.size("kept") > 1)
-    return groups.select(F.concat(F.lit("i:"), "identifier_key").alias("group_key"), F.explode("kept").alias("k")).select("group_key", F.col("k.pos").alias("pos"), F.lit("identifier").alias("matched_by"), F.lit(1.0).alias("confidence"))
+    one = F.get("e", F.lit(0))
+    walked = F.aggregate(F.slice("e", 2, F.size("e")), F.struct(one["s"].alias("s"), F.array(one["first"]).alias("kept"), one["n"].alias("n")), take)
+    kept = codes.select("identifier_key", walked.alias("w")).where("w.n > 1").select("identifier_key", F.explode("w.kept").alias("first"))
+    signatures = per.join(kept, ["identifier_key", "first"]).select("identifier_key", *(F.col(c).alias(f"of_{c}") for c in signature))
+    same = F.col("identifier_key") == F.col("code")
+    for c in signature:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    found = coded.join(signatures.withColumnRenamed("identifier_key", "code"), same)
+    return found.select(F.concat(F.lit("i:"), "identifier_key").alias("group_key"), "pos", F.lit("identifier").alias("matched_by"), F.lit(1.0).alias("confidence"))
 
 
 def _least_of_signs(rows: DataFrame, name: str) -> DataFrame:
@@ -78,15 +98,58 @@ def _earliest_fit(rows: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
     return rows.join(found, "pos", "left")
 
 
+def _by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of brands with at most `most`, rows of larger ones). There are at most rows / most of those, named in the plan."""
+    large = [r[0] for r in rows.groupBy("brand_key").count().where(F.col("count") > most).select("brand_key").collect()]
+    return (rows.where(~F.col("brand_key").isin(large)), rows.where(F.col("brand_key").isin(large))) if large else (rows, None)
+
+
+def _key() -> Column:
+    """ord as a text of the same order."""
+    return F.format_string("%d:%020d:%020d", F.col("ord.a"), F.col("ord.b"), F.col("ord.c"))
+
+
+def _fits(s: tuple, t: tuple) -> bool:
+    """Signs of different sources without a contradiction."""
+    return s[0] != t[0] and all(x is None or y is None or x == y for x, y in zip(s[1:], t[1:]))
+
+
+def _signs(block: pd.DataFrame) -> list[tuple]:
+    return [tuple(None if pd.isna(v) else v for v in r) for r in zip(*(block[c] for c in _SIGN))]
+
+
+def _walk_stars(block: pd.DataFrame) -> pd.DataFrame:
+    """Stars of one brand, in one walk: a row joins the earliest centre of another source with a common model word that it doesn't contradict, or is one."""
+    block = block.sort_values("key")
+    centres: dict[str, dict[tuple, int]] = {}
+    pos, stars = block["pos"].tolist(), []
+    for i, (sign, model) in enumerate(zip(_signs(block), block["model"])):
+        best = min((at for word in model for other, at in centres.get(word, {}).items() if _fits(sign, other)), default=None)
+        if best is None:
+            for word in model:
+                centres.setdefault(word, {}).setdefault(sign, i)
+        else:
+            stars.append((pos[best], pos[i]))
+    return pd.DataFrame(stars, columns=["anchor", "pos"])
+
+
 def by_model(rows: DataFrame, rounds: int = 1000) -> DataFrame:
     """Stars round the first free offer of a brand: other sources, a shared model word, nothing that contradicts.
 
-    In order, an offer is the centre of a star unless an earlier centre goes with it; the others
-    join their earliest centre. Each round settles at once all offers without an earlier unsettled one
-    that goes with them. Offers meet their word's earliest offer of every sign (source and specifications), never each
+    In order, an offer is the centre of a star unless an earlier centre goes with it; the others join their earliest centre.
+    Brands of up to WALK offers are walked through by a task each. In a larger one each round settles at once all offers without an earlier unsettled one
+    that goes with them; offers meet their word's earliest offer of every sign (source and specifications), never each
     other, so a frequent word costs its rows times its signs, not its pairs. Every round is written.
     """
-    model = durable(rows.where(F.size("model") > 0).select("pos", "ord", "brand_key", "model", *_SIGN), "models")
+    small, large = _by_size(rows.where(F.size("model") > 0), WALK)
+    stars = small.select("brand_key", "pos", _key().alias("key"), "model", *_SIGN).groupBy("brand_key").applyInPandas(_walk_stars, "anchor long, pos long")
+    stars = stars if large is None else stars.unionByName(_stars_in_rounds(large, rounds))
+    both = stars.unionByName(stars.select("anchor", F.col("anchor").alias("pos")).distinct())
+    return both.select(F.concat(F.lit("m:"), F.col("anchor").cast("string")).alias("group_key"), "pos", F.lit("model_specs").alias("matched_by"), F.lit(0.9).alias("confidence"))
+
+
+def _stars_in_rounds(rows: DataFrame, rounds: int) -> DataFrame:
+    model = durable(rows.select("pos", "ord", "brand_key", "model", *_SIGN), "models")
     open_, centres = model, None
     for _ in range(rounds):
         seen = durable(_earliest_fit(open_, _least_of_signs(open_, "entries"), "earlier"), "round")
@@ -98,56 +161,8 @@ def by_model(rows: DataFrame, rounds: int = 1000) -> DataFrame:
     else:
         raise RuntimeError(f"stars not settled after {rounds} rounds")
     others = model.join(centres.select("pos"), "pos", "left_anti")
-    joined = _earliest_fit(others, _least_of_signs(centres, "entries"), "centre").select(F.col("centre.pos").alias("anchor"), "pos")
-    stars = durable(joined, "stars")
-    both = stars.unionByName(stars.select("anchor", F.col("anchor").alias("pos")).distinct())
-    return both.select(F.concat(F.lit("m:"), F.col("anchor").cast("string")).alias("group_key"), "pos", F.lit("model_specs").alias("matched_by"), F.lit(0.9).alias("confidence"))
-
-
-@F.pandas_udf(DoubleType())
-def char_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def rounded(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: round(v, 4))
-
-
-def likeness(rows: DataFrame, least: float = 0.0, left: DataFrame | None = None) -> DataFrame:
-    """Scores of pairs of a brand from different sources, the earlier offer first: half the share of common words, half the likeness of characters, less if specifications contradict.
-
-    Every pair that scores `least` or more is there. Characters are compared only where words and
-    lengths leave that score within reach; from 0.2 on, half of which words alone must give beyond 0.5, pairs meet by a common word.
-    left: (pos), where only pairs with one of these are asked for.
-    """
-    words = rows.withColumn("words", text.content_tokens(F.col("normal")))
-    one, two = words.alias("a"), words.alias("b")
-    if least >= 0.51:
-        # Without a common word the score is at most 0.5.
-        key = words.select("pos", F.explode("words").alias("w"), "brand_key", "ord", "source")
-        a, b = key.alias("a"), key.alias("b")
-        met = a.join(b, (F.col("a.brand_key") == F.col("b.brand_key")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.source") != F.col("b.source")))
-        pairs = met.select(F.col("a.pos").alias("p"), F.col("b.pos").alias("q")).distinct()
-        pairs = pairs.join(one, F.col("p") == F.col("a.pos")).join(two, F.col("q") == F.col("b.pos"))
-    else:
-        pairs = one.join(two, (F.col("a.brand_key") == F.col("b.brand_key")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.source") != F.col("b.source")))
-    if left is not None:
-        mark = lambda side: left.select(F.col("pos").alias(f"left_{side}"))
-        pairs = pairs.join(mark("a"), F.col("a.pos") == F.col("left_a"), "left").join(mark("b"), F.col("b.pos") == F.col("left_b"), "left").where("left_a is not null or left_b is not null")
-    union = F.size(F.array_union("a.words", "b.words"))
-    jaccard = F.when((F.size("a.words") > 0) & (F.size("b.words") > 0), F.size(F.array_intersect("a.words", "b.words")) / union).otherwise(0.0)
-    conflict = F.lit(False)
-    for c in _COMPARED:
-        conflict |= F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(False))
-    pairs = pairs.select(*(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("pos", "ord", "normal")), jaccard.alias("shared"), F.when(conflict, 0.3).otherwise(1.0).alias("factor"))
-    if least > 0:
-        n, m = F.length("a_normal"), F.length("b_normal")
-        most = F.when(n + m > 0, 2 * F.least(n, m) / (n + m)).otherwise(1.0)
-        pairs = pairs.where((0.5 * F.col("shared") + 0.5 * most) * F.col("factor") >= least - 0.0001)
-    score = (0.5 * F.col("shared") + 0.5 * char_ratio("a_normal", "b_normal")) * F.col("factor")
-    return pairs.select("a_pos", "a_ord", "b_pos", "b_ord", rounded(score).alias("score")).where(F.col("score") >= least)
+    joined = _earliest_fit(others, _least_of_signs(centres, "entries"), "centre").where("centre is not null")
+    return durable(joined.select(F.col("centre.pos").alias("anchor"), "pos"), "stars")
 
 
 def equal_names(rows: DataFrame) -> DataFrame:
@@ -155,75 +170,247 @@ def equal_names(rows: DataFrame) -> DataFrame:
 
     def pairs(block: pd.DataFrame) -> pd.DataFrame:
         rows = block.sort_values("key")
-        known = list(zip(rows.pos, rows.source, *(rows[c] for c in _COMPARED)))
+        signs, pos = _signs(rows), rows["pos"].tolist()
         # Free offers by sign, in order: an offer looks at the first of each sign only.
         waiting: dict = {}
-        for i, r in enumerate(known):
-            waiting.setdefault(tuple(None if pd.isna(v) else v for v in r[1:]), deque()).append(i)
-        fits = lambda s, t: s[0] != t[0] and all(x is None or y is None or x == y for x, y in zip(s[1:], t[1:]))
+        for i, sign in enumerate(signs):
+            waiting.setdefault(sign, deque()).append(i)
         used, out = set(), []
-        for i, r in enumerate(known):
-            sign = tuple(None if pd.isna(v) else v for v in r[1:])
+        for i, sign in enumerate(signs):
             if i in used:
                 continue
             waiting[sign].popleft()
-            best = min((w[0] for s, w in waiting.items() if w and fits(sign, s)), default=None)
+            best = min((w[0] for s, w in waiting.items() if w and _fits(sign, s)), default=None)
             if best is not None:
-                other = next(s for s, w in waiting.items() if w and w[0] == best)
-                waiting[other].popleft()
+                waiting[signs[best]].popleft()
                 used.add(best)
-                out.append((r[0], known[best][0], 1.0))
+                out.append((pos[i], pos[best], 1.0))
         return pd.DataFrame(out, columns=["a_pos", "b_pos", "score"])
 
-    key = F.format_string("%d:%020d:%020d", F.col("ord.a"), F.col("ord.b"), F.col("ord.c"))
-    return rows.select("brand_key", "normal", "pos", "source", *_COMPARED, key.alias("key")).groupBy("brand_key", "normal").applyInPandas(pairs, "a_pos long, b_pos long, score double")
+    return rows.select("brand_key", "normal", "pos", "source", *_COMPARED, _key().alias("key")).groupBy("brand_key", "normal").applyInPandas(pairs, "a_pos long, b_pos long, score double")
+
+
+class Names:
+    """Distinct names with what bounds their likeness: words, and how often each letter stands in them (letters beyond the common ones count as one, which only loosens the bound)."""
+
+    _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
+
+    def __init__(self, names: list[str], words: list[list[str]]):
+        self.names, self.number = names, {n: i for i, n in enumerate(names)}
+        self.letters = np.zeros((len(names), len(self._LETTERS) + 1), np.int16)
+        for i, n in enumerate(names):
+            np.add.at(self.letters[i], [self._LETTERS.get(c, len(self._LETTERS)) for c in n], 1)
+        self.size, self.words = np.array([len(n) for n in names]), words
+        self.counts = np.array([len(w) for w in words])
+        self.having: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            for x in w:
+                self.having.setdefault(x, []).append(i)
+
+    def likeness(self, name: str, words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share of common words with each name, upper bound of the likeness of characters)."""
+        met = [i for w in words for i in self.having.get(w, ())]
+        common = np.bincount(met, minlength=len(self.names)) if met else np.zeros(len(self.names), np.int64)
+        union = len(words) + self.counts - common
+        shared = np.where((self.counts > 0) & bool(words), common / np.maximum(union, 1), 0.0)
+        total = self.size + len(name)
+        return shared, np.where(total > 0, 2 * np.minimum(self.letters, letters).sum(axis=1) / np.maximum(total, 1), 1.0)
+
+
+def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float) -> tuple[list, list, int]:
+    """Rows (pos, key, source, normal, words, free, specifications) of a brand -> (pairs of free rows that score threshold or more, earlier one first; each free row's best
+    candidate in the other block; how many pairs of names had their characters compared). right None: the rows of left among each other.
+
+    Names are compared once, however many rows have them. An upper bound, of words and letters, stands before every comparison: pairs are compared if it
+    reaches the threshold, candidates in order of their bounds until none left can win.
+    """
+    blocks = [_items(b) for b in ([left] if right is None else [left, right])]
+    ratios: dict[tuple[str, str], float] = {}
+
+    def score(a: str, b: str, shared: float, factor: float) -> float:
+        if (a, b) not in ratios:
+            ratios[a, b] = difflib.SequenceMatcher(None, a, b).ratio()
+        return round((0.5 * shared + 0.5 * ratios[a, b]) * factor, 4)
+
+    pairs, best = [], []
+    for mine, (names, items, sign) in enumerate(blocks):
+        other_names, others, other_sign = blocks[-1 - mine]
+        source, specs = np.array([s[0] for s in other_sign], object), [np.array([np.nan if s[k] is None else s[k] for s in other_sign], float) for k in range(1, len(_SIGN))]
+        free = np.array([any(f for _, _, f in rows) for _, rows in others], bool)
+        of_name = np.array([other_names.number[n] for n, _ in others])
+        cache: dict[str, tuple] = {}
+        for p, ((name, rows), own) in enumerate(zip(items, sign)):
+            if not any(f for _, _, f in rows):
+                continue
+            if name not in cache:
+                at = names.number[name]
+                cache[name] = other_names.likeness(name, names.words[at], names.letters[at])
+            shared, most = cache[name]
+            conflict = np.zeros(len(others), bool)
+            for k, v in enumerate(own[1:]):
+                if v is not None:
+                    conflict |= ~np.isnan(specs[k]) & (specs[k] != v)
+            factor = np.where(conflict, 0.3, 1.0)
+            bound = (0.5 * shared + 0.5 * most)[of_name] * factor + _PLACE
+            bound[source == own[0]] = -1.0
+
+            def both_ways(q: int) -> tuple[float, float]:
+                """Scores where this name, and where the other, comes first."""
+                return score(name, others[q][0], shared[of_name[q]], factor[q]), score(others[q][0], name, shared[of_name[q]], factor[q])
+
+            # Every pair of items once: of one block the later item leaves it to the earlier.
+            for q in np.flatnonzero((bound >= threshold) & free) if mine == 0 else ():
+                if right is None and q < p:
+                    continue
+                ahead, behind = both_ways(q)
+                for key, pos, f in rows:
+                    for other_key, other_pos, g in others[q][1] if f else ():
+                        s = ahead if key < other_key else behind
+                        if g and s >= threshold:
+                            pairs.append((pos, other_pos, key, other_key, s) if key < other_key else (other_pos, pos, other_key, key, s))
+            tried, sure = [], 0.0
+            for q in np.argsort(-bound, kind="stable"):
+                if bound[q] < max(sure, _PLACE):
+                    break
+                tried.append((q, *both_ways(q)))
+                sure = max(sure, min(tried[-1][1:]))
+            for key, pos, f in rows:
+                if f:
+                    choices = [c for q, ahead, behind in tried for c in _choices(key, others[q][1], ahead, behind)]
+                    if choices and (c := min(choices))[0] < 0:
+                        best.append((pos, c[2], -c[0], c[1]))
+    return pairs, best, len(ratios)
+
+
+def _choices(key: str, rows: list, ahead: float, behind: float) -> list[tuple[float, str, int]]:
+    """The earliest of an item's rows before and after key: (-score, key, pos)."""
+    out = [(-behind, rows[0][0], rows[0][1])] if rows[0][0] < key else []
+    after = next((r for r in rows if r[0] > key), None)
+    return out if after is None else [*out, (-ahead, after[0], after[1])]
+
+
+def _items(block: pd.DataFrame) -> tuple[Names, list[tuple[str, list]], list[tuple]]:
+    """(names, items (name, rows (key, pos, free) in order), their signs): rows of equal name and sign are one item."""
+    found: dict[tuple, list] = {}
+    words: dict[str, list] = {}
+    for name, w, sign, key, pos, free in zip(block["normal"], block["words"], _signs(block), block["key"], block["pos"], block["free"]):
+        found.setdefault((name, sign), []).append((key, pos, free))
+        words[name] = list(w)
+    return Names(list(words), list(words.values())), [(n, sorted(rows)) for (n, _), rows in found.items()], [s for _, s in found]
+
+
+_SCORED = "pos long, other long, key string, other_key string, score double, best boolean"
+
+
+def scored(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs of free rows (pos, normal, brand_key, ord, source, specifications, free) that score threshold or more (best false), and each free row's best candidate in each block it met (best true).
+
+    A brand is dealt out in blocks by hash of the row, and every two blocks are compared by a task, so no task holds more than two blocks.
+    """
+    cut = rows.groupBy("brand_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    one = F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int")
+    dealt = rows.join(cut, "brand_key").withColumn("mine", one).withColumn("words", text.content_tokens(F.col("normal"))).withColumn("key", _key())
+    dealt = dealt.select("brand_key", "pos", "key", "normal", "words", "free", *_SIGN, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    dealt = dealt.withColumns({"i": F.least("mine", "met"), "j": F.greatest("mine", "met")})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        left, right = (group, None) if i == j else (group[group["mine"] == i], group[group["mine"] == j])
+        pairs, best, _ = compare_blocks(left, right, threshold) if len(left) and (right is None or len(right)) else ([], [], 0)
+        out = [(*p, False) for p in pairs] + [(pos, other, "", other_key, s, True) for pos, other, s, other_key in best]
+        return pd.DataFrame(out, columns=["pos", "other", "key", "other_key", "score", "best"])
+
+    return dealt.groupBy("brand_key", "i", "j").applyInPandas(run, _SCORED)
+
+
+def likeness(rows: DataFrame) -> DataFrame:
+    """(a_pos, b_pos, score) of all pairs of a brand from different sources that score above 0, the earlier offer first: half the share of common words, half the likeness of characters, less if specifications contradict."""
+    found = scored(rows.withColumn("free", F.lit(True)), _PLACE).where("not best")
+    return found.select(F.col("pos").alias("a_pos"), F.col("other").alias("b_pos"), "score")
 
 
 def greedy_pairs(scores: DataFrame) -> DataFrame:
-    """(a_pos, b_pos, score): pairs taken by score, then order, each offer once.
+    """(a_pos, b_pos, score) of (brand_key, a_pos, b_pos, a_key, b_key, score): pairs taken by score, then order, each offer once.
 
-    Round after round takes those that are best for both sides, which gives the same pairs; the best
-    pair of all is taken in each round, so rounds end. Every round is written.
+    Brands of up to WALK pairs are walked through by a task each. In a larger one, round after round takes the pairs that are best for both
+    sides, which gives the same pairs; the best pair of all is taken in each round, so rounds end. Every round is written.
     """
-    found, left = None, durable(scores, "scores")
-    while found is None or not left.isEmpty():
-        ends = left.select(F.col("a_pos").alias("pos"), "score", "a_ord", "b_ord", "a_pos", "b_pos").unionByName(left.select(F.col("b_pos").alias("pos"), "score", "a_ord", "b_ord", "a_pos", "b_pos"))
-        best = ends.groupBy("pos").agg(F.min_by(F.struct("a_pos", "b_pos"), F.struct(-F.col("score"), F.col("a_ord"), F.col("b_ord"))).alias("p"))
+
+    def walk(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.assign(down=-block["score"]).sort_values(["down", "a_key", "b_key"])
+        used, out = set(), []
+        for a, b, s in zip(block["a_pos"], block["b_pos"], block["score"]):
+            if a not in used and b not in used:
+                used |= {a, b}
+                out.append((a, b, s))
+        return pd.DataFrame(out, columns=["a_pos", "b_pos", "score"])
+
+    small, left = _by_size(scores, WALK)
+    found = small.groupBy("brand_key").applyInPandas(walk, "a_pos long, b_pos long, score double")
+    while left is not None and not left.isEmpty():
+        ends = left.select(F.col("a_pos").alias("pos"), "score", "a_key", "b_key", "a_pos", "b_pos").unionByName(left.select(F.col("b_pos").alias("pos"), "score", "a_key", "b_key", "a_pos", "b_pos"))
+        best = ends.groupBy("pos").agg(F.min_by(F.struct("a_pos", "b_pos"), F.struct(-F.col("score"), F.col("a_key"), F.col("b_key"))).alias("p"))
         mutual = durable(left.join(best.groupBy("p.a_pos", "p.b_pos").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n"), ["a_pos", "b_pos"]).select("a_pos", "b_pos", "score"), "mutual")
-        found = mutual if found is None else found.unionByName(mutual)
+        found = found.unionByName(mutual)
         taken = mutual.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"))
         left = durable(left.join(taken.withColumnRenamed("pos", "a_pos"), "a_pos", "left_anti").join(taken.withColumnRenamed("pos", "b_pos"), "b_pos", "left_anti"), "scores")
     return found
 
 
-def by_likeness(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of at least `threshold`, taken greedily by score, then order. Pairs of equal names come first, all in one step."""
-    first = durable(equal_names(rows), "equal-names")
-    rest = rows.join(first.select(F.explode(F.array("a_pos", "b_pos")).alias("pos")), "pos", "left_anti")
-    found = first.unionByName(greedy_pairs(likeness(rest, threshold))).where(F.col("score") >= threshold)
+def likeness_steps(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a_pos, b_pos, score) taken greedily by score, then order; best (pos, candidate, score) of each offer that is in no pair).
+
+    Pairs of equal names come first, all in one step; what is left is compared in blocks, once for both results.
+    """
+    first = durable(equal_names(rows).where(F.col("score") >= threshold), "equal-names")
+    met = first.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"), F.lit(False).alias("free"))
+    marked = rows.join(met, "pos", "left").withColumn("free", F.coalesce("free", F.lit(True)))
+    out = durable(scored(marked, threshold).join(rows.select("pos", "brand_key"), "pos"), "scored")
+    pairs = out.where("not best").select("brand_key", F.col("pos").alias("a_pos"), F.col("other").alias("b_pos"), F.col("key").alias("a_key"), F.col("other_key").alias("b_key"), "score")
+    found = durable(first.unionByName(greedy_pairs(pairs)), "by-likeness")
+    best = out.where("best").groupBy("pos").agg(F.min_by(F.struct(F.col("other").alias("candidate"), "score"), F.struct(-F.col("score"), F.col("other_key"))).alias("b"))
+    paired = found.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"))
+    return found, best.select("pos", "b.candidate", "b.score").join(paired, "pos", "left_anti")
+
+
+def _similar_groups(found: DataFrame) -> DataFrame:
     return found.select(F.concat(F.lit("s:"), F.col("a_pos").cast("string")).alias("group_key"), F.explode(F.array("a_pos", "b_pos")).alias("pos"), F.lit("similarity").alias("matched_by"), F.col("score").alias("confidence"))
 
 
+def by_likeness(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of at least `threshold` as groups, taken greedily by score, then order."""
+    return _similar_groups(likeness_steps(rows, threshold)[0])
+
+
 def match_offers(offers: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(groups in long form, review): every step works on what the one before left.
 
     review has the offers in no group: status pending with best candidate, score and question, or singleton where no pair scored above 0.
     """
     rows = durable(prepare(offers), "offers")
-    first = durable(by_identifier(rows), "by-identifier")
-    rest = durable(rows.join(first.select("pos"), "pos", "left_anti"), "rest")
-    second = by_model(rest)
-    rest = durable(rest.join(second.select("pos"), "pos", "left_anti"), "rest")
-    third = durable(by_likeness(rest, threshold), "by-likeness")
-    groups = first.unionByName(second).unionByName(third)
-    scores = durable(likeness(rest, 0.0, rest.join(third, "pos", "left_anti").select("pos")), "candidates")
-    sides = scores.select(F.col("a_pos").alias("pos"), F.col("b_pos").alias("candidate"), "a_ord", "b_ord", "score").unionByName(scores.select(F.col("b_pos").alias("pos"), F.col("a_pos").alias("candidate"), "a_ord", "b_ord", "score"))
-    best = sides.where("score > 0").groupBy("pos").agg(F.min_by(F.struct("candidate", "score"), F.struct(-F.col("score"), F.col("a_ord"), F.col("b_ord"))).alias("b"))
+    first = by_identifier(rows)
+    second = by_model(rows.join(first.select("pos"), "pos", "left_anti"))
+    certain = durable(first.unionByName(second), "certain")
+    rest = durable(rows.join(certain.select("pos"), "pos", "left_anti"), "rest")
+    found, best = likeness_steps(rest, threshold)
+    third = _similar_groups(found)
     left = rest.join(third.select("pos"), "pos", "left_anti").join(best, "pos", "left")
     other = rows.select(F.col("pos").alias("candidate"), F.col("source").alias("other_source"), F.col("name").alias("other_name"))
-    review = left.withColumn("candidate", F.col("b.candidate")).join(other, "candidate", "left")
+    review = left.join(other, "candidate", "left")
     question = F.when(F.col("candidate").isNotNull(), text.same_product_prompt(F.col("source"), F.col("name"), F.col("other_source"), F.col("other_name")))
-    return groups, review.select("pos", F.when(F.col("candidate").isNull(), "singleton").otherwise("pending").alias("status"), "candidate", F.coalesce("b.score", F.lit(0.0)).alias("score"), question.alias("question"))
+    status = F.when(F.col("candidate").isNull(), "singleton").otherwise("pending")
+    return certain.unionByName(third), review.select("pos", status.alias("status"), "candidate", F.coalesce("score", F.lit(0.0)).alias("score"), question.alias("question"))
+
+
+def report(offers: DataFrame, groups: DataFrame, review: DataFrame, n_groups: int = 10, n_pending: int = 5) -> DataFrame:
+    """(section, place, text) of a run's report: its first groups over sources, in order of their first offers, and its first pending questions."""
+    named = groups.join(offers.select("pos", "source", "name"), "pos")
+    said = F.concat("source", F.lit(": "), "name")
+    per = named.groupBy("group_key", "matched_by", "confidence").agg(F.min("pos").alias("first"), F.count_distinct("source").alias("sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]), " | ").alias("offers"))
+    top = per.where("sources > 1").orderBy("first").limit(n_groups)
+    shown = top.select(F.lit("group").alias("section"), "first", F.format_string("[%s, %.2f] %s", "matched_by", "confidence", "offers").alias("text"))
+    asked = review.where("status = 'pending'").orderBy("pos").limit(n_pending).select(F.lit("pending").alias("section"), F.col("pos").alias("first"), F.col("question").alias("text"))
+    return shown.unionByName(asked).withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("first"))).select("section", "place", "text")
 
 
 def match_stats(offers: DataFrame, groups: DataFrame, review: DataFrame) -> DataFrame:
