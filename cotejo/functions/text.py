@@ -105,8 +105,8 @@ def full_gigabytes(title: Column) -> Column:
 def without_brand(title: Column, brand: Column) -> Column:
     """The title after a leading brand and white space, whatever its case."""
     n = F.length(brand)
-    leads = (n > 0) & (F.lower(F.substring(title, F.lit(1), n)) == F.lower(brand)) & F.substring(title, n + 1, F.lit(1)).rlike(r"^\s$")
-    return F.when(F.coalesce(leads, F.lit(False)), F.ltrim(F.substring(title, n + 1, F.length(title)))).otherwise(title)
+    leads = (n > 0) & (F.lower(F.substring(title, F.lit(1), n)) == F.lower(brand)) & F.substring(title, n + 1, F.lit(1)).rlike(r"(?U)^\s$")
+    return F.when(F.coalesce(leads, F.lit(False)), F.regexp_replace(F.substring(title, n + 1, F.length(title)), r"(?U)^\s+", "")).otherwise(title)
 
 
 def slug(text: Column) -> Column:

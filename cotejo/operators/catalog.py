@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import pricing
 from cotejo.operators import popularity
+from cotejo.operators.ordering import in_order
 from cotejo.sources.catalog import ListQuery
 
 PAGE = 60
@@ -90,13 +91,42 @@ def page_count(rows: int, size: int = PAGE) -> int:
 
 
 def page(rows: DataFrame, query: ListQuery, size: int = PAGE) -> DataFrame:
-    """One page of the search, clamped to those there are, with rank over the whole list."""
+    """One page of the search, clamped to those there are, with rank over the whole list. It sorts up to the page's end: for deep pages, or many, see RankedList."""
     found = rows.where(matches(query))
     number = min(max(1, query.page), page_count(found.count(), size))
     cut = found.orderBy(*ordering(query.sort)).offset((number - 1) * size).limit(size)
     return cut.withColumn("rank", F.row_number().over(Window.orderBy(*ordering(query.sort))) + (number - 1) * size)
 
 
+class RankedList:
+    """A search's whole list, written once in order, of which any page is read from one or two of its range partitions.
+
+    Making it sorts all rows once, over all tasks; only a count for each partition comes to the driver.
+    """
+
+    def __init__(self, rows: DataFrame, query: ListQuery, size: int = PAGE):
+        self.size, self.rows = size, in_order(rows.where(matches(query)), ordering(query.sort), "ranked-list")
+        self.pieces, self.total = [], 0
+        for piece, n in sorted(self.rows.groupBy("piece").count().collect()):
+            self.pieces.append((piece, self.total, self.total + n))
+            self.total += n
+
+    @property
+    def pages(self) -> int:
+        return page_count(self.total, self.size)
+
+    def page(self, number: int) -> DataFrame:
+        """The page with ranks over the whole list, clamped to those there are; in order of rank. Filters on piece and place keep all files but its own from being read."""
+        low = (min(max(1, number), self.pages) - 1) * self.size
+        first, none = F.lit(None).cast("long"), F.lit(False)
+        for piece, start, end in self.pieces:
+            if start < low + self.size and end > low:
+                first = F.when(F.col("piece") == piece, F.lit(start)).otherwise(first)
+                none |= (F.col("piece") == piece) & F.col("place").between(low - start, low + self.size - 1 - start)
+        cut = self.rows.where(none).withColumn("rank", (F.col("place") + first + 1).cast("int"))
+        return cut.drop("piece", "place").orderBy("rank")
+
+
 def pagination(rows: int, page: int, size: int = PAGE) -> dict:
     """The page shown, how many there are, and the ranks on it."""
     pages = page_count(rows, size)
@@ -128,9 +158,16 @@ def facet_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.rollup(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def brands_in_scope(rows: DataFrame, typed: str = "") -> DataFrame:
+def browser_order(word: Column) -> Column:
+    """Sorts as browsers do, by UTF-16 code units: letters beyond the basic plane come before those from U+E000 on, while by code point they come last."""
+    return F.encode(word, "UTF-16BE")
+
+
+def brands_in_scope(rows: DataFrame, typed: str = "", as_browser: bool = False) -> DataFrame:
+    """Distinct brands that contain what was typed, by code point or as a browser lists them."""
     brands = rows.select("brand").where("brand is not null and brand <> ''").distinct()
-    return (brands.where(F.contains(F.lower("brand"), F.lit(typed.lower()))) if typed else brands).orderBy("brand")
+    found = brands.where(F.contains(F.lower("brand"), F.lit(typed.lower()))) if typed else brands
+    return found.orderBy(browser_order(F.col("brand")) if as_browser else F.col("brand"))
 
 
 def brand_categories(brands: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ def routes(regions: DataFrame, target: int | str) -> DataFrame:
     """Every hub region's way to the target region: same_region, same_metro, km and the target's infrastructure days."""
     to = regions.where(F.col("region") == target).select(F.col("region").alias("t"), F.col("metro").alias("tm"), F.col("lat").alias("tlat"), F.col("lng").alias("tlng"), F.col("infra").alias("infra_days"))
     from_ = regions.select(F.col("region").alias("hub"), "metro", "lat", "lng")
-    # A region's key is unique: the target is one row.
-    both = from_.join(F.broadcast(to.limit(1)))
+    # A region's key is unique: two rows of the target are an error, and one is what is sent.
+    one = to.groupBy("t").agg(*(F.first(c).alias(c) for c in to.columns if c != "t"), F.count(F.lit(1)).alias("n")).where(F.assert_true(F.col("n") == 1, F.lit("the target region stands twice")).isNull()).drop("n")
+    both = from_.join(F.broadcast(one))
     km = pricing.distance_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng"))
     return both.select("hub", (F.col("hub") == F.col("t")).alias("same_region"), (F.col("metro") == F.col("tm")).alias("same_metro"), km.alias("km"), "infra_days")
 
@@ -71,6 +72,11 @@ def with_store(offers: DataFrame, stores: DataFrame) -> DataFrame:
     return rows.where(F.assert_true(F.col("known").isNotNull(), F.concat(F.lit("unknown store "), F.col("store_id").cast("string"))).isNull()).drop("known")
 
 
+def split_verified(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(offers whose price was verified, offers for reference); without a mark an offer is for reference."""
+    return offers.where("verified"), offers.where("not coalesce(verified, false)")
+
+
 def upsert_live(offers: DataFrame, live: DataFrame) -> DataFrame:
     """Live offers over stored ones by (id, store_id): live fields win, nulls too; fields that only stored offers have stay; new ones come last."""
     keys = ["id", "store_id"]

@@ -78,6 +78,11 @@ def cheapest_listing(listings: DataFrame) -> DataFrame:
     )
 
 
+def resolved(candidates: DataFrame, cheapest: DataFrame) -> DataFrame:
+    """candidates (product, pos, ...) with their cheapest listing, in their order; those without a listing drop out."""
+    return candidates.join(cheapest, "product")
+
+
 # Attributes shown as specifications, with their labels, in this order.
 ATTRIBUTES = {
     "MODEL": "Modelo",

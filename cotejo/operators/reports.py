@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import pricing, text
+from cotejo.operators.ordering import ranked
 
 CAP, RELATED = 100, 4
 
@@ -78,6 +79,55 @@ def today() -> Column:
     return F.current_date()
 
 
+def in_categories(products: DataFrame, categories: DataFrame) -> DataFrame:
+    """products with category_name and subcategory_name; categories: (id, name, subcategories: array of struct(id, name)). An unknown category is an error, an unknown or missing subcategory is null."""
+    named = categories.select(F.col("id").alias("category"), F.col("name").alias("category_name"), "subcategories")
+    rows = products.join(named, "category", "left")
+    rows = rows.where(F.assert_true(F.col("category_name").isNotNull(), F.concat(F.lit("unknown category "), F.coalesce("category", F.lit("(none)")))).isNull())
+    sub = F.get(F.filter("subcategories", lambda x: x["id"] == F.col("subcategory")), F.lit(0))["name"]
+    return rows.withColumn("subcategory_name", sub).drop("subcategories")
+
+
+def product_pages(products: DataFrame, offers: DataFrame, json_ld: DataFrame, base: str = "https://example.org") -> DataFrame:
+    """(name, body): the report page of each product, as the file producto/<id>/index.html.
+
+    products: (id, name, brand, category_name, subcategory_name, min_price, offer_count); offers: (id, price, store, shipping, stock, rating, review_count), all
+    listed by price; json_ld: (id, json_ld). Everything that comes from data is escaped; in the JSON block `<` is written as a code.
+    """
+    cell = lambda x: F.concat(F.lit("<td>"), text.escape_html(x), F.lit("</td>"))
+    rated = F.when(F.col("rating").isNull(), "—").otherwise(F.concat(F.col("rating").cast("string"), F.lit(" / 5 ("), F.col("review_count").cast("string"), F.lit(")")))
+    row = F.concat(F.lit('<tr class="offer">'), cell(F.col("store")), cell(pricing.money(F.col("price"))), cell(F.coalesce("shipping", F.lit("—"))), cell(pricing.stock_label(F.col("stock"))), cell(rated), F.lit("</tr>"))
+    rows = offers.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("price", "store", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    title, about = text.escape_html(F.col("name")), F.concat(text.escape_html(F.col("name")), F.lit(": ofertas en "), text.plural(F.col("offer_count"), "tienda", "tiendas"), F.lit(" desde "), pricing.money(F.col("min_price")))
+    crumbs = F.concat_ws(" › ", *(text.escape_html(F.col(c)) for c in ("category_name", "subcategory_name", "name")))
+    body = F.concat(
+        F.lit('<!doctype html>\n<html lang="es"><head><meta charset="utf-8">\n<title>'), title, F.lit('</title>\n<meta name="description" content="'), about,
+        F.lit(f'">\n<link rel="canonical" href="{base}/producto/'), F.col("id").cast("string"), F.lit('/">\n<script type="application/ld+json">'), F.replace("json_ld", F.lit("<"), F.lit("\\u003c")),
+        F.lit("</script></head>\n<body><nav>"), crumbs, F.lit("</nav><h1>"), title, F.lit("</h1><p>"), text.escape_html(F.col("brand")), F.lit("</p>\n<table>\n"), F.col("rows"), F.lit("\n</table></body></html>\n"),
+    )
+    return products.join(rows, "id").join(json_ld, "id").select(F.concat(F.lit("producto/"), F.col("id").cast("string"), F.lit("/index.html")).alias("name"), body.alias("body"))
+
+
+#: Addresses that one file of a site map may hold, and files that its index may.
+SITEMAP_URLS = 50_000
+
+
+def sitemap_files(urls: DataFrame, base: str = "https://example.org", most: int = SITEMAP_URLS) -> DataFrame:
+    """(name, body): sitemap-1.xml, ... of up to `most` addresses each, in order of (section, url), and sitemap.xml, their index.
+
+    Addresses are numbered over range partitions; a file is made by the task that has its addresses.
+    """
+    numbered = ranked(urls, [F.col("section"), F.col("url")], "n", tag="sitemap").withColumn("part", (F.floor(F.col("n") / most) + 1).cast("int"))
+    entry = F.concat(F.lit("<url><loc>"), text.escape_html(F.col("url")), F.lit("</loc></url>"))
+    whole = lambda tag, inner: F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{tag} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'), inner, F.lit(f"\n</{tag}>\n"))
+    per = numbered.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))), lambda x: x["e"]), "\n").alias("entries"))
+    parts = per.select(F.concat(F.lit("sitemap-"), F.col("part").cast("string"), F.lit(".xml")).alias("name"), whole("urlset", F.col("entries")).alias("body"))
+    listed = numbered.select("part").distinct().groupBy().agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    listed = listed.where(F.assert_true(F.size("parts") <= SITEMAP_URLS, F.lit("too many addresses for one index")).isNull())
+    links = F.array_join(F.transform("parts", lambda p: F.concat(F.lit(f"<sitemap><loc>{base}/sitemap-"), p.cast("string"), F.lit(".xml</loc></sitemap>"))), "\n")
+    return parts.unionByName(listed.select(F.lit("sitemap.xml").alias("name"), whole("sitemapindex", links).alias("body")))
+
+
 def write_reports(models: DataFrame, path: str, key: str = "id", buckets: int = 64) -> None:
     """A model's JSON for each key, in `buckets` folders by hash of the key."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")

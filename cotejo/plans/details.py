@@ -9,7 +9,7 @@ from cotejo.plans.queries import METRICS_SQL, POPULAR_SQL, ROUTE_SQL, TARGET, me
 from cotejo.sources.catalog import CatalogDocument, ListQuery, read_brands, read_feeds, read_state, write_state
 from cotejo.sources.tables import Catalog
 from cotejo.sources.written import new_folder
-from cotejo.streaming import counters
+from cotejo.streaming import counters, stateful
 
 
 def specified(c: Catalog) -> DataFrame:
@@ -308,14 +308,38 @@ def latest_by_stream(c):
 
 @query("SELECT id, count(*) % 2 = 1 AS is_on FROM event WHERE event_type = 'signup' GROUP BY id")
 def toggles_by_stream(c):
+    """Favourites switched by a log, kept as state by key; their changes make a table of buckets."""
+    folder = new_folder(c.spark, "toggles")
     stream = c.spark.readStream.schema(c.table("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{c.folder}/events.parquet*")
     rows = stream.where("event_type = 'signup'").select(F.get_json_object("props", "$.k").cast("long").alias("id"))
-    return counters.final_counts(counters.toggles(rows), new_folder(c.spark, "toggles"))
+    stateful.keep_latest(stateful.toggles(rows), folder)
+    return counters.read_latest(c.spark, f"{folder}/table", "id long, is_on boolean, version long").select("id", "is_on")
+
+
+@query("SELECT id, max(event_id) AS request, max_by(event_type, event_id) AS answer FROM event GROUP BY id")
+def newest_answers_by_stream(c):
+    """Answers to numbered requests; an answer to an older request than the one shown is dropped by the state."""
+    folder = new_folder(c.spark, "newest")
+    stream = c.spark.readStream.schema(c.table("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{c.folder}/events.parquet*")
+    rows = stream.select(F.get_json_object("props", "$.k").cast("long").alias("id"), F.col("event_id").alias("request"), F.col("event_type").alias("answer"))
+    stateful.keep_latest(stateful.newest_answers(rows), folder)
+    return counters.read_latest(c.spark, f"{folder}/table", "id long, request long, answer string, version long").drop("version")
+
+
+@query("SELECT id, event_id, CAST(row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS BIGINT) AS place FROM event WHERE event_type = 'signup'")
+def newest_reviews_by_stream(c):
+    """Reviews as they come, numbered by state; by falling number the newest is first."""
+    folder = new_folder(c.spark, "reviews")
+    stream = c.spark.readStream.schema(c.table("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{c.folder}/events.parquet*")
+    rows = stream.where("event_type = 'signup'").select(F.get_json_object("props", "$.k").cast("long").alias("id"), "event_id", (1 + F.col("event_id") % 5).cast("int").alias("rating"))
+    stateful.keep_latest(stateful.review_numbers(rows), folder, ("id", "event_id"), "number", "append")
+    back = counters.read_latest(c.spark, f"{folder}/table", "id long, event_id long, rating int, number long")
+    return back.select("id", "event_id", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("number"))).cast("long").alias("place"))
 
 
 @query(
     """, said AS (SELECT p_partkey AS id, p_size % 7 AS k, 'k' || p_partkey AS m FROM part)
-SELECT id, CASE k WHEN 0 THEN 'funda ' || m || ' rose' WHEN 1 THEN 'teclado white ' || m WHEN 2 THEN 'caja ' || m WHEN 3 THEN 'caja ' || m || ' negro space' WHEN 4 THEN 'reloj ' || m || ' 46mm' WHEN 5 THEN 'ampli ' || m || ' 64gb' ELSE 'telefono ' || m END AS model_key,
+SELECT id, CASE k WHEN 0 THEN 'funda ' || m || ' rose' WHEN 1 THEN 'teclado white ' || m WHEN 2 THEN 'caja ' || m WHEN 3 THEN 'caja ' || m || ' negro space' WHEN 4 THEN 'reloj ' || m || ' 46 mm' WHEN 5 THEN 'ampli ' || m || ' 64gb' ELSE 'telefono ' || m END AS model_key,
   CASE k WHEN 0 THEN 'Funda K' || id || ' Rose' WHEN 1 THEN 'Teclado White K' || id WHEN 2 THEN 'Caja K' || id WHEN 3 THEN 'Caja K' || id || ' Negro Space' WHEN 4 THEN 'Reloj K' || id || ' 46 mm' WHEN 5 THEN 'Ampli K' || id || ' 64GB' ELSE 'Teléfono K' || id END AS display,
   CASE k WHEN 0 THEN 'Dorado' WHEN 1 THEN 'Negro' WHEN 2 THEN 'Morado' WHEN 3 THEN 'Gris' WHEN 4 THEN 'Azul marino' WHEN 6 THEN 'Café' END AS color, CASE WHEN k IN (3, 5) THEN 'refurbished' ELSE 'new' END AS condition FROM said"""
 )

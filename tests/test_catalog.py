@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cotejo.functions import pricing, text
 from cotejo.operators import catalog, matching, offers, popularity, relevance, reports, variants
 from cotejo.sources.catalog import CatalogDocument, ListQuery, read_brands, read_feed, read_feeds, read_state
-from cotejo.streaming import counters
+from cotejo.sources import files, remote
+from cotejo.streaming import counters, stateful
 
 OFFER = "pos long, source string, source_id string, name string, brand string, identifier string"
 ROWS = {
@@ -70,10 +71,13 @@ def test_likeness(spark):
     assert score("gh") < 0.3
 
 
-def test_greedy_pairs_equal_a_plain_walk(spark):
+@pytest.mark.parametrize("walk", [1000, 5])
+def test_greedy_pairs_equal_a_plain_walk(spark, monkeypatch, walk):
     import itertools
     import random
 
+    monkeypatch.setattr(matching, "WALK", walk)
+
     r = random.Random(5)
     pairs = [(i, j, r.choice([0.6, 0.7, 0.9])) for i, j in itertools.combinations(range(14), 2) if r.random() < 0.5]
     used, want = set(), set()
@@ -81,8 +85,8 @@ def test_greedy_pairs_equal_a_plain_walk(spark):
         if not {i, j} & used:
             used |= {i, j}
             want.add((i, j))
-    order = lambda c: F.struct(F.lit(0).alias("a"), F.col(c).alias("b"), F.lit(0).cast("long").alias("c"))
-    scores = spark.createDataFrame(pairs, "a_pos long, b_pos long, score double").withColumn("a_ord", order("a_pos")).withColumn("b_ord", order("b_pos"))
+    key = lambda c: F.format_string("%05d", F.col(c))
+    scores = spark.createDataFrame(pairs, "a_pos long, b_pos long, score double").select("*", F.lit("b").alias("brand_key"), key("a_pos").alias("a_key"), key("b_pos").alias("b_key"))
     assert {(row["a_pos"], row["b_pos"]) for row in matching.greedy_pairs(scores).collect()} == want
 
 
@@ -139,10 +143,12 @@ def plain_matches(rows, threshold):
     return groups, {r["pos"]: best.get(r["pos"], (None, 0.0)) for r in left if r["pos"] not in used}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_all_steps_equal_plain_walks(spark, seed):
+@pytest.mark.parametrize(("seed", "walk", "block"), [(1, 20_000, 2_000), (2, 20_000, 12), (3, 6, 5)])
+def test_all_steps_equal_plain_walks(spark, monkeypatch, seed, walk, block):
     import random
 
+    monkeypatch.setattr(matching, "WALK", walk)
+    monkeypatch.setattr(matching.scored, "__defaults__", (block,))
     r = random.Random(seed)
     rows = []
     for i in range(90):
@@ -159,6 +165,41 @@ def test_all_steps_equal_plain_walks(spark, seed):
     assert {g["pos"]: (g["candidate"], g["score"]) for g in review.collect()} == best
 
 
+def test_one_identifier_of_many_offers(spark):
+    """Its distinct signatures are walked through, not its offers: the first of each decides for all of its kind."""
+    given = [("Uno", None), ("", 128), ("Uno", 256), ("Dos", 128), ("Uno", 128), ("", None)]
+    rows = [(i, f"s{i % 4}", f"S{i}", f"pot {given[i % 6][1]}GB" if given[i % 6][1] else "pot", given[i % 6][0], "0194253000000") for i in range(30_000)]
+    found = matching.by_identifier(matching.prepare(spark.createDataFrame(rows, OFFER)))
+    # Uno without a size, then 128 GB: 256 GB and Dos contradict.
+    assert found.count() == 20_000 and {r[0] for r in found.select(F.col("pos") % 6).distinct().collect()} == {0, 1, 4, 5}
+
+
+def test_few_names_are_compared():
+    """The names whose characters are compared grow with the offers, not with their pairs."""
+    import random
+
+    import pandas as pd
+
+    def block(n):
+        r = random.Random(3)
+        word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+        base = [(word(), word(), word()) for _ in range(n // 2)]
+        names = [" ".join(b) for b in base] + [f"{a} {b} {word()}" for a, b, _ in base]
+        rows = [(i, f"{i:09d}", f"s{i % 2 if i < n // 2 else (i + 1) % 2}", x, x.split(), True, None, None, None) for i, x in enumerate(names)]
+        return pd.DataFrame(rows, columns=["pos", "key", "source", "normal", "words", "free", "ram_gb", "storage_gb", "screen_in"])
+
+    small, large = (matching.compare_blocks(block(n), None, 0.6) for n in (200, 800))
+    assert len(large[1]) == 800 and large[2] < 6 * small[2] and large[2] < 800 * 800 / 2 / 20
+
+
+def test_report_of_a_run(spark):
+    offers = feed(spark, "abckl")
+    groups, review = matching.match_offers(offers, 0.85)
+    said = {(r["section"], r["place"]): r["text"] for r in matching.report(offers, groups, review).collect()}
+    assert said["group", 1] == "[identifier, 1.00] amazon_mx: iPhone 15 128GB Negro | mercadolibre: Apple iPhone 15 (128 GB) - Negro"
+    assert "Redmi 13C" in said["pending", 1] and len(said) == 3
+
+
 def test_prices(spark):
     days = pricing.delivery_days(F.col("r"), F.col("m"), F.col("km"), F.col("i"), F.col("s"))
     assert values(spark, days, [(True, True, 0.0, 1, "backorder"), (False, False, 1240.0, 2, "in_stock"), (False, False, 4000.0, 2, "backorder"), (False, True, 20.0, 0, None)], "r boolean, m boolean, km double, i int, s string") == [5, 7, 10, 2]
@@ -293,9 +334,115 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(2, 3, "later"), (1, 6, "late"), (9, 1, "new")], "id int, seq int, v string").write.mode("append").parquet(folder)
     counters.upsert_into(stream(), str(tmp_path / "t"), ["id"], "seq", str(tmp_path / "c1"))
     assert now() == {(1, 7, "y"), (2, 3, "later"), (9, 1, "new")}
-    counters.run_once(counters.toggles(stream()), "toggled_keys", str(tmp_path / "c2"))
-    assert {tuple(r) for r in spark.table("toggled_keys").collect()} == {(1, True), (2, False), (9, True)}
-    assert {tuple(r) for r in counters.final_counts(counters.toggles(stream()), str(tmp_path / "f")).collect()} == {(1, True), (2, False), (9, True)}
+
+
+def test_bucket_tables_stay_small_and_replays_change_nothing(spark, tmp_path):
+    table = counters.BucketTable(spark, "file://" + str(tmp_path / "t"), "id long, seq long, v string", ["id"], buckets=4)
+    batch = lambda n: spark.createDataFrame([(n % 7, n, f"v{n}"), (100 + n % 3, n, "w")], "id long, seq long, v string")
+    files = lambda: [p for p in (tmp_path / "t").rglob("*.parquet")]
+    for n in range(8):
+        table.merge(batch(n), n, "seq")
+        assert len(files()) <= counters.KEPT * (4 + 1)
+    want = {(i, max(n for n in range(8) if n % 7 == i), f"v{max(n for n in range(8) if n % 7 == i)}") for i in range(7)} | {(100, 6, "w"), (101, 7, "w"), (102, 5, "w")}
+    assert {tuple(r) for r in table.read().collect()} == want
+    # The last batch again, and one that broke off between its data and its manifest.
+    table.merge(batch(7), 7, "seq")
+    assert {tuple(r) for r in table.read().collect()} == want
+    batch(50).selectExpr("*", "0 as bucket").write.partitionBy("bucket").parquet(str(tmp_path / "t/data/v=8"))
+    assert {tuple(r) for r in table.read().collect()} == want
+    table.merge(spark.createDataFrame([], "id long, seq long, v string"), 8, "seq")
+    assert {tuple(r) for r in table.read().collect()} == want
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    add = lambda rows: spark.createDataFrame(rows, "id long, request long, answer string").write.mode("append").parquet(folder)
+    stream = lambda: spark.readStream.schema("id long, request long, answer string").parquet(folder)
+    read = lambda name, schema: {tuple(r) for r in counters.read_latest(spark, str(tmp_path / name / "table"), schema).collect()}
+
+    def run():
+        stateful.keep_latest(stateful.toggles(stream().select("id")), str(tmp_path / "on"))
+        stateful.keep_latest(stateful.newest_answers(stream()), str(tmp_path / "new"))
+        reviews = stream().selectExpr("id", "request as event_id", "5 as rating")
+        stateful.keep_latest(stateful.review_numbers(reviews), str(tmp_path / "reviews"), ("id", "event_id"), "number", "append")
+
+    add([(1, 5, "x"), (1, 7, "y"), (2, 1, "z")])
+    run()
+    assert read("on", "id long, is_on boolean, version long") == {(1, False, 2), (2, True, 1)}
+    assert read("new", "id long, request long, answer string, version long") == {(1, 7, "y", 1), (2, 1, "z", 1)}
+    # A late answer to an older request changes nothing; the other keys go on from their state.
+    add([(2, 3, "later"), (1, 6, "late"), (9, 1, "new")])
+    run()
+    assert read("on", "id long, is_on boolean, version long") == {(1, True, 3), (2, False, 2), (9, True, 1)}
+    assert read("new", "id long, request long, answer string, version long") == {(1, 7, "y", 1), (2, 3, "later", 2), (9, 1, "new", 1)}
+    assert read("reviews", "id long, event_id long, rating int, number long") == {(1, 5, 5, 1), (1, 7, 5, 2), (1, 6, 5, 3), (2, 1, 5, 1), (2, 3, 5, 2), (9, 1, 5, 1)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != stateful.ROCKSDB
+
+
+def pages_of(spark, folder, n=95, size=20):
+    for at in range(0, n, size):
+        results = [{"id": f"MX{i}", "title": f"Thing {i} {'blue' if i % 3 else 'red'}", "price": i, "currency_id": "MXN"} for i in range(at, min(n, at + size))]
+        (folder / "A").mkdir(parents=True, exist_ok=True)
+        (folder / "A" / f"{at}.json").write_text(json.dumps({"status": 200, "paging": {"total": n}, "results": results}))
+
+
+def test_remote_pages(spark, tmp_path):
+    pages_of(spark, tmp_path / "c")
+    path = "file://" + str(tmp_path / "c")
+    got = remote.walk(spark, path, "A", 30, 25)
+    assert [r["pos"] for r in got.orderBy("pos").collect()] == list(range(30, 55)) and got.rdd.getNumPartitions() == 2
+    assert remote.walk(spark, path, "A", -5, 3).count() == 3 and remote.walk(spark, path, "A", 90, 20).count() == 5 and remote.walk(spark, path, "A", 200, 20).count() == 0
+    assert [r["pos"] for r in remote.search(spark, path, "RED thing", ["A"], 2).orderBy("pos").collect()] == [0, 3]
+    assert spark.read.format("paged_catalog").option("path", path).load().where("price > 92 and domain = 'A' and pos >= 91").count() == 2
+    # A page with an error is one only for those who ask for it.
+    (tmp_path / "c/A/60.json").write_text('{"status": 429}')
+    assert remote.walk(spark, path, "A", 30, 25).count() == 25
+    with pytest.raises(Exception, match="429"):
+        remote.walk(spark, path, "A", 55, 10).collect()
+    with pytest.raises(Exception, match="404"):
+        remote.walk(spark, path, "Z", 0, 10).collect()
+
+
+def test_remote_pages_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Catalog(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = parse_qs(urlparse(self.path).query)
+            at, n = int(asked["offset"][0]), int(asked["limit"][0])
+            allowed = self.headers["Authorization"] == "Bearer secret"
+            self.send_response(200 if allowed else 401)
+            self.end_headers()
+            self.wfile.write(json.dumps({"paging": {"total": 30}, "results": [{"id": str(i), "title": "t"} for i in range(at, min(30, at + n))]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Catalog)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert [r["id"] for r in remote.walk(spark, base, "A", 18, 5, token="secret").orderBy("pos").collect()] == ["18", "19", "20", "21", "22"]
+        with pytest.raises(Exception, match="401"):
+            remote.walk(spark, base, "A", 0, 5).collect()
+    finally:
+        server.shutdown()
+
+
+def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    path = "file://" + str(tmp_path / "site")
+    rows = spark.range(40).select(F.format_string("p/%d/index.html", "id").alias("name"), F.concat(F.lit("page "), "id").alias("body"))
+    files.write_files(rows.repartition(5), path)
+    there = lambda: sorted(str(p.relative_to(tmp_path / "site")) for p in (tmp_path / "site").rglob("*") if p.is_file())
+    assert len(there()) == 40 and (tmp_path / "site/p/7/index.html").read_text() == "page 7" and not (tmp_path / "site/_staging").exists()
+    before = there()
+    bad = rows.select(F.concat(F.lit("new/"), "name").alias("name"), F.when(F.col("body") == "page 39", F.raise_error(F.lit("no page"))).otherwise(F.col("body")).alias("body"))
+    for broken in (bad, rows.unionByName(rows), rows.withColumn("name", F.lit("../out"))):
+        with pytest.raises(Exception):
+            files.write_files(broken, path)
+        assert there() == before and not (tmp_path / "out").exists()
 
 
 def test_unknown_stores_are_errors(spark):

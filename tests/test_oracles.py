@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from cotejo.plans import details  # noqa: F401  registers its queries
+from cotejo.plans import details, sites  # noqa: F401  register their queries
 from cotejo.plans.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
