@@ -134,29 +134,63 @@ def kept_bytes(rows, length=200):
     return out
 
 
-def leaks(docs, items, number, unit, name, window=8, stride=3, least_plain=3):
-    """{(doc_id, item_id)} by canonical windows; number, unit and name are the patterns of the operator."""
+UNIT_WORDS = set("mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr hrs day days week weeks month months year years usd eur gbp dollars euros pounds cents percent kmh mph km/h m/s hz kb mb gb tb w kw v a k c f degrees".split())
+
+
+def canonical_words(text):
+    """(form, slot, plain) of each word of a text: a number, a unit behind one, and a capitalised word behind a small letter, a digit, a comma or a semicolon are placeholders."""
     import regex
 
-    def said_and_form(text):
-        flat = regex.sub(r"[\x20\x09-\x0D]+", " ", text).strip(" ")
-        form = regex.sub(name, "<name>", regex.sub(unit, "<unit>", regex.sub(number, "<num>", flat)))
-        return flat.split(" "), regex.sub(r"[^\p{L}\p{N}<> ]", "", form).lower().split(" ")
-
-    theirs = defaultdict(list)
-    size = {}
-    for i, text in items:
-        said, form = said_and_form(text)
-        size[i] = len(form)
-        for at in range(len(form) - window + 1):
-            slots = [(k, said[at + k].lower()) for k in range(1, window) if form[at + k][:1] == "<" and form[at + k][-1:] == ">"]
-            if len(slots) < window - least_plain:
-                theirs[tuple(form[at + 1 : at + window])].append((i, slots))
-    met = defaultdict(lambda: (set(), set()))
+    out, before, was_number = [], "", False
+    for w in words(text):
+        tail = regex.sub(r"[).,;:!?]+$", "", w)
+        number = bool(regex.fullmatch(r"[$€£+\-(]?[0-9\p{Nd}][\p{Nd}.,:/\-]*[%°]?[\p{L}²³]{0,4}[).,;:!?]*", w))
+        kind = "num" if number else "unit" if was_number and tail.lower() in UNIT_WORDS else "name" if regex.search(r"[\p{Ll}\p{Nd},;]$", before) and regex.fullmatch(r"\p{Lu}[\p{L}\-']*", tail) else None
+        bare = regex.sub(r"[^\p{L}\p{N}]", "", w.lower())
+        form = f"<{kind}>" if kind else regex.sub(r"[^\p{L}\p{N}<>]", "", w).lower()
+        held = len(form) > 1 and form[0] == "<" and form[-1] == ">"
+        plain = (regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w.lower()) if kind == "num" else bare) if held else form
+        out.append((form, w.lower() if held else "", plain))
+        # A name is seen where it stands; a number or unit isn't seen by the next word any more.
+        before, was_number = ("<>" if kind in ("num", "unit") else w), number
+    return out
+
+
+def leak_windows(found, n):
+    """(key, place, slots) of each window of n words; a whole window is compared without its first word, a shorter one with it."""
+    for at in range(len(found) - n + 1):
+        some = found[at + 1 : at + n]
+        if n < 8:
+            form, slot, plain = found[at]
+            some = [(form, slot, plain) if form == "<num>" else (plain, "", plain), *some]
+        slots = [s for _, s, _ in some if s]
+        literal = len(slots) > len(some) - 3
+        yield (n, literal, tuple(x[2] if literal else x[0] for x in some)), at, slots
+
+
+def leaks(docs, items):
+    """{(doc_id, item_id)}: windows at every place, matches judged by alignment."""
+    theirs, size = defaultdict(list), {}
+    for i, text in set(items):
+        found = canonical_words(text)
+        if not any(p for _, _, p in found):
+            continue
+        size[i, text] = len(found)
+        for key, at, slots in leak_windows(found, min(8, len(found))):
+            theirs[key].append(((i, text), at, slots))
+    lengths = {8} | {n for n in size.values() if n < 8}
+    out = set()
     for d, text in docs:
-        said, form = said_and_form(text or "")
-        for at in range(0, len(form) - window + 1, stride):
-            for i, slots in theirs.get(tuple(form[at + 1 : at + window]), ()):
-                met[d, i][0].add(at)
-                met[d, i][1].update((w, said[at + k].lower()) for k, w in slots)
-    return {k for k, (at, slots) in met.items() if (len(at) >= 2 or size[k[1]] <= window + stride) and len({a for a, _ in slots}) == len(slots)}
+        met = defaultdict(lambda: (set(), set()))
+        for n in lengths:
+            for key, at, slots in leak_windows(canonical_words(text), n):
+                for item, item_at, own in theirs.get(key, ()):
+                    places, pairs = met[item, at - item_at]
+                    places.add(at)
+                    pairs.update(zip(own, slots))
+        good = defaultdict(set)
+        for (item, _), (places, pairs) in met.items():
+            if len({a for a, _ in pairs}) == len(pairs):
+                good[item] |= places
+        out |= {(d, item[0]) for item, places in good.items() if len(places) >= 2 or size[item] <= 11}
+    return out

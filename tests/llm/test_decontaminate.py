@@ -1,5 +1,9 @@
 """Leaks that lie at unlucky places or beside others."""
 
+import random
+
+import brute
+import pandas as pd
 import pytest
 
 from cotejo.llm.decontaminate import benchmark_leaks
@@ -49,3 +53,21 @@ def test_windows_of_many_placeholders_match_literally(spark):
     item = "12 kg, 35 cm, 7 min, 99 usd, 5 days, 41 mm"
     docs = [(k, " ".join([*FILL[:k], item, *FILL[k:]])) for k in range(4)] + [(9, "20 kg, 36 cm, 8 min, 98 usd, 6 days, 42 mm")]
     assert set(found(spark, docs, [(1, item)])) == {(k, 1) for k in range(4)}
+
+
+def test_leaks_equal_a_plain_version(spark):
+    r = random.Random(9)
+    vocabulary = [*FILL[:9], "Boris", "Lima,", "35", "7", "kg", "km", "$12.50", "(1984)", "it's", "?", "über"]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, say(r.choice([1, 2, 4, 7, 8, 9, 11, 12, 20, 40]))) for i in range(40)] + [(90, ITEM), (91, REPEATED), (92, "?"), (90, VARIANT)]
+    docs = [(d, f"{say(r.randint(0, 15))} {r.choice(items)[1]} {say(r.randint(0, 30))} {r.choice([MIXED, ANOTHER, REPEATED, ''])}") for d in range(150)] + [(500, ""), (501, "?")]
+    assert set(found(spark, docs, items)) == brute.leaks(docs, items)
+
+
+def test_query_equals_a_plain_version(spark):
+    from cotejo.llm.queries import op5_benchmark_decontamination
+
+    folder = "/root/testdata/sf0.001"
+    docs, bench = (pd.read_parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = brute.leaks(list(zip(docs.doc_id, docs.text)), list(zip(bench.item_id, bench.text)))
+    assert {(r["doc_id"], r["item_id"]) for r in op5_benchmark_decontamination(spark, folder).collect()} == want and want

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.llm import decontaminate, licenses, mixing, quality, toxicity, warc
+from cotejo.llm import licenses, mixing, quality, toxicity, warc
 from cotejo.llm.decontaminate import benchmark_leaks
 from cotejo.llm.languages import identify_languages
 from cotejo.llm.mixing import mix_sources
@@ -95,7 +95,7 @@ def test_leaks(spark):
     got = benchmark_leaks(docs, extra(spark.createDataFrame(items, "item_id long, text string"))).collect()
     found = {(r["doc_id"], r["item_id"]) for r in got}
     assert len(found) == len(got)
-    assert found == brute.leaks(rows, [(i, t) for i, t in items if t], decontaminate._NUMBER, decontaminate._UNIT, decontaminate._NAME)
+    assert found == brute.leaks(rows, [(i, t) for i, t in items if t])
     hit = {d for d, i in found if i == 1}
     assert {d for d, _ in rows[:60] if d % 6 in (0, 1, 5)} <= hit
     assert not {d for d, _ in rows if d % 6 in (2, 3) or d >= 60} & hit
@@ -238,6 +238,19 @@ def test_quality_keeps_clean_and_drops_marked_documents(spark):
     assert passed[passed.quality == 0].kept.mean() <= 0.3
 
 
+def test_licenses_are_told_apart_by_the_words_that_name_them(spark):
+    said = {
+        "Released under the Apache License": "apache", "Released under the GPL License": "", "the film was released under the new license to critical praise": "", "Licensed under CC BY-SA 4.0": "cc-by", "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under the Eclipse License, Version 2.0": "epl-2.0", "This work is licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl-3.0",
+        "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc-deed",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+        "Released under the MIT License. And: licensed under the Apache License, Version 2.0": "apache-2.0,mit", licenses.TEMPLATES["mit-full"]: "mit-full,mit-text", licenses.TEMPLATES["bsd-2-clause"].replace("COPYRIGHT HOLDERS", "REGENTS"): "bsd,bsd-2-clause",
+    }
+    rows = [(i, f"some words before it. {t} and after it") for i, t in enumerate(said)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {rows[i][1]: got[i] for i in got} == {r[1]: x for r, x in zip(rows, said.values())}
+
+
 def test_license_join_is_exact(spark):
     r = random.Random(8)
     vocabulary = [f"w{i}" for i in range(40)]
@@ -287,7 +300,7 @@ def test_pipeline_equals_plain_stages(spark):
     left = left.assign(text=[kept[d] for d in left.doc_id])
     left = left[[bool(brute.words(t)) for t in left.text]]
     bench = pd.read_parquet(f"{FOLDER}/benchmark.parquet")
-    leaks = brute.leaks(list(zip(left.doc_id, left.text)), list(zip(bench.item_id, bench.text)), decontaminate._NUMBER, decontaminate._UNIT, decontaminate._NAME)
+    leaks = brute.leaks(list(zip(left.doc_id, left.text)), list(zip(bench.item_id, bench.text)))
     left = left[~left.doc_id.isin([d for d, _ in leaks])]
     mix = {r[0]: r[4] for r in duck(mixing.ORACLE, documents=left)}
     want = {(d, t, mix[d]) for d, t in zip(left.doc_id, left.text) if mix[d] > 0}
