@@ -19,13 +19,15 @@ TRAIN_DOCS = 1500
 PENALTY = 4.0
 
 
-def gram_bins(data: np.ndarray) -> np.ndarray:
-    """Bin of the three bytes from each place on; letters A-Z are lower-cased, white space is one symbol."""
+def gram_bins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bin of the three bytes from each place on; letters A-Z are lower-cased, white space is one symbol, which also stands behind each text's end."""
     x = K.LOWER[data]
     x = np.where(K.SPACE[data], np.uint8(32), x)
     x = np.concatenate((x, np.full(2, 32, np.uint8))).astype(np.uint32)
-    n = len(data)
-    h = (x[:n] << np.uint32(16) | x[1 : n + 1] << np.uint32(8) | x[2 : n + 2]) * np.uint32(2654435761)
+    n, ends = len(data), offsets[1:]
+    second, third = x[1 : n + 1].copy(), x[2 : n + 2].copy()
+    second[ends[ends >= 1] - 1] = third[ends[ends >= 1] - 1] = third[ends[ends >= 2] - 2] = 32
+    h = (x[:n] << np.uint32(16) | second << np.uint32(8) | third) * np.uint32(2654435761)
     return h >> np.uint32(32 - 15)
 
 
@@ -47,7 +49,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, most:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for row, end, data, offsets in K.slices(batch.column(1)):
-                bins = gram_bins(data)
+                bins = gram_bins(data, offsets)
                 for r in range(end - row):
                     c = counts.setdefault(langs[row + r], np.zeros(BINS, np.int64))
                     c += np.bincount(bins[offsets[r] : offsets[r + 1]], minlength=BINS)
@@ -79,8 +81,12 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, most:
 
 
 def _segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
-    return sums[first[1:]] - sums[first[:-1]]
+    """Sums over each text's words. Each is of its own words alone, so a text's scores don't depend on what stands beside it."""
+    sums = np.zeros((len(first) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        sums[some] = np.add.reduceat(values, first[some], axis=0, dtype=np.float64)
+    return sums
 
 
 def _mixture(likely: np.ndarray, first: np.ndarray, of: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +107,7 @@ def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, most_mixe
     docs, languages = len(offsets) - 1, len(model.names)
     if not len(starts) or not languages:
         return np.zeros(docs, np.int64), np.zeros(docs)
-    logs = model.logs[gram_bins(data)]
+    logs = model.logs[gram_bins(data, offsets)]
     # Sums over each word: reduceat runs to the next start; the blanks between are set to 0.
     logs[K.SPACE[data]] = 0
     words = np.add.reduceat(logs, starts, axis=0)
