@@ -34,6 +34,20 @@ def is_match_prepared(q: Column, t: Column) -> Column:
     return (q["variants"] == t["variants"]) & (F.size(F.array_except(t["accessories"], q["accessories"])) == 0) & (F.size(F.array_except(q["numbers"], t["tokens"])) == 0) & enough
 
 
+def _required(q: Column) -> Column:
+    """Tokens of which an answer has at least one: a number or a word that it must have, or of many words as many as it can't lack all of."""
+    words = q["words"]
+    spare = (F.size(words) - F.ceil(F.size(words) * 0.6 - 1e-9)).cast("int")
+    return F.when(F.size(q["numbers"]) > 0, F.slice(q["numbers"], 1, 1)).when(F.size(words) <= 3, F.slice(words, 1, 1)).otherwise(F.slice(words, F.lit(1), spare + 1))
+
+
+def match_pairs(queries: DataFrame, titles: DataFrame, on: list[str], ids: list[str]) -> DataFrame:
+    """(ids) of all pairs of a query (on, q) and a title (on, t), both prepared, that match: they meet by a token that an answer needs, not each with each."""
+    asked = queries.withColumn("token", F.explode(_required(F.col("q"))))
+    given = titles.withColumn("token", F.explode(F.array_distinct(F.col("t.tokens"))))
+    return asked.join(given, [*on, "token"]).where(is_match_prepared(F.col("q"), F.col("t"))).select(*ids).distinct()
+
+
 def foreign_accessory(query: Column, title: Column) -> Column:
     return F.size(F.array_except(prepared(title)["accessories"], prepared(query)["accessories"])) > 0
 

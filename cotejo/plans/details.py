@@ -260,13 +260,13 @@ def feeds_union(c):
 
 @query("SELECT CAST(id AS VARCHAR) AS product_id, CAST(store_id AS VARCHAR) AS store_id, round(price, 6) AS price, stock FROM offer")
 def document_offers(c):
-    """The products and offers as one nested document, written and read again."""
+    """The products and offers as nested documents of up to 500 products, written and read again."""
     folder = new_folder(c.spark, "document")
     one = F.struct(F.col("store_id").cast("string").alias("storeId"), "price", "stock")
     per = c.offers.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("offers"))
     made = c.products.join(per, "id").select(F.struct(F.col("id").cast("string").alias("id"), "name", "brand", "category", "offers").alias("p"))
-    # A catalog document is one value by its nature; a part of it is a document of its own.
-    made.withColumn("part", F.pmod(F.xxhash64("p.id"), F.lit(8))).groupBy("part").agg(F.collect_list("p").alias("products")).select("products").write.option("maxRecordsPerFile", 1).json(folder)
+    # A document is one value by its nature: the catalog is one for every 500 ids.
+    made.withColumn("part", F.floor(F.col("p.id").cast("long") / 500)).groupBy("part").agg(F.collect_list("p").alias("products")).select("products").write.option("maxRecordsPerFile", 1).json(folder)
     back = CatalogDocument(c.spark, folder).offers
     return back.select("product_id", F.col("storeId").alias("store_id"), r6("price"), "stock")
 

@@ -389,7 +389,7 @@ def relevance_match(c):
     t = F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 7).cast("string"), F.lit(" GB"), more)
     a = part.select(F.col("p_partkey").alias("query_id"), "p_brand", "p_type", relevance.prepared(q).alias("q"))
     b = part.select(F.col("p_partkey").alias("title_id"), "p_brand", "p_type", relevance.prepared(t).alias("t"))
-    return a.join(b, ["p_brand", "p_type"]).where(relevance.is_match_prepared(F.col("q"), F.col("t"))).select("query_id", "title_id")
+    return relevance.match_pairs(a, b, ["p_brand", "p_type"], ["query_id", "title_id"])
 
 
 @query("SELECT id AS product, round(price, 6) AS price, round(CASE WHEN list_price > price THEN list_price END, 6) AS list_price, n AS seller_count FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY price, store_id) AS k FROM offer) WHERE k = 1")

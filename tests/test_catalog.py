@@ -165,6 +165,20 @@ def test_all_steps_equal_plain_walks(spark, monkeypatch, seed, walk, block):
     assert {g["pos"]: (g["candidate"], g["score"]) for g in review.collect()} == best
 
 
+def test_matching_pairs_meet_by_a_needed_token(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: r.choice(["galaxy", "note", "redmi", "poco", "pro", "max", "black", "usb", "fan", "kit", "128", "64", "x9"])
+    said = [" ".join(word() for _ in range(r.randint(0, 7))) for _ in range(120)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i long, s string")
+    a = rows.select(F.col("i").alias("a"), F.lit(1).alias("on"), relevance.prepared(F.col("s")).alias("q"))
+    b = rows.select(F.col("i").alias("b"), F.lit(1).alias("on"), relevance.prepared(F.col("s")).alias("t"))
+    want = {tuple(x) for x in a.join(b, "on").where(relevance.is_match_prepared(F.col("q"), F.col("t"))).select("a", "b").collect()}
+    got = [tuple(x) for x in relevance.match_pairs(a, b, ["on"], ["a", "b"]).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_one_identifier_of_many_offers(spark):
     """Its distinct signatures are walked through, not its offers: the first of each decides for all of its kind."""
     given = [("Uno", None), ("", 128), ("Uno", 256), ("Dos", 128), ("Uno", 128), ("", None)]
