@@ -98,9 +98,9 @@ def _earliest_fit(rows: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
     return rows.join(found, "pos", "left")
 
 
-def _by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of brands with at most `most`, rows of larger ones). There are at most rows / most of those, named in the plan."""
-    large = [r[0] for r in rows.groupBy("brand_key").count().where(F.col("count") > most).select("brand_key").collect()]
+def _by_size(rows: DataFrame, most: int, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of brands with at most `most`, rows of larger ones), as counted in rows or in sized, of which they are a part. There are at most rows / most of those, named in the plan."""
+    large = [r[0] for r in (rows if sized is None else sized).groupBy("brand_key").count().where(F.col("count") > most).select("brand_key").collect()]
     return (rows.where(~F.col("brand_key").isin(large)), rows.where(F.col("brand_key").isin(large))) if large else (rows, None)
 
 
@@ -133,7 +133,7 @@ def _walk_stars(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(stars, columns=["anchor", "pos"])
 
 
-def by_model(rows: DataFrame, rounds: int = 1000) -> DataFrame:
+def by_model(rows: DataFrame, rounds: int = 1000, sized: DataFrame | None = None) -> DataFrame:
     """Stars round the first free offer of a brand: other sources, a shared model word, nothing that contradicts.
 
     In order, an offer is the centre of a star unless an earlier centre goes with it; the others join their earliest centre.
@@ -141,7 +141,7 @@ def by_model(rows: DataFrame, rounds: int = 1000) -> DataFrame:
     that goes with them; offers meet their word's earliest offer of every sign (source and specifications), never each
     other, so a frequent word costs its rows times its signs, not its pairs. Every round is written.
     """
-    small, large = _by_size(rows.where(F.size("model") > 0), WALK)
+    small, large = _by_size(rows.where(F.size("model") > 0), WALK, sized)
     stars = small.select("brand_key", "pos", _key().alias("key"), "model", *_SIGN).groupBy("brand_key").applyInPandas(_walk_stars, "anchor long, pos long")
     stars = stars if large is None else stars.unionByName(_stars_in_rounds(large, rounds))
     both = stars.unionByName(stars.select("anchor", F.col("anchor").alias("pos")).distinct())
@@ -166,28 +166,32 @@ def _stars_in_rounds(rows: DataFrame, rounds: int) -> DataFrame:
 
 
 def equal_names(rows: DataFrame) -> DataFrame:
-    """(a_pos, b_pos, score): pairs of equal names of a brand, which score 1 and so come before all others: each offer in order takes the next free one of another source that contradicts in nothing."""
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        rows = block.sort_values("key")
-        signs, pos = _signs(rows), rows["pos"].tolist()
-        # Free offers by sign, in order: an offer looks at the first of each sign only.
-        waiting: dict = {}
-        for i, sign in enumerate(signs):
-            waiting.setdefault(sign, deque()).append(i)
-        used, out = set(), []
-        for i, sign in enumerate(signs):
-            if i in used:
-                continue
-            waiting[sign].popleft()
-            best = min((w[0] for s, w in waiting.items() if w and _fits(sign, s)), default=None)
-            if best is not None:
-                waiting[signs[best]].popleft()
-                used.add(best)
-                out.append((pos[i], pos[best], 1.0))
-        return pd.DataFrame(out, columns=["a_pos", "b_pos", "score"])
+    """(a_pos, b_pos, score): pairs of equal names of a brand, which score 1 and so come before all others: each offer in order takes the next free one of another source that contradicts in nothing.
 
-    return rows.select("brand_key", "normal", "pos", "source", *_COMPARED, _key().alias("key")).groupBy("brand_key", "normal").applyInPandas(pairs, "a_pos long, b_pos long, score double")
+    Only names that several sources have are looked at. They lie sorted in their partitions and stream by; what is held of a name are its free offers by sign.
+    """
+    by = ["brand_key", "normal"]
+    shared = rows.groupBy(*by).agg(F.min("source").alias("lo"), F.max("source").alias("hi")).where("lo <> hi").select(*by)
+    names = rows.select(*by, "pos", *_SIGN, _key().alias("key")).join(shared, by)
+
+    def walk(batches):
+        name, waiting, seen = None, {}, 0
+        for block in batches:
+            out = []
+            for now, pos, sign in zip(zip(block["brand_key"], block["normal"]), block["pos"].tolist(), _signs(block)):
+                if now != name:
+                    name, waiting = now, {}
+                # The earliest free offer that goes with this one takes it, which is what taking the next free one in order comes to.
+                best = min((queue[0] for other, queue in waiting.items() if queue and _fits(other, sign)), default=None)
+                seen += 1
+                if best is None:
+                    waiting.setdefault(sign, deque()).append((seen, pos, sign))
+                else:
+                    waiting[best[2]].popleft()
+                    out.append((best[1], pos, 1.0))
+            yield pd.DataFrame(out, columns=["a_pos", "b_pos", "score"])
+
+    return names.repartition(*by).sortWithinPartitions(*by, "key").mapInPandas(walk, "a_pos long, b_pos long, score double")
 
 
 class Names:
@@ -388,8 +392,8 @@ def match_offers(offers: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     review has the offers in no group: status pending with best candidate, score and question, or singleton where no pair scored above 0.
     """
     rows = durable(prepare(offers), "offers")
-    first = by_identifier(rows)
-    second = by_model(rows.join(first.select("pos"), "pos", "left_anti"))
+    first = durable(by_identifier(rows), "by-identifier")
+    second = by_model(rows.join(first.select("pos"), "pos", "left_anti"), sized=rows)
     certain = durable(first.unionByName(second), "certain")
     rest = durable(rows.join(certain.select("pos"), "pos", "left_anti"), "rest")
     found, best = likeness_steps(rest, threshold)
