@@ -22,7 +22,7 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs a reread only."""
+    """df written as Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs a reread only. Packed by zstandard, as these tables often hold texts."""
     path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
