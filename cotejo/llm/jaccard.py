@@ -105,7 +105,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    buckets = partitions(spark)
+    buckets = partitions(spark, docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
     def heads(batches):

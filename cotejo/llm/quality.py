@@ -125,13 +125,13 @@ def viterbi(x: np.ndarray, first: np.ndarray, weights: np.ndarray, moves: np.nda
     return labels
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.5, train_lines: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transition scores of the field, by gradient ascent on the conditional likelihood.
 
     sequences: features of a text's lines, and its label. Lines of good texts are content but for repeated ones; lines of bad texts are boilerplate.
     """
     weights, moves = np.zeros((FEATURES, 2)), np.zeros((2, 2))
-    sequences = [(x, y) for x, y in sequences if 0 < len(x) <= TRAIN_LINES]
+    sequences = [(x, y) for x, y in sequences if 0 < len(x) <= train_lines]
     if not sequences:
         return weights, moves
     n = np.array([len(x) for x, _ in sequences])
@@ -166,11 +166,11 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float
     return weights, moves
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, train_lines: int = TRAIN_LINES) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_words.
 
     Base counts are exact over whole texts. A conditional random field, fitted on about
-    `train_docs` labelled documents of each class (of up to 20,000 bytes and 200 lines, brought to the driver), labels every line
+    `train_docs` labelled documents of each class (of up to `train_bytes` and `train_lines`, brought to the driver), labels every line
     content or boilerplate by Viterbi decoding; a text is kept if it passes the base rules and at least half of
     its words stand in content lines.
 
@@ -179,10 +179,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("quality")).where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    short = texts.where((F.octet_length("text") <= TRAIN_BYTES) & (F.regexp_count("text", F.lit("\n")) < TRAIN_LINES))
+    short = texts.where((F.octet_length("text") <= train_bytes) & (F.regexp_count("text", F.lit("\n")) < train_lines))
     encoded = [(np.frombuffer(t.encode(), np.uint8), int(y)) for y, t in labelled_texts(short, marked, "good", train_docs)]
     if len({y for _, y in encoded}) > 1:
-        model = fit([(Lines(d, np.array([0, len(d)])).x, y) for d, y in encoded])
+        model = fit([(Lines(d, np.array([0, len(d)])).x, y) for d, y in encoded], train_lines=train_lines)
     else:
         model = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     bound_batches(docs.sparkSession)

@@ -54,7 +54,7 @@ def anchor_table(texts: DataFrame, mapper, more: str, dtype: np.dtype = _ANCHOR,
 
     Returns (text_key, pos): the places of anchors that stand elsewhere too, and the other rows.
     """
-    ranges = partitions(texts.sparkSession)
+    ranges = partitions(texts.sparkSession, texts)
     buckets = 2 * ranges
     names = [x.split()[0] for x in more.split(", ")]
     seen = texts.mapInArrow(mapper(buckets), f"{PACK_SCHEMA}, {more}")
@@ -161,7 +161,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     shared, info = anchor_table(texts, anchors, INFO_SCHEMA)
     first_of = first_texts(info)
     some = durable(searched(texts, wanted_texts(first_of, shared)), "passages")
-    buckets = 2 * partitions(spark)
+    buckets = 2 * partitions(spark, docs)
 
     def windows(batches):
         def local(entries):

@@ -203,7 +203,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared, info = anchor_table(texts, prints, INFO_SCHEMA, _PRINT, shared_prints)
     first_of = first_texts(info)
     some = durable(searched(texts, wanted_texts(first_of, shared)), "suffix-texts")
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     buckets = 2 * parts
 
     def regions(batches):

@@ -128,11 +128,11 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted.
 
     Labels are learnt from rows whose crc32(id) mod 4 is not 2, about `train_docs` of each class,
-    documents of up to 20,000 bytes, brought to the driver (60 MB at most). Every window of 8 words of every text is compressed with both dictionaries; savings are turned into
+    documents of up to `train_bytes`, brought to the driver (60 MB at most by default). Every window of 8 words of every text is compressed with both dictionaries; savings are turned into
     a probability by logistic regression on the same sample, weighed back to the labels' own shares.
 
     Null and empty texts get the score of a text without savings. Without labels of both kinds all scores are low.
@@ -141,7 +141,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     marked = marked.where(remainder("doc_id", 4) != 2)
     shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= train_bytes)
     sample = labelled_texts(texts, marked, "toxic", train_docs)
     lower = lambda y: [x.encode().translate(bytes(K.LOWER)) for k, x in sample if k == y]
     toxic, ordinary = lower(True), lower(False)

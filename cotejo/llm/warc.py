@@ -232,9 +232,12 @@ def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Pages as rows of RECORDS: of equal payloads of at least 100 bytes the one with the smallest id is a response, the others revisit it."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
-    first = rows.where(f"payload_bytes >= {LEAST_REVISIT} and page_id is not null").groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first.hint("shuffle_hash"), "payload_digest", "left")
-    again = F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
+    # Ids and digests alone find the revisits; payloads then meet them by page, so the copies of a page served everywhere don't meet in one task.
+    short = rows.where(f"payload_bytes >= {LEAST_REVISIT} and page_id is not null").select("page_id", "payload_digest")
+    first = short.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").drop("last")
+    revisits = short.join(first, "payload_digest").where("page_id <> first").distinct()
+    joined = rows.join(revisits.hint("shuffle_hash"), ["page_id", "payload_digest"], "left")
+    again = F.col("first").isNotNull()
     return joined.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"),
