@@ -354,5 +354,6 @@ def title_reading(c):
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS safe FROM documents")
-def escaped_texts(c):
+def escaped_lines(c):
+    """All lines of the texts, escaped."""
     return c.table("documents").select("doc_id", text.escape_html(F.col("text")).alias("safe"))

@@ -37,13 +37,17 @@ metric AS (SELECT p.*, o.min_price, o.offer_count, o.review_count, CASE WHEN o.r
 """
 
 
-def metrics(c: Catalog) -> DataFrame:
-    return catalog.product_metrics(c.products, c.offers)
+def metrics(c: Catalog, category: str | None = None) -> DataFrame:
+    """Products with what their offers tell; of a category, only its products' offers are read on."""
+    if category is None:
+        return catalog.product_metrics(c.products, c.offers)
+    products = c.products.where(F.col("category") == category)
+    return catalog.product_metrics(products, c.offers_of(products))
 
 
 @query(METRICS_SQL + "SELECT id, name, round(min_price, 6) AS min_price, offer_count, round(rating, 6) AS rating, discount_pct FROM metric WHERE category = 'ECONOMY' ORDER BY min_price, pos LIMIT 10")
 def list_cheapest(c):
-    rows = catalog.search(metrics(c), ListQuery(category="ECONOMY", sort="price_asc")).limit(10)
+    rows = catalog.search(metrics(c, "ECONOMY"), ListQuery(category="ECONOMY", sort="price_asc")).limit(10)
     return rows.select("id", "name", r6("min_price"), "offer_count", r6("rating"), "discount_pct")
 
 

@@ -149,7 +149,7 @@ def browser_brands(c):
 @query(METRICS_SQL + "SELECT id, CAST(row_number() OVER (ORDER BY pos) AS INT) AS rank FROM metric WHERE category = 'SMALL' AND subcategory = 'mid' AND contains(lower(name), 'red') QUALIFY row_number() OVER (ORDER BY pos) <= 60")
 def linked_list(c):
     """The list that a deep link names."""
-    return catalog.page(metrics(c), ListQuery.from_link("https://example.org/#/c/SMALL?sub=mid&q=%52ed")).select("id", "rank")
+    return catalog.page(metrics(c, "SMALL"), ListQuery.from_link("https://example.org/#/c/SMALL?sub=mid&q=%52ed")).select("id", "rank")
 
 
 @query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '128GB X' WHEN 1 THEN '64GB' WHEN 2 THEN '172 g, 5Gx' ELSE '5g' END AS title FROM part")
@@ -180,6 +180,16 @@ def variant_entries(c):
     return found.select("id", F.col("variant_pos").alias("variant"), "color", "condition", r6("price"))
 
 
+@query(
+    """, line AS (SELECT l_partkey AS id, l_suppkey AS store_id, count(*) AS k FROM lineitem GROUP BY ALL), n AS (SELECT id, count(*) AS n FROM offer WHERE store_id % 2 = 0 GROUP BY id), v AS (SELECT id, CAST(sum(k) AS BIGINT) AS colors, max(k) AS variants FROM line GROUP BY id)
+SELECT id, greatest(coalesce(n, 0), colors) AS options, variants FROM v LEFT JOIN n USING (id)"""
+)
+def variant_counts(c):
+    """Options of products whose offers have several variants each, and the most that one offer has."""
+    several = c.table("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("store_id"))
+    return catalog.option_counts(c.offers.where("store_id % 2 = 0"), several)
+
+
 @query("SELECT p_partkey AS id, '¿Son el mismo producto físico estas dos publicaciones? Responde SI o NO y la variante si difiere.' || chr(10) || 'Tienda A (one): ' || p_name || chr(10) || 'Tienda B (two): ' || p_brand || chr(10) AS question FROM part")
 def review_questions(c):
     return c.table("part").select(F.col("p_partkey").alias("id"), text.same_product_prompt(F.lit("one"), F.col("p_name"), F.lit("two"), F.col("p_brand")).alias("question"))

@@ -35,8 +35,15 @@ class Catalog:
 
     @property
     def offers(self) -> DataFrame:
+        return self._offers(self.table("lineitem"))
+
+    def offers_of(self, products: DataFrame) -> DataFrame:
+        """The offers of some products only: others don't come to be sorted for their newest."""
+        return self._offers(self.table("lineitem").join(products.select(F.col("id").alias("l_partkey")), "l_partkey", "left_semi"))
+
+    def _offers(self, lines: DataFrame) -> DataFrame:
         newest = Window.partitionBy("l_partkey", "l_suppkey").orderBy(F.desc("l_shipdate"), F.desc("l_orderkey"), F.desc("l_linenumber"))
-        rows = self.table("lineitem").withColumn("rank", F.row_number().over(newest)).where("rank = 1")
+        rows = lines.withColumn("rank", F.row_number().over(newest)).where("rank = 1")
         tax = F.col("l_tax")
         return rows.select(
             F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("store_id"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"), F.col("l_extendedprice").alias("list_price"),
