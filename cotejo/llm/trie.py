@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.shared import durable
+from cotejo.llm.shared import bound_batches, durable
 from cotejo.operators.ordering import numbered, positions, running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -117,6 +117,7 @@ def digests_of_ids(rows: DataFrame) -> DataFrame:
         if h is not None:
             yield pa.RecordBatch.from_pylist([{"node": node, "digest": h.hexdigest()}], result)
 
+    bound_batches(rows.sparkSession)
     schema = pa.schema([("node", pa.int64()), ("first", pa.int64()), ("ids", pa.string())])
     result = pa.schema([("node", pa.int64()), ("digest", pa.string())])
     pieces = rows.select("node", "id").repartitionByRange("node", "id").sortWithinPartitions("node", "id").mapInArrow(join, "node long, first long, ids string")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import pathlib
 import random
 import zipfile
 import zlib
@@ -304,7 +305,11 @@ def test_pipeline_equals_plain_stages(spark):
     left = left[~left.doc_id.isin([d for d, _ in leaks])]
     mix = {r[0]: r[4] for r in duck(mixing.ORACLE, documents=left)}
     want = {(d, t, mix[d]) for d, t in zip(left.doc_id, left.text) if mix[d] > 0}
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "cotejo"
+    before = set(shared.glob("*"))
     got = corpus_pipeline.run(spark, FOLDER)
+    # Nothing but the last stage's table is left behind.
+    assert [p.name.split("-")[0] for p in set(shared.glob("*")) - before] == ["mixing_sources"]
     assert {(r["doc_id"], r["text"], r["taken"]) for r in got.collect()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "suffix_array_dedup", "benchmark_decontamination", "mixing_sources"]
 
