@@ -14,8 +14,8 @@ from cotejo.llm.decontaminate import benchmark_leaks
 from cotejo.llm.jaccard import near_duplicate_sets
 from cotejo.llm.languages import identify_languages
 from cotejo.llm.mixing import mix_sources
-from cotejo.llm.shared import durable
 from cotejo.llm.suffixes import remove_repeated_bytes
+from cotejo.sources.written import new_folder, remove_folder, scratch
 
 #: A language that makes up less of a document than this doesn't name it.
 LEAST_LANGUAGE_SHARE = 0.4
@@ -96,7 +96,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's table. What a stage writes on its way, and the table that it read, go once its own table stands."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        before, path = path, new_folder(spark, name, keep=True)
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            remove_folder(spark, before)
     return docs
