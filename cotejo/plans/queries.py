@@ -324,7 +324,13 @@ def match_similarity(c):
     return matching.by_likeness(matching.prepare(plain_feed(c)))
 
 
-@query()
+# Two of these listings of a brand and different shops that contradict in nothing share the word 120HZ, so the model step takes them: what it leaves contradicts itself, scores 0.3 at most and is pending where its brand has another shop's listing left.
+@query(
+    FEED_SQL + BY_IDENTIFIER_SQL + BY_MODEL_SQL + """, settled AS (SELECT pos FROM by_identifier UNION SELECT r.pos FROM by_model g JOIN rest r USING (brand, i)),
+alone AS (SELECT pos, brand, source FROM listing WHERE pos NOT IN (SELECT pos FROM settled)), shops AS (SELECT brand, count(DISTINCT source) AS n FROM alone GROUP BY brand),
+counted AS (SELECT (SELECT count(DISTINCT group_key) FROM by_identifier) AS by_identifier, (SELECT count(*) FROM (SELECT DISTINCT brand, anchor FROM by_model)) AS by_model_specs)
+SELECT (SELECT count(*) FROM listing) AS input_offers, by_identifier + by_model_specs AS groups, by_identifier, by_model_specs, CAST(0 AS BIGINT) AS by_similarity, (SELECT count(*) FROM alone JOIN shops USING (brand) WHERE n > 1) AS pending_review, (SELECT count(*) FROM alone JOIN shops USING (brand) WHERE n = 1) AS singletons FROM counted"""
+)
 def match_stats(c):
     rows = feed(c)
     groups, review = matching.match_offers(rows)
