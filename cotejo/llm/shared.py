@@ -15,7 +15,7 @@ BATCH_BYTES = 4 << 20
 def partitions(spark: SparkSession, texts: DataFrame) -> int:
     """Ranges of keys over which what is gathered from texts is dealt out: one for each shuffle partition or, if that is more, for each RANGE_BYTES
     of input by Spark's own estimate. So a range, which a task holds, doesn't grow with the table where shuffle partitions stay as they are."""
-    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Of some inputs Spark knows nothing and assumes the most.
     return max(least, -(-size // RANGE_BYTES)) if size < UNKNOWN_BYTES else least
