@@ -23,6 +23,11 @@ BLOCK = 2_000
 _PLACE = 0.0001
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the offers: always by sorting. Their files pack so well that a million rows look small enough to Spark for a broadcast, which the driver would have to hold."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def prepare(offers: DataFrame) -> DataFrame:
     """Adds what the steps compare. (source, source_id) has to be unique."""
     spec = text.specs(F.col("name"))
@@ -30,10 +35,11 @@ def prepare(offers: DataFrame) -> DataFrame:
         "pos", "source", "source_id", "name", text.normal_text(F.col("name")).alias("normal"), text.normal_text(F.coalesce("brand", F.lit(""))).alias("brand_key"), text.normal_identifier(F.col("identifier")).alias("identifier_key"),
         text.model_tokens(F.col("name")).alias("model"), spec.alias("spec"),
     )
-    # Offers without identifier come first; the others by the first of their identifier.
-    by_identifier = Window.partitionBy("identifier_key")
-    lead = F.when(F.col("identifier_key").isNull(), F.struct(F.lit(0).alias("a"), F.col("pos").alias("b"), F.lit(0).cast("long").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), F.min("pos").over(by_identifier).alias("b"), F.col("pos").alias("c")))
-    return rows.withColumn("ord", lead).select("*", *(F.col(f"spec.{c}").alias(c) for c in _COMPARED)).drop("spec")
+    # Offers without identifier come first; the others by the first of their identifier. Those without one have a key each: they never come together in a task.
+    leads = rows.where("identifier_key is not null").groupBy(F.col("identifier_key").alias("met")).agg(F.min("pos").alias("lead"))
+    rows = sorted_join(rows.withColumn("met", F.coalesce("identifier_key", F.concat(F.lit("-"), F.col("pos").cast("string")))), leads, "met", "left")
+    ord_ = F.when(F.col("identifier_key").isNull(), F.struct(F.lit(0).alias("a"), F.col("pos").alias("b"), F.lit(0).cast("long").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("lead").alias("b"), F.col("pos").alias("c")))
+    return rows.withColumn("ord", ord_).select("*", *(F.col(f"spec.{c}").alias(c) for c in _COMPARED)).drop("spec", "met", "lead")
 
 
 def compatible(a: str, b: str) -> Column:
@@ -93,9 +99,10 @@ def _earliest_fit(rows: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
             fine &= F.coalesce(sign[c] == F.col(c), F.lit(True))
         return fine
 
-    met = rows.select("pos", "ord", "brand_key", *_SIGN, F.explode("model").alias("token")).join(blocks, ["brand_key", "token"])
+    met = rows.select("pos", "ord", "brand_key", *_SIGN, F.explode("model").alias("token"))
+    met = sorted_join(met, blocks, ["brand_key", "token"])
     found = met.select("pos", F.array_min(F.transform(F.filter("entries", before), lambda e: e["least"])).alias("e")).groupBy("pos").agg(F.min("e").alias(name))
-    return rows.join(found, "pos", "left")
+    return sorted_join(rows, found, "pos", "left")
 
 
 def _by_size(rows: DataFrame, most: int, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -160,7 +167,7 @@ def _stars_in_rounds(rows: DataFrame, rounds: int) -> DataFrame:
             break
     else:
         raise RuntimeError(f"stars not settled after {rounds} rounds")
-    others = model.join(centres.select("pos"), "pos", "left_anti")
+    others = sorted_join(model, centres.select("pos"), "pos", "left_anti")
     joined = _earliest_fit(others, _least_of_signs(centres, "entries"), "centre").where("centre is not null")
     return durable(joined.select(F.col("centre.pos").alias("anchor"), "pos"), "stars")
 

@@ -7,7 +7,7 @@ from cotejo.functions import pricing, text
 from cotejo.operators import catalog, matching, offers, popularity, relevance, reports, variants
 from cotejo.sources.catalog import ListQuery
 from cotejo.sources.tables import VIEWS_SQL, Catalog
-from cotejo.sources.written import new_folder
+from cotejo.sources.written import durable, new_folder
 from cotejo.streaming import counters
 
 QUERIES: dict = {}
@@ -244,7 +244,7 @@ def feed(c: Catalog) -> DataFrame:
     memory = F.when(size % 3 == 0, "8GB+128GB").when(size % 3 == 1, "256 GB").otherwise("12GB 1TB")
     name = F.concat(F.col("p_name"), F.lit(" X"), (key % 40).cast("string"), F.lit(" Pro "), memory, F.lit(" [HK Warehouse] Global, 6."), (size % 9).cast("string"), F.lit(" inch 120Hz"))
     code = F.when(key % 5 == 0, (F.lit(6922000000000) + F.floor(key / 20)).cast("string"))
-    return c.table("part").select(key.alias("pos"), F.concat(F.lit("shop"), (key % 3).cast("string")).alias("source"), F.concat(F.lit("S"), key.cast("string")).alias("source_id"), name.alias("name"), F.col("p_brand").alias("brand"), code.alias("identifier"))
+    return c.spread("part", "p_partkey").select(key.alias("pos"), F.concat(F.lit("shop"), (key % 3).cast("string")).alias("source"), F.concat(F.lit("S"), key.cast("string")).alias("source_id"), name.alias("name"), F.col("p_brand").alias("brand"), code.alias("identifier"))
 
 
 @query(FEED_SQL + "SELECT pos, normal FROM plain")
@@ -301,8 +301,8 @@ by_model AS (SELECT a.pos AS anchor, unnest(list_append(s.star, s.i)) AS i, s.br
 
 @query(FEED_SQL + BY_IDENTIFIER_SQL + BY_MODEL_SQL + "SELECT 'm:' || g.anchor AS group_key, r.pos, 'model_specs' AS matched_by, 0.9e0 AS confidence FROM by_model g JOIN rest r USING (brand, i)")
 def match_model_specs(c):
-    rows = matching.prepare(feed(c))
-    return matching.by_model(rows.join(matching.by_identifier(rows).select("pos"), "pos", "left_anti"))
+    rows = durable(matching.prepare(feed(c)), "offers")
+    return matching.by_model(matching.sorted_join(rows, matching.by_identifier(rows).select("pos"), "pos", "left_anti"), sized=rows)
 
 
 def plain_feed(c: Catalog) -> DataFrame:

@@ -13,6 +13,10 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table dealt out by key to all tasks, for work that costs much more than a row's bytes: a small file of many rows is read by one or two."""
+        return self.table(name).repartition(key)
+
     @property
     def products(self) -> DataFrame:
         size = F.col("p_size")

@@ -188,6 +188,19 @@ def test_one_identifier_of_many_offers(spark):
     assert found.count() == 20_000 and {r[0] for r in found.select(F.col("pos") % 6).distinct().collect()} == {0, 1, 4, 5}
 
 
+def broadcasts(df):
+    """How many joins of a plan were broadcast in the end."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("BroadcastHashJoin")
+
+
+def test_stars_are_not_broadcast(spark):
+    """Tables that grow with the offers don't pass through the driver, however small their files are."""
+    rows = matching.durable(matching.prepare(feed(spark, "abcdefghkl")), "offers")
+    assert broadcasts(matching._earliest_fit(rows, matching._least_of_signs(rows, "entries"), "earlier")) == 0
+    assert broadcasts(matching.prepare(feed(spark, "abcdefghkl"))) == 0
+
+
 def test_few_names_are_compared():
     """The names whose characters are compared grow with the offers, not with their pairs."""
     import random
