@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import text
+from cotejo.operators.ordering import sorted_join
 from cotejo.sources.written import durable
 
 THRESHOLD = 0.60
@@ -23,11 +24,6 @@ BLOCK = 2_000
 _PLACE = 0.0001
 
 
-def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """A join of tables that both grow with the offers: always by sorting. Their files pack so well that a million rows look small enough to Spark for a broadcast, which the driver would have to hold."""
-    return left.join(right.hint("merge"), on, how)
-
-
 def prepare(offers: DataFrame) -> DataFrame:
     """Adds what the steps compare. (source, source_id) has to be unique."""
     spec = text.specs(F.col("name"))
@@ -75,11 +71,11 @@ def by_identifier(rows: DataFrame) -> DataFrame:
     one = F.get("e", F.lit(0))
     walked = F.aggregate(F.slice("e", 2, F.size("e")), F.struct(one["s"].alias("s"), F.array(one["first"]).alias("kept"), one["n"].alias("n")), take)
     kept = codes.select("identifier_key", walked.alias("w")).where("w.n > 1").select("identifier_key", F.explode("w.kept").alias("first"))
-    signatures = per.join(kept, ["identifier_key", "first"]).select("identifier_key", *(F.col(c).alias(f"of_{c}") for c in signature))
+    signatures = sorted_join(per, kept, ["identifier_key", "first"]).select("identifier_key", *(F.col(c).alias(f"of_{c}") for c in signature))
     same = F.col("identifier_key") == F.col("code")
     for c in signature:
         same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    found = coded.join(signatures.withColumnRenamed("identifier_key", "code"), same)
+    found = coded.join(signatures.withColumnRenamed("identifier_key", "code").hint("merge"), same)
     return found.select(F.concat(F.lit("i:"), "identifier_key").alias("group_key"), "pos", F.lit("identifier").alias("matched_by"), F.lit(1.0).alias("confidence"))
 
 
@@ -179,7 +175,7 @@ def equal_names(rows: DataFrame) -> DataFrame:
     """
     by = ["brand_key", "normal"]
     shared = rows.groupBy(*by).agg(F.min("source").alias("lo"), F.max("source").alias("hi")).where("lo <> hi").select(*by)
-    names = rows.select(*by, "pos", *_SIGN, _key().alias("key")).join(shared, by)
+    names = sorted_join(rows.select(*by, "pos", *_SIGN, _key().alias("key")), shared, by)
 
     def walk(batches):
         name, waiting, seen = None, {}, 0
@@ -361,10 +357,12 @@ def greedy_pairs(scores: DataFrame) -> DataFrame:
     while left is not None and not left.isEmpty():
         ends = left.select(F.col("a_pos").alias("pos"), "score", "a_key", "b_key", "a_pos", "b_pos").unionByName(left.select(F.col("b_pos").alias("pos"), "score", "a_key", "b_key", "a_pos", "b_pos"))
         best = ends.groupBy("pos").agg(F.min_by(F.struct("a_pos", "b_pos"), F.struct(-F.col("score"), F.col("a_key"), F.col("b_key"))).alias("p"))
-        mutual = durable(left.join(best.groupBy("p.a_pos", "p.b_pos").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n"), ["a_pos", "b_pos"]).select("a_pos", "b_pos", "score"), "mutual")
+        both = best.groupBy("p.a_pos", "p.b_pos").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+        mutual = durable(sorted_join(left, both, ["a_pos", "b_pos"]).select("a_pos", "b_pos", "score"), "mutual")
         found = found.unionByName(mutual)
         taken = mutual.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"))
-        left = durable(left.join(taken.withColumnRenamed("pos", "a_pos"), "a_pos", "left_anti").join(taken.withColumnRenamed("pos", "b_pos"), "b_pos", "left_anti"), "scores")
+        left = sorted_join(left, taken.withColumnRenamed("pos", "a_pos"), "a_pos", "left_anti")
+        left = durable(sorted_join(left, taken.withColumnRenamed("pos", "b_pos"), "b_pos", "left_anti"), "scores")
     return found
 
 
@@ -375,13 +373,13 @@ def likeness_steps(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     """
     first = durable(equal_names(rows).where(F.col("score") >= threshold), "equal-names")
     met = first.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"), F.lit(False).alias("free"))
-    marked = rows.join(met, "pos", "left").withColumn("free", F.coalesce("free", F.lit(True)))
-    out = durable(scored(marked, threshold).join(rows.select("pos", "brand_key"), "pos"), "scored")
+    marked = sorted_join(rows, met, "pos", "left").withColumn("free", F.coalesce("free", F.lit(True)))
+    out = durable(sorted_join(scored(marked, threshold), rows.select("pos", "brand_key"), "pos"), "scored")
     pairs = out.where("not best").select("brand_key", F.col("pos").alias("a_pos"), F.col("other").alias("b_pos"), F.col("key").alias("a_key"), F.col("other_key").alias("b_key"), "score")
     found = durable(first.unionByName(greedy_pairs(pairs)), "by-likeness")
     best = out.where("best").groupBy("pos").agg(F.min_by(F.struct(F.col("other").alias("candidate"), "score"), F.struct(-F.col("score"), F.col("other_key"))).alias("b"))
     paired = found.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"))
-    return found, best.select("pos", "b.candidate", "b.score").join(paired, "pos", "left_anti")
+    return found, sorted_join(best.select("pos", "b.candidate", "b.score"), paired, "pos", "left_anti")
 
 
 def _similar_groups(found: DataFrame) -> DataFrame:
@@ -400,14 +398,14 @@ def match_offers(offers: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     """
     rows = durable(prepare(offers), "offers")
     first = durable(by_identifier(rows), "by-identifier")
-    second = by_model(rows.join(first.select("pos"), "pos", "left_anti"), sized=rows)
+    second = by_model(sorted_join(rows, first.select("pos"), "pos", "left_anti"), sized=rows)
     certain = durable(first.unionByName(second), "certain")
-    rest = durable(rows.join(certain.select("pos"), "pos", "left_anti"), "rest")
+    rest = durable(sorted_join(rows, certain.select("pos"), "pos", "left_anti"), "rest")
     found, best = likeness_steps(rest, threshold)
     third = _similar_groups(found)
-    left = rest.join(third.select("pos"), "pos", "left_anti").join(best, "pos", "left")
+    left = sorted_join(sorted_join(rest, third.select("pos"), "pos", "left_anti"), best, "pos", "left")
     other = rows.select(F.col("pos").alias("candidate"), F.col("source").alias("other_source"), F.col("name").alias("other_name"))
-    review = left.join(other, "candidate", "left")
+    review = sorted_join(left, other, "candidate", "left")
     question = F.when(F.col("candidate").isNotNull(), text.same_product_prompt(F.col("source"), F.col("name"), F.col("other_source"), F.col("other_name")))
     status = F.when(F.col("candidate").isNull(), "singleton").otherwise("pending")
     return certain.unionByName(third), review.select("pos", status.alias("status"), "candidate", F.coalesce("score", F.lit(0.0)).alias("score"), question.alias("question"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import pricing, text
 from cotejo.operators import catalog, matching, offers, popularity, relevance, reports, variants
+from cotejo.operators.ordering import sorted_join
 from cotejo.sources.catalog import ListQuery
 from cotejo.sources.tables import VIEWS_SQL, Catalog
 from cotejo.sources.written import durable, new_folder
@@ -302,7 +303,7 @@ by_model AS (SELECT a.pos AS anchor, unnest(list_append(s.star, s.i)) AS i, s.br
 @query(FEED_SQL + BY_IDENTIFIER_SQL + BY_MODEL_SQL + "SELECT 'm:' || g.anchor AS group_key, r.pos, 'model_specs' AS matched_by, 0.9e0 AS confidence FROM by_model g JOIN rest r USING (brand, i)")
 def match_model_specs(c):
     rows = durable(matching.prepare(feed(c)), "offers")
-    return matching.by_model(matching.sorted_join(rows, matching.by_identifier(rows).select("pos"), "pos", "left_anti"), sized=rows)
+    return matching.by_model(sorted_join(rows, matching.by_identifier(rows).select("pos"), "pos", "left_anti"), sized=rows)
 
 
 def plain_feed(c: Catalog) -> DataFrame:
