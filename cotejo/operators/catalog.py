@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import pricing
 from cotejo.operators import popularity
-from cotejo.operators.ordering import in_order
+from cotejo.operators.ordering import in_order, sorted_join
 from cotejo.sources.catalog import ListQuery
 
 PAGE = 60
@@ -47,7 +47,7 @@ def product_metrics(products: DataFrame, offers: DataFrame, include_shipping: bo
     )
     rating = F.when(F.col("review_count") > 0, F.col("points") / F.col("review_count")).otherwise(0.0)
     per = per.select("id", "min_price", "offer_count", "review_count", rating.alias("rating"), F.col("best.store_id").alias("best_store"), pricing.discount_pct(F.col("best.shown"), F.col("best.listed")).alias("discount_pct"), F.when(F.col("best.listed") > F.col("best.shown"), F.col("best.listed") - F.col("best.shown")).alias("savings"))
-    return products.join(per, "id")
+    return sorted_join(products, per, "id")
 
 
 def matches(query: ListQuery) -> Column:

@@ -179,6 +179,22 @@ def test_matching_pairs_meet_by_a_needed_token(spark):
     assert set(got) == want and len(got) == len(want) > 100
 
 
+def test_equal_texts_are_compared_once(spark):
+    """Rows of equal texts are paired by the numbers of their classes: all pairs, and as many rows meet as there are classes."""
+    said = spark.range(3000).select("id", F.lit(1).alias("on"), relevance.prepared(F.concat(F.lit("note "), (F.col("id") % 3).cast("string"))).alias("x"))
+    pairs = relevance.match_pairs(said.select(F.col("id").alias("a"), "on", F.col("x").alias("q")), said.select(F.col("id").alias("b"), "on", F.col("x").alias("t")), ["on"], ["a", "b"])
+    assert pairs.where("a % 3 = b % 3").count() == pairs.count() == 3 * 1000 * 1000
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3 and not plan.lstrip().startswith("Aggregate")
+
+
+def test_a_text_is_read_once(spark):
+    """Not once for each accessory."""
+    plan = spark.range(1).select(F.lit("a").alias("q"), F.col("id").cast("string").alias("t")).where(relevance.foreign_accessory(F.col("q"), F.col("t")))._jdf.queryExecution().analyzed().toString()
+    contains = plan[plan.index("transform") :].split("lambdafunction(")[1]
+    assert "translate" not in contains
+
+
 def test_one_identifier_of_many_offers(spark):
     """Its distinct signatures are walked through, not its offers: the first of each decides for all of its kind."""
     given = [("Uno", None), ("", 128), ("Uno", 256), ("Dos", 128), ("Uno", 128), ("", None)]
@@ -260,6 +276,15 @@ def test_popularity_and_lists(spark):
     assert tuple(catalog.price_scope(spark.createDataFrame([], "min_price double")).first())[:2] == (0, 1000)
 
 
+def test_the_last_page_of_a_list_of_many(spark):
+    """More than 10,000 pages: the one beyond the last is the last, not the ten thousandth."""
+    from cotejo.plans.sites import first_and_last_pages
+
+    rows = spark.range(20_005).select("id", F.col("id").alias("pos"), F.col("id").cast("double").alias("min_price"))
+    found = first_and_last_pages(catalog.RankedList(rows, ListQuery(sort="price_asc"), 2))
+    assert sorted(r["rank"] for r in found.collect()) == [1, 2, 5, 6, 20_003, 20_004, 20_005]
+
+
 def test_related_are_the_nearest(spark):
     import random
 
