@@ -394,7 +394,7 @@ SELECT query_id, title_id FROM covered WHERE NOT contains(t, 'funda') AND NOT co
 
 @query(RELEVANT_SQL)
 def relevance_match(c):
-    part = c.table("part")
+    part = c.spread("part", "p_partkey")
     q = F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 7).cast("string"), F.lit("GB"))
     more = F.when(F.col("p_size") % 5 == 0, " Max").when(F.col("p_size") % 5 == 1, " funda").otherwise("")
     t = F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 7).cast("string"), F.lit(" GB"), more)
