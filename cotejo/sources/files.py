@@ -1,108 +1,122 @@
-"""A data source writer that makes a file of each row, with commit and abort.
+"""Files made of rows, whole or not at all, and read again; the driver holds none of their names.
 
-`register(spark)` makes the format `keyed_files` known: rows (name string, body string) become files `<path>/<name>`. Every task
-attempt writes to a folder of its own under `<path>/_staging`; only when all tasks have ended well does the driver
-move the files to their names. A failed attempt takes its folder with it, a failed job leaves nothing but what stood there before.
+Rows (name string, body string) become files `<path>/<name>`. Every task attempt writes to a folder of its own under `<path>/_staging`, and what the attempts
+that counted have written becomes a table. Only when all have ended well and no name stands twice do tasks move the files to their names. A failed job leaves
+nothing but what stood there before: the run's folder is made once, by the driver, so an attempt that outlives its job finds no folder to write to.
 """
 
+import time
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
+import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-
-STAGING = "_staging"
+from pyspark.sql import DataFrame
 
+from cotejo.sources.written import durable
 
-@dataclass
-class Staged(WriterCommitMessage):
-    folder: str
-    names: list[str]
+STAGING = "_staging"
+#: Bodies that one batch of a read holds, in characters.
+BATCH = 4_000_000
+
+
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    where, base = fs.FileSystem.from_uri(path)
+    return where, base.rstrip("/")
+
+
+def _checked(name: str | None) -> str:
+    if not name or name.startswith("/") or ".." in name.split("/") or name.split("/")[0] == STAGING:
+        raise ValueError(f"no file can have the name {name!r}")
+    return name
+
+
+def _stage(path: str, run: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    where, base = _at(path)
+    folder, n = f"{base}/{STAGING}/{run}/{uuid.uuid4().hex}", 0
+    for block in batches:
+        staged = []
+        for name, body in zip(block["name"], block["body"]):
+            _checked(name)
+            if n == 0:
+                where.create_dir(folder, recursive=False)
+            # In one flat folder until the job has ended.
+            with where.open_output_stream(f"{folder}/{n}") as f:
+                f.write((body or "").encode())
+            staged.append(f"{folder}/{n}")
+            n += 1
+        yield pd.DataFrame({"name": block["name"], "staged": staged})
+
+
+def _place(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    where, base = _at(path)
+    there = None
+    for block in batches:
+        for name, staged in zip(block["name"], block["staged"]):
+            folder = f"{base}/{name}".rpartition("/")[0]
+            if folder != there:
+                where.create_dir(folder, recursive=True)
+                there = folder
+            try:
+                where.move(staged, f"{base}/{name}")
+            except FileNotFoundError:
+                # An earlier attempt of this task has moved it.
+                if where.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                    raise
+        yield pd.DataFrame({"n": [len(block)]})
+
+
+def _clear(path: str, run: str) -> None:
+    """The run's folder goes, even while attempts that are being stopped still write into it; then the folder of all runs, if it is empty."""
+    where, base = _at(path)
+    for _ in range(100):
+        try:
+            if where.get_file_info(f"{base}/{STAGING}/{run}").type == fs.FileType.Directory:
+                where.delete_dir(f"{base}/{STAGING}/{run}")
+            if where.get_file_info(f"{base}/{STAGING}").type == fs.FileType.Directory and not where.get_file_info(fs.FileSelector(f"{base}/{STAGING}")):
+                where.delete_dir(f"{base}/{STAGING}")
+            return
+        except OSError:
+            time.sleep(0.1)
+    raise RuntimeError(f"{base}/{STAGING}/{run} could not be removed")
+
+
+def put_files(rows: DataFrame, path: str) -> DataFrame:
+    """rows (name, body) as files under path. Returns their names, as a table."""
+    run = uuid.uuid4().hex
+    where, base = _at(path)
+    where.create_dir(f"{base}/{STAGING}/{run}", recursive=True)
+    try:
+        staged = durable(rows.select("name", "body").mapInPandas(lambda b: _stage(path, run, b), "name string, staged string"), "files")
+        twice = staged.groupBy("name").count().where("count > 1").select("name").head()
+        if twice:
+            raise ValueError(f"two rows for the file {twice[0]!r}")
+        staged.repartition("name").mapInPandas(lambda b: _place(path, b), "n long").groupBy().sum("n").collect()
+    finally:
+        _clear(path, run)
+    return staged.select("name")
+
+
+def write_files(rows: DataFrame, path: str) -> str:
+    """rows (name, body) as files under path. Returns path."""
+    put_files(rows, path)
+    return path
 
 
-class FilesWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.run = path, overwrite, uuid.uuid4().hex
+def read_files(names: DataFrame, path: str) -> DataFrame:
+    """(name, body) of the files of those names under path, read by the tasks that have the names."""
 
-    def _at(self) -> tuple[fs.FileSystem, str]:
-        where, base = fs.FileSystem.from_uri(self.path)
-        return where, base.rstrip("/")
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = _at(path)
+        for block in batches:
+            held, size = [], 0
+            for name in block["name"]:
+                with where.open_input_stream(f"{base}/{name}") as f:
+                    held.append((name, f.read().decode()))
+                size += len(held[-1][1])
+                if size > BATCH:
+                    yield pd.DataFrame(held, columns=["name", "body"])
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=["name", "body"])
 
-    def write(self, rows: Iterator[Row]) -> Staged:
-        where, base = self._at()
-        folder, names = f"{base}/{STAGING}/{self.run}/{uuid.uuid4().hex}", []
-        try:
-            for row in rows:
-                name = row["name"]
-                if not name or name.startswith("/") or ".." in name.split("/") or name.split("/")[0] == STAGING:
-                    raise ValueError(f"no file can have the name {name!r}")
-                # In one flat folder until the job has ended.
-                with where_made(where, folder).open_output_stream(f"{folder}/{len(names)}") as f:
-                    f.write((row["body"] or "").encode())
-                names.append(name)
-        except BaseException:
-            if names:
-                where.delete_dir(folder)
-            raise
-        return Staged(folder, names)
-
-    def commit(self, messages: list[Staged]) -> None:
-        where, base = self._at()
-        taken: set[str] = set()
-        for name in (n for m in messages if m for n in m.names):
-            if name in taken:
-                self.abort(messages)
-                raise ValueError(f"two rows for the file {name!r}")
-            taken.add(name)
-        if self.overwrite and where.get_file_info(base).type == fs.FileType.Directory:
-            for old in where.get_file_info(fs.FileSelector(base)):
-                if old.base_name != STAGING:
-                    (where.delete_dir if old.type == fs.FileType.Directory else where.delete_file)(old.path)
-        for folder in {n.rpartition("/")[0] for n in taken}:
-            where.create_dir(f"{base}/{folder}", recursive=True)
-
-        def place(staged: tuple[str, str]) -> None:
-            where.move(staged[0], f"{base}/{staged[1]}")
-
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(place, ((f"{m.folder}/{k}", n) for m in messages if m for k, n in enumerate(m.names))))
-        self._clear()
-
-    def abort(self, messages: list[Staged | None]) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        where, base = self._at()
-        for folder in (f"{base}/{STAGING}/{self.run}", f"{base}/{STAGING}"):
-            if where.get_file_info(folder).type == fs.FileType.Directory and (folder.endswith(self.run) or not where.get_file_info(fs.FileSelector(folder))):
-                where.delete_dir(folder)
-
-
-def where_made(where: fs.FileSystem, folder: str) -> fs.FileSystem:
-    where.create_dir(folder, recursive=True)
-    return where
-
-
-class KeyedFiles(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "keyed_files"
-
-    def writer(self, schema, overwrite: bool) -> FilesWriter:
-        if not {"name", "body"} <= set(schema.names):
-            raise ValueError("keyed_files takes rows (name, body)")
-        return FilesWriter(self.options["path"], overwrite)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(KeyedFiles)
-
-
-def write_files(rows, path: str) -> str:
-    """rows (name, body) as files under path. Returns path."""
-    register(rows.sparkSession)
-    rows.select("name", "body").write.format("keyed_files").mode("append").save(path)
-    return path
+    return names.select("name").repartition("name").mapInPandas(read, "name string, body string")

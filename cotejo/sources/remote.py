@@ -1,4 +1,4 @@
-"""A paged remote catalog as a Spark data source: one partition a page, filters decide which pages are asked for.
+"""A paged remote catalog as a Spark data source: a partition asks for a page, or of many pages for a run of them; filters decide which pages are asked for.
 
 `register(spark)` makes the format `paged_catalog` known. Options: path (an http(s) address, or a folder of saved
 answers), page_size (20), token (sent as bearer). An answer is a JSON document
@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 SCHEMA = "domain string, pos long, id string, title string, price double, currency string, total long"
 _LAST = (1 << 63) - 1
+#: Partitions of a domain, at most: beyond so many pages each asks for several.
+RUNS = 100
 
 
 class RemoteError(RuntimeError):
@@ -57,9 +59,12 @@ def domains_of(path: str) -> list[str]:
 
 
 @dataclass
-class Page(InputPartition):
+class Pages(InputPartition):
+    """The pages of a domain from an offset up to another."""
+
     domain: str
-    offset: int
+    first: int
+    end: int
 
 
 class PagedReader(DataSourceReader):
@@ -85,24 +90,27 @@ class PagedReader(DataSourceReader):
             elif not (isinstance(f, IsNotNull) and f.attribute in (("domain",), ("pos",))):
                 yield f
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         """The first page of each domain tells how many there are."""
         if self.domains is None and self.path.startswith("http"):
             raise ValueError("name the domains of a remote catalog, by a filter or the option domain")
         pages = []
         for domain in sorted(domains_of(self.path) if self.domains is None else self.domains):
             total = get_json(self.path, domain, 0, self.size, self.token)["paging"]["total"]
-            pages += [Page(domain, at) for at in range(self.least // self.size * self.size, min(total, self.most + 1), self.size)]
+            first, end = self.least // self.size * self.size, min(total, self.most + 1)
+            run = self.size * max(1, -(-(end - first) // (self.size * RUNS)))
+            pages += [Pages(domain, at, min(at + run, end)) for at in range(first, end, run)]
         return pages
 
-    def read(self, page: Page | None) -> Iterator[tuple]:
-        if page is None:  # no partitions at all
+    def read(self, pages: Pages | None) -> Iterator[tuple]:
+        if pages is None:  # no partitions at all
             return
-        answer = get_json(self.path, page.domain, page.offset, self.size, self.token)
-        for pos, x in enumerate(answer["results"], page.offset):
-            if self.least <= pos <= self.most:
-                price = x.get("price")
-                yield page.domain, pos, x.get("id"), x.get("title"), None if price is None else float(price), x.get("currency_id"), answer["paging"]["total"]
+        for offset in range(pages.first, pages.end, self.size):
+            answer = get_json(self.path, pages.domain, offset, self.size, self.token)
+            for pos, x in enumerate(answer["results"], offset):
+                if self.least <= pos <= self.most:
+                    price = x.get("price")
+                    yield pages.domain, pos, x.get("id"), x.get("title"), None if price is None else float(price), x.get("currency_id"), answer["paging"]["total"]
 
 
 class PagedCatalog(DataSource):
