@@ -147,9 +147,10 @@ def list_rows(ranked: DataFrame, sort: str = "relevance") -> DataFrame:
 
 def option_counts(offers: DataFrame, variants: DataFrame) -> DataFrame:
     """(id, options, variants): the larger of a product's numbers of offers and of colour variants, and the most variants that one of its offers has."""
-    n = offers.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    per = variants.groupBy("id", "store_id").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.sum("k").alias("colors"), F.max("k").alias("variants"))
-    both = n.join(per, "id", "full_outer").na.fill(0, ["n", "colors", "variants"])
+    none = F.lit(0).cast("long")
+    n = offers.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumns({"colors": none, "variants": none})
+    per = variants.groupBy("id", "store_id").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(none.alias("n"), F.sum("k").alias("colors"), F.max("k").alias("variants"))
+    both = n.unionByName(per).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", "colors", "variants")))
     return both.select("id", F.greatest("n", "colors").alias("options"), "variants")
 
 

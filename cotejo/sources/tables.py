@@ -4,6 +4,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Lines that one task holds the distinct keys of.
+PIECE = 500_000
+
+
 class Catalog:
     """Views product, store, region, offer, review, click and view_event of a folder of tables."""
 
@@ -41,6 +45,12 @@ class Catalog:
     def offers(self) -> DataFrame:
         return self._offers(self.table("lineitem"))
 
+    @property
+    def offer_keys(self) -> DataFrame:
+        """(id, store_id) of offers, dealt out by id in pieces of about PIECE lines."""
+        lines = self.table("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("store_id"))
+        return lines.repartition(max(1, -(-lines.count() // PIECE)), "id").distinct()
+
     def offers_of(self, products: DataFrame) -> DataFrame:
         """The offers of some products only: others don't come to be sorted for their newest."""
         return self._offers(self.table("lineitem").join(products.select(F.col("id").alias("l_partkey")), "l_partkey", "left_semi"))
