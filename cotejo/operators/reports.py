@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions import pricing, text
-from cotejo.operators.ordering import ranked
+from cotejo.operators.ordering import ranked, sorted_join
 
 CAP, RELATED = 100, 4
 
@@ -51,7 +51,7 @@ def product_json_ld(products: DataFrame, offers: DataFrame) -> DataFrame:
     rating = F.when(F.col("reviews") > 0, F.struct(F.lit("AggregateRating").alias("@type"), F.bround(F.col("points") / F.col("reviews"), 1).alias("ratingValue"), F.col("reviews").alias("reviewCount")))
     group = F.struct(F.lit("AggregateOffer").alias("@type"), F.lit("MXN").alias("priceCurrency"), F.col("low").alias("lowPrice"), F.col("high").alias("highPrice"), F.col("n").alias("offerCount"), F.transform("list", lambda x: x["o"]).alias("offers"))
     product = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), F.col("name"), F.struct(F.lit("Brand").alias("@type"), F.col("brand").alias("name")).alias("brand"), group.alias("offers"), rating.alias("aggregateRating"))
-    return products.join(per, "id").select("id", F.to_json(product).alias("json_ld"))
+    return sorted_join(products, per, "id").select("id", F.to_json(product).alias("json_ld"))
 
 
 def breadcrumb_json_ld(items: Column) -> Column:
@@ -105,7 +105,7 @@ def product_pages(products: DataFrame, offers: DataFrame, json_ld: DataFrame, ba
         F.lit(f'">\n<link rel="canonical" href="{base}/producto/'), F.col("id").cast("string"), F.lit('/">\n<script type="application/ld+json">'), F.replace("json_ld", F.lit("<"), F.lit("\\u003c")),
         F.lit("</script></head>\n<body><nav>"), crumbs, F.lit("</nav><h1>"), title, F.lit("</h1><p>"), text.escape_html(F.col("brand")), F.lit("</p>\n<table>\n"), F.col("rows"), F.lit("\n</table></body></html>\n"),
     )
-    return products.join(rows, "id").join(json_ld, "id").select(F.concat(F.lit("producto/"), F.col("id").cast("string"), F.lit("/index.html")).alias("name"), body.alias("body"))
+    return sorted_join(sorted_join(products, rows, "id"), json_ld, "id").select(F.concat(F.lit("producto/"), F.col("id").cast("string"), F.lit("/index.html")).alias("name"), body.alias("body"))
 
 
 #: Addresses that one file of a site map may hold, and files that its index may.

@@ -497,6 +497,30 @@ def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
         assert there() == before and not (tmp_path / "out").exists()
 
 
+def test_names_of_files_are_a_table(spark, tmp_path):
+    """The driver gets no message for each file, and files are read again without a list of them."""
+    path = "file://" + str(tmp_path / "site")
+    rows = spark.range(300).select(F.format_string("p/%d/x.html", "id").alias("name"), F.concat(F.lit("ñ "), "id").alias("body"))
+    names = files.put_files(rows.repartition(3), path)
+    assert names.count() == 300 and not (tmp_path / "site/_staging").exists()
+    assert {tuple(r) for r in files.read_files(names, path).collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_many_pages_are_read_in_runs(spark, tmp_path):
+    """Partitions don't grow with the pages; all rows of all pages are there."""
+    pages_of(spark, tmp_path / "c", n=2 * remote.RUNS + 51, size=1)
+    rows = spark.read.format("paged_catalog").option("path", "file://" + str(tmp_path / "c")).option("page_size", "1").load()
+    assert rows.rdd.getNumPartitions() <= remote.RUNS
+    assert sorted(r["pos"] for r in rows.collect()) == list(range(2 * remote.RUNS + 51))
+
+
+def test_options_are_counted_without_sorting(spark):
+    from cotejo.plans.queries import QUERIES
+
+    plan = QUERIES["product_options"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "Join" not in plan
+
+
 def test_unknown_stores_are_errors(spark):
     rows, stores = spark.createDataFrame([(1, 1), (1, 2)], "id int, store_id int"), spark.createDataFrame([(1, "one")], "store_id int, store string")
     assert offers.with_store(rows.where("store_id = 1"), stores).collect()[0]["store"] == "one"
