@@ -18,8 +18,10 @@ _COMPARED = ("ram_gb", "storage_gb", "screen_in")
 _SIGN = ("source", *_COMPARED)
 #: Rows (or pairs) of a brand that one task walks through; larger brands go in rounds of joins.
 WALK = 20_000
-#: Rows of a brand on either side of a comparison.
+#: Items of a brand on either side of a comparison.
 BLOCK = 2_000
+#: Comparisons of two blocks that one task makes, one after the other, where there are many.
+MEETINGS = 16
 #: Scores have four places, so a bound is safe within half of the last.
 _PLACE = 0.0001
 
@@ -225,13 +227,14 @@ class Names:
 
 
 def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float) -> tuple[list, list, int]:
-    """Rows (pos, key, source, normal, words, free, specifications) of a brand -> (pairs of free rows that score threshold or more, earlier one first; each free row's best
-    candidate in the other block; how many pairs of names had their characters compared). right None: the rows of left among each other.
+    """Items (pos and key of the first row, upto: key of the last one (missing: of one row), source, normal, words, free, specifications) of a brand -> (pairs (pos, other pos, score
+    where the first's row comes first, score where the other's does) of free items of which one score reaches the threshold; each free item's candidates of the other block as
+    (pos, [(other pos, other key, both scores), ...]); how many pairs of names had their characters compared). right None: the items of left among each other.
 
-    Names are compared once, however many rows have them. An upper bound, of words and letters, stands before every comparison: pairs are compared if it
+    Names are compared once, however many items have them. An upper bound, of words and letters, stands before every comparison: pairs are compared if it
     reaches the threshold, candidates in order of their bounds until none left can win.
     """
-    blocks = [_items(b) for b in ([left] if right is None else [left, right])]
+    blocks = [_columns(b) for b in ([left] if right is None else [left, right])]
     ratios: dict[tuple[str, str], float] = {}
 
     def score(a: str, b: str, shared: float, factor: float) -> float:
@@ -243,11 +246,11 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: fl
     for mine, (names, items, sign) in enumerate(blocks):
         other_names, others, other_sign = blocks[-1 - mine]
         source, specs = np.array([s[0] for s in other_sign], object), [np.array([np.nan if s[k] is None else s[k] for s in other_sign], float) for k in range(1, len(_SIGN))]
-        free = np.array([any(f for _, _, f in rows) for _, rows in others], bool)
-        of_name = np.array([other_names.number[n] for n, _ in others])
+        free = np.array([o[4] for o in others], bool)
+        of_name = np.array([other_names.number[o[0]] for o in others])
         cache: dict[str, tuple] = {}
-        for p, ((name, rows), own) in enumerate(zip(items, sign)):
-            if not any(f for _, _, f in rows):
+        for p, ((name, pos, key, upto, mine_free), own) in enumerate(zip(items, sign)):
+            if not mine_free:
                 continue
             if name not in cache:
                 at = names.number[name]
@@ -261,79 +264,121 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: fl
             bound = (0.5 * shared + 0.5 * most)[of_name] * factor + _PLACE
             bound[source == own[0]] = -1.0
 
-            def both_ways(q: int) -> tuple[float, float]:
-                """Scores where this name, and where the other, comes first."""
-                return score(name, others[q][0], shared[of_name[q]], factor[q]), score(others[q][0], name, shared[of_name[q]], factor[q])
+            def ahead(q: int) -> float:
+                """The score where this name comes first."""
+                return score(name, others[q][0], shared[of_name[q]], factor[q])
+
+            def behind(q: int) -> float:
+                return score(others[q][0], name, shared[of_name[q]], factor[q])
 
             # Every pair of items once: of one block the later item leaves it to the earlier.
             for q in np.flatnonzero((bound >= threshold) & free) if mine == 0 else ():
-                if right is None and q < p:
-                    continue
-                ahead, behind = both_ways(q)
-                for key, pos, f in rows:
-                    for other_key, other_pos, g in others[q][1] if f else ():
-                        s = ahead if key < other_key else behind
-                        if g and s >= threshold:
-                            pairs.append((pos, other_pos, key, other_key, s) if key < other_key else (other_pos, pos, other_key, key, s))
+                if (right is not None or q > p) and max(ahead(q), behind(q)) >= threshold:
+                    pairs.append((pos, others[q][1], ahead(q), behind(q)))
             tried, sure = [], 0.0
             for q in np.argsort(-bound, kind="stable"):
                 if bound[q] < max(sure, _PLACE):
                     break
-                tried.append((q, *both_ways(q)))
-                sure = max(sure, min(tried[-1][1:]))
-            for key, pos, f in rows:
-                if f:
-                    choices = [c for q, ahead, behind in tried for c in _choices(key, others[q][1], ahead, behind)]
-                    if choices and (c := min(choices))[0] < 0:
-                        best.append((pos, c[2], -c[0], c[1]))
-    return pairs, best, len(ratios)
-
-
-def _choices(key: str, rows: list, ahead: float, behind: float) -> list[tuple[float, str, int]]:
-    """The earliest of an item's rows before and after key: (-score, key, pos)."""
-    out = [(-behind, rows[0][0], rows[0][1])] if rows[0][0] < key else []
-    after = next((r for r in rows if r[0] > key), None)
-    return out if after is None else [*out, (-ahead, after[0], after[1])]
-
-
-def _items(block: pd.DataFrame) -> tuple[Names, list[tuple[str, list]], list[tuple]]:
-    """(names, items (name, rows (key, pos, free) in order), their signs): rows of equal name and sign are one item."""
-    found: dict[tuple, list] = {}
-    words: dict[str, list] = {}
-    for name, w, sign, key, pos, free in zip(block["normal"], block["words"], _signs(block), block["key"], block["pos"], block["free"]):
-        found.setdefault((name, sign), []).append((key, pos, free))
-        words[name] = list(w)
-    return Names(list(words), list(words.values())), [(n, sorted(rows)) for (n, _), rows in found.items()], [s for _, s in found]
+                _, other, other_key, other_upto, _ = others[q]
+                # Where one item ends before the other begins, only one of the two scores is met.
+                one = ahead(q) if upto < other_key or other_upto > key else behind(q)
+                two = behind(q) if other_upto < key or other_key < upto else one
+                tried.append((other_key, other, one, two))
+                sure = max(sure, min(one, two))
+            best.append((pos, _needed(tried, sure)))
+    return pairs, [(pos, found) for pos, found in best if found], len(ratios)
+
+
+def _needed(tried: list[tuple], sure: float) -> list[tuple]:
+    """Of (key, pos, ahead, behind), as (pos, key, ahead, behind), those that can be the best for some row. Where ahead is not above behind a row's candidate is the other item's first row, so of equal scores the earliest will do."""
+    found: dict = {}
+    for key, pos, ahead, behind in sorted(tried):
+        if max(ahead, behind, 0.0) >= max(sure, _PLACE / 2):
+            found.setdefault((ahead, behind) if ahead <= behind else pos, (pos, key, ahead, behind))
+    return list(found.values())
+
+
+def _columns(block: pd.DataFrame) -> tuple[Names, list[tuple], list[tuple]]:
+    """(names, items (name, pos, key, upto, free), their signs)."""
+    words = {name: list(w) for name, w in zip(block["normal"], block["words"])}
+    upto = block["upto" if "upto" in block else "key"]
+    return Names(list(words), list(words.values())), list(zip(block["normal"], block["pos"].tolist(), block["key"], upto, block["free"])), _signs(block)
+
+
+def as_items(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows as item, pos, key, free; items): rows of equal name and sign score alike, so they are one item, which has the number of its first row. Items: brand_key, normal, sign, pos and key of the first row, upto, whether a row is free."""
+    by = ["brand_key", "normal", *_SIGN]
+    keyed = rows.select(*by, "pos", _key().alias("key"), "free")
+    per = keyed.groupBy(*by).agg(F.min(F.struct("key", "pos")).alias("first"), F.max("key").alias("upto"), F.bool_or("free").alias("free"))
+    items = durable(per.select(*by, "first.pos", "first.key", "upto", "free"), "items")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    numbers = items.select(F.col("pos").alias("item"), *(F.col(c).alias(f"of_{c}") for c in by))
+    return durable(keyed.join(numbers.hint("merge"), same).select("item", "pos", "key", "free"), "of-items"), items
 
 
-_SCORED = "pos long, other long, key string, other_key string, score double, best boolean"
+_SCORED = "brand_key string, item long, other long, other_key string, ahead double, behind double, best boolean"
 
 
-def scored(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of free rows (pos, normal, brand_key, ord, source, specifications, free) that score threshold or more (best false), and each free row's best candidate in each block it met (best true).
+def scored(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Of as_items: pairs of free items of which one score reaches threshold (best false), and what can be the best candidate of a free item's row in each block it met (best true); ahead is the score where the item's row comes before the other's.
 
-    A brand is dealt out in blocks by hash of the row, and every two blocks are compared by a task, so no task holds more than two blocks.
+    The items of a brand are dealt out in blocks by hash, and every two blocks are compared by a task, so no task holds more than two blocks, however many rows they stand for.
     """
-    cut = rows.groupBy("brand_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    cut = items.groupBy("brand_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     one = F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int")
-    dealt = rows.join(cut, "brand_key").withColumn("mine", one).withColumn("words", text.content_tokens(F.col("normal"))).withColumn("key", _key())
-    dealt = dealt.select("brand_key", "pos", "key", "normal", "words", "free", *_SIGN, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    dealt = sorted_join(items, cut, "brand_key").withColumn("mine", one).withColumn("words", text.content_tokens(F.col("normal")))
+    dealt = dealt.select("brand_key", "pos", "key", "upto", "normal", "words", "free", *_SIGN, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
     dealt = dealt.withColumns({"i": F.least("mine", "met"), "j": F.greatest("mine", "met")})
+    # Few bytes, much work: a number of parts that Spark leaves as it is, and by the two blocks, lest a brand's be one task's.
+    meetings = cut.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(meetings) // MEETINGS)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
         left, right = (group, None) if i == j else (group[group["mine"] == i], group[group["mine"] == j])
         pairs, best, _ = compare_blocks(left, right, threshold) if len(left) and (right is None or len(right)) else ([], [], 0)
-        out = [(*p, False) for p in pairs] + [(pos, other, "", other_key, s, True) for pos, other, s, other_key in best]
-        return pd.DataFrame(out, columns=["pos", "other", "key", "other_key", "score", "best"])
-
-    return dealt.groupBy("brand_key", "i", "j").applyInPandas(run, _SCORED)
+        brand = group["brand_key"].iloc[0]
+        out = [(brand, pos, other, "", *scores, False) for pos, other, *scores in pairs] + [(brand, pos, *candidate, True) for pos, found in best for candidate in found]
+        return pd.DataFrame(out, columns=["brand_key", "item", "other", "other_key", "ahead", "behind", "best"])
+
+    return dealt.repartition(parts, "brand_key", "i", "j").groupBy("brand_key", "i", "j").applyInPandas(run, _SCORED)
+
+
+def _row_pairs(found: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(brand_key, a_pos, b_pos, a_key, b_key, score) of the free rows of scored pairs of items that score threshold or more, the earlier row first."""
+    free = rows.where("free")
+    one = free.select("item", F.struct("key", "pos").alias("x"))
+    two = free.select(F.col("item").alias("other"), F.struct("key", "pos").alias("y"))
+    met = sorted_join(sorted_join(found.where("not best").drop("best", "other_key"), one, "item"), two, "other")
+    met = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y"), "score": F.when(F.col("x") < F.col("y"), F.col("ahead")).otherwise(F.col("behind"))})
+    return met.where(F.col("score") >= threshold).select("brand_key", F.col("a.pos").alias("a_pos"), F.col("b.pos").alias("b_pos"), F.col("a.key").alias("a_key"), F.col("b.key").alias("b_key"), "score")
+
+
+def _best_candidates(found: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pos, candidate, score) of asked rows (item, pos, key): the best by score, then order, that scored names for their items."""
+    most = found.where("best").groupBy("item").agg(F.max(F.least("ahead", "behind")).alias("sure"))
+    kept = sorted_join(found.where("best"), most, "item").where(F.greatest("ahead", "behind") >= F.col("sure")).select("item", "other", "other_key", "ahead", "behind")
+    met = durable(sorted_join(asked.select("item", "pos", "key"), kept, "item").drop("item"), "candidates")
+    before = F.col("other_key") < F.col("key")
+    first = met.select("pos", F.struct((-F.when(before, F.col("behind")).otherwise(F.col("ahead"))).alias("down"), F.col("other_key").alias("key"), F.col("other").alias("pos")).alias("c"))
+    # Only where the later rows of an item score more than its first does the next one after the row count.
+    later = met.where(before & (F.col("ahead") > F.col("behind")))
+    wanted = later.select("other").distinct()
+    lines = later.select("other", "key", F.struct("pos", "ahead").alias("asks"), F.lit(None).cast("struct<key:string,pos:bigint>").alias("at"))
+    own = sorted_join(rows.select(F.col("item").alias("other"), "key", F.lit(None).cast("struct<pos:bigint,ahead:double>").alias("asks"), F.struct("key", "pos").alias("at")), wanted, "other", "left_semi")
+    upwards = Window.partitionBy("other").orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = lines.unionByName(own).withColumn("next", F.last("at", ignorenulls=True).over(upwards)).where("asks is not null and next is not null")
+    next_ = after.select("asks.pos", F.struct((-F.col("asks.ahead")).alias("down"), F.col("next.key").alias("key"), F.col("next.pos").alias("pos")).alias("c"))
+    best = first.unionByName(next_).groupBy("pos").agg(F.min("c").alias("c")).where("c.down < 0")
+    return best.select("pos", F.col("c.pos").alias("candidate"), (-F.col("c.down")).alias("score"))
 
 
 def likeness(rows: DataFrame) -> DataFrame:
     """(a_pos, b_pos, score) of all pairs of a brand from different sources that score above 0, the earlier offer first: half the share of common words, half the likeness of characters, less if specifications contradict."""
-    found = scored(rows.withColumn("free", F.lit(True)), _PLACE).where("not best")
-    return found.select(F.col("pos").alias("a_pos"), F.col("other").alias("b_pos"), "score")
+    of_items, items = as_items(rows.withColumn("free", F.lit(True)))
+    return _row_pairs(scored(items, _PLACE), of_items, _PLACE).select("a_pos", "b_pos", "score")
 
 
 def greedy_pairs(scores: DataFrame) -> DataFrame:
@@ -369,17 +414,16 @@ def greedy_pairs(scores: DataFrame) -> DataFrame:
 def likeness_steps(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs (a_pos, b_pos, score) taken greedily by score, then order; best (pos, candidate, score) of each offer that is in no pair).
 
-    Pairs of equal names come first, all in one step; what is left is compared in blocks, once for both results.
+    Pairs of equal names come first, all in one step; of what is left, items (rows of equal name and sign) are compared in blocks, once for both results.
     """
     first = durable(equal_names(rows).where(F.col("score") >= threshold), "equal-names")
     met = first.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"), F.lit(False).alias("free"))
-    marked = sorted_join(rows, met, "pos", "left").withColumn("free", F.coalesce("free", F.lit(True)))
-    out = durable(sorted_join(scored(marked, threshold), rows.select("pos", "brand_key"), "pos"), "scored")
-    pairs = out.where("not best").select("brand_key", F.col("pos").alias("a_pos"), F.col("other").alias("b_pos"), F.col("key").alias("a_key"), F.col("other_key").alias("b_key"), "score")
+    of_items, items = as_items(sorted_join(rows, met, "pos", "left").withColumn("free", F.coalesce("free", F.lit(True))))
+    out = durable(scored(items, threshold), "scored")
+    pairs = durable(_row_pairs(out, of_items, threshold), "pairs")
     found = durable(first.unionByName(greedy_pairs(pairs)), "by-likeness")
-    best = out.where("best").groupBy("pos").agg(F.min_by(F.struct(F.col("other").alias("candidate"), "score"), F.struct(-F.col("score"), F.col("other_key"))).alias("b"))
     paired = found.select(F.explode(F.array("a_pos", "b_pos")).alias("pos"))
-    return found, sorted_join(best.select("pos", "b.candidate", "b.score"), paired, "pos", "left_anti")
+    return found, _best_candidates(out, of_items, sorted_join(of_items, paired, "pos", "left_anti"))
 
 
 def _similar_groups(found: DataFrame) -> DataFrame:

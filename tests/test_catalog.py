@@ -235,6 +235,36 @@ def test_few_names_are_compared():
     assert len(large[1]) == 800 and large[2] < 6 * small[2] and large[2] < 800 * 800 / 2 / 20
 
 
+def test_rows_of_equal_name_and_sign_are_compared_as_one(spark):
+    """Copies don't add to the comparisons, and a brand's blocks are dealt out to several tasks."""
+    rows = [(i, f"s{i % 2}", f"S{i}", f"pot {'abcdefgh'[i % 8]} {128 + i % 8} GB", "Uno", None) for i in range(20_000)]
+    of_items, items = matching.as_items(matching.prepare(spark.createDataFrame(rows, OFFER)).withColumn("free", F.lit(True)))
+    assert of_items.count() == 20_000 and items.count() == 8
+    # All names of the other source contradict: each has candidates, none a pair.
+    found = matching.scored(items, 0.6, 2)
+    assert found.where("not best").isEmpty() and found.select("item").distinct().count() == 8
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize(("seed", "later"), [(1, True), (3, False), (4, False)])
+def test_candidates_among_copies_equal_a_plain_walk(spark, seed, later):
+    """Names are alike in one order more than in the other, so a later row of a name can be the better candidate."""
+    import random
+
+    r = random.Random(seed)
+    names = ["".join(r.choice("abc") for _ in range(r.randint(3, 9))) for _ in range(6)]
+    kinds = [(f"s{r.randrange(3)}", f"{n} {128 + i} GB") for i, n in enumerate(names)]
+    rows = [(i, *(kind := r.choice(kinds))[:1], f"S{i}", kind[1], "Uno", None) for i in range(80)]
+    offers = spark.createDataFrame(rows, OFFER)
+    _, review = matching.match_offers(offers)
+    want, best = plain_matches(matching.prepare(offers).collect(), matching.THRESHOLD)
+    assert not want and {g["pos"]: (g["candidate"], g["score"]) for g in review.collect()} == best
+    first = {}
+    for row in rows:
+        first.setdefault(row[3], row[0])
+    assert any(c is not None and c not in first.values() for c, _ in best.values()) == later
+
+
 def test_report_of_a_run(spark):
     offers = feed(spark, "abckl")
     groups, review = matching.match_offers(offers, 0.85)
