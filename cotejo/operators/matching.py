@@ -457,11 +457,13 @@ def match_offers(offers: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
 
 def report(offers: DataFrame, groups: DataFrame, review: DataFrame, n_groups: int = 10, n_pending: int = 5) -> DataFrame:
     """(section, place, text) of a run's report: its first groups over sources, in order of their first offers, and its first pending questions."""
-    named = groups.join(offers.select("pos", "source", "name"), "pos")
-    said = F.concat("source", F.lit(": "), "name")
-    per = named.groupBy("group_key", "matched_by", "confidence").agg(F.min("pos").alias("first"), F.count_distinct("source").alias("sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]), " | ").alias("offers"))
-    top = per.where("sources > 1").orderBy("first").limit(n_groups)
-    shown = top.select(F.lit("group").alias("section"), "first", F.format_string("[%s, %.2f] %s", "matched_by", "confidence", "offers").alias("text"))
+    per = sorted_join(groups, offers.select("pos", "source"), "pos").groupBy("group_key").agg(F.min("pos").alias("first"), F.min("source").alias("lo"), F.max("source").alias("hi"))
+    keys = [r[0] for r in per.where("lo <> hi").orderBy("first").limit(n_groups).select("group_key").collect()]
+    # The names are looked up of these few groups' offers only.
+    named = sorted_join(groups.where(F.col("group_key").isin(keys)), offers.select("pos", "source", "name"), "pos")
+    said = F.struct("pos", F.concat("source", F.lit(": "), "name").alias("t"))
+    listed = named.groupBy("group_key", "matched_by", "confidence").agg(F.min("pos").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["t"]), " | ").alias("offers"))
+    shown = listed.select(F.lit("group").alias("section"), "first", F.format_string("[%s, %.2f] %s", "matched_by", "confidence", "offers").alias("text"))
     asked = review.where("status = 'pending'").orderBy("pos").limit(n_pending).select(F.lit("pending").alias("section"), F.col("pos").alias("first"), F.col("question").alias("text"))
     return shown.unionByName(asked).withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("first"))).select("section", "place", "text")
 

@@ -273,6 +273,19 @@ def test_report_of_a_run(spark):
     assert "Redmi 13C" in said["pending", 1] and len(said) == 3
 
 
+def test_a_report_broadcasts_nothing(spark):
+    """Neither groups nor offers pass through the driver: of all groups only the first ones' keys do. A group of one source is not shown."""
+    rows = [(i, f"s{i % 2 if i < 30 else 0}", f"S{i}", f"pot {i}", "Uno", None) for i in range(40)]
+    offers = spark.createDataFrame(rows, OFFER)
+    groups = spark.createDataFrame([(f"m:{39 - i // 2}", i, "model_specs", 0.9) for i in range(40)], "group_key string, pos long, matched_by string, confidence double")
+    review = spark.createDataFrame([(40 + i, "pending", None, 0.0, f"{i}?") for i in range(3)], "pos long, status string, candidate long, score double, question string")
+    report = matching.report(offers, groups, review, 20, 2)
+    assert broadcasts(report) == 0
+    want = [("group", k + 1, f"[model_specs, 0.90] s0: pot {2 * k} | s1: pot {2 * k + 1}") for k in range(15)] + [("pending", 1, "0?"), ("pending", 2, "1?")]
+    assert sorted(map(tuple, report.collect())) == sorted(want)
+    assert {r["place"] for r in matching.report(offers, groups, review, 2, 0).collect()} == {1, 2}
+
+
 def test_prices(spark):
     days = pricing.delivery_days(F.col("r"), F.col("m"), F.col("km"), F.col("i"), F.col("s"))
     assert values(spark, days, [(True, True, 0.0, 1, "backorder"), (False, False, 1240.0, 2, "in_stock"), (False, False, 4000.0, 2, "backorder"), (False, True, 20.0, 0, None)], "r boolean, m boolean, km double, i int, s string") == [5, 7, 10, 2]
