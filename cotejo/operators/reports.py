@@ -41,17 +41,28 @@ def category_description(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), brands.alias("brands")).withColumn("description", F.concat(text.plural(F.col("n"), "producto", "productos"), F.lit(" de "), F.col("brands")))
 
 
+def _sums() -> list[Column]:
+    """What a product's structured data tell of all its offers."""
+    return [F.min("price").alias("low"), F.max("price").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("review_count").alias("reviews"), F.sum(F.coalesce("rating", F.lit(0.0)) * F.col("review_count")).alias("points")]
+
+
+def _offer(x: Column) -> Column:
+    """A schema.org Offer; x: struct(price, stock, store)."""
+    return F.struct(F.lit("Offer").alias("@type"), x["price"].alias("price"), pricing.availability(x["stock"]).alias("availability"), x["store"].alias("seller"))
+
+
+def _json_ld(listed: Column) -> Column:
+    """A schema.org Product as JSON, over name, brand, _sums() and its offers, by store."""
+    rating = F.when(F.col("reviews") > 0, F.struct(F.lit("AggregateRating").alias("@type"), F.bround(F.col("points") / F.col("reviews"), 1).alias("ratingValue"), F.col("reviews").alias("reviewCount")))
+    group = F.struct(F.lit("AggregateOffer").alias("@type"), F.lit("MXN").alias("priceCurrency"), F.col("low").alias("lowPrice"), F.col("high").alias("highPrice"), F.col("n").alias("offerCount"), listed.alias("offers"))
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), F.col("name"), F.struct(F.lit("Brand").alias("@type"), F.col("brand").alias("name")).alias("brand"), group.alias("offers"), rating.alias("aggregateRating")))
+
+
 def product_json_ld(products: DataFrame, offers: DataFrame) -> DataFrame:
     """A schema.org Product as JSON. Ratings only where there are reviews."""
-    one = F.struct(F.lit("Offer").alias("@type"), F.col("price"), pricing.availability(F.col("stock")).alias("availability"), F.col("store").alias("seller"))
-    per = offers.groupBy("id").agg(
-        F.min("price").alias("low"), F.max("price").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("review_count").alias("reviews"), F.sum(F.coalesce("rating", F.lit(0.0)) * F.col("review_count")).alias("points"),
-        F.array_sort(F.collect_list(F.struct("store_id", one.alias("o")))).alias("list"),
-    )
-    rating = F.when(F.col("reviews") > 0, F.struct(F.lit("AggregateRating").alias("@type"), F.bround(F.col("points") / F.col("reviews"), 1).alias("ratingValue"), F.col("reviews").alias("reviewCount")))
-    group = F.struct(F.lit("AggregateOffer").alias("@type"), F.lit("MXN").alias("priceCurrency"), F.col("low").alias("lowPrice"), F.col("high").alias("highPrice"), F.col("n").alias("offerCount"), F.transform("list", lambda x: x["o"]).alias("offers"))
-    product = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), F.col("name"), F.struct(F.lit("Brand").alias("@type"), F.col("brand").alias("name")).alias("brand"), group.alias("offers"), rating.alias("aggregateRating"))
-    return sorted_join(products, per, "id").select("id", F.to_json(product).alias("json_ld"))
+    one = _offer(F.struct("price", "stock", "store"))
+    per = offers.groupBy("id").agg(*_sums(), F.array_sort(F.collect_list(F.struct("store_id", one.alias("o")))).alias("list"))
+    return sorted_join(products, per, "id").select("id", _json_ld(F.transform("list", lambda x: x["o"])).alias("json_ld"))
 
 
 def breadcrumb_json_ld(items: Column) -> Column:
@@ -88,24 +99,28 @@ def in_categories(products: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.withColumn("subcategory_name", sub).drop("subcategories")
 
 
-def product_pages(products: DataFrame, offers: DataFrame, json_ld: DataFrame, base: str = "https://example.org") -> DataFrame:
-    """(name, body): the report page of each product, as the file producto/<id>/index.html.
+def product_pages(products: DataFrame, offers: DataFrame, base: str = "https://example.org") -> DataFrame:
+    """(name, body): the report page of each product with offers, as the file producto/<id>/index.html.
 
-    products: (id, name, brand, category_name, subcategory_name, min_price, offer_count); offers: (id, price, store, shipping, stock, rating, review_count), all
-    listed by price; json_ld: (id, json_ld). Everything that comes from data is escaped; in the JSON block `<` is written as a code.
+    products: (id, name, brand, category_name, subcategory_name); offers: (id, store_id, price, store, shipping, stock, rating, review_count), all
+    listed by price, with their lowest price, number and structured data. A product's offers are gathered once; where they lie dealt out by id, nothing is shuffled.
+    Everything that comes from data is escaped; in the JSON block `<` is written as a code.
     """
     cell = lambda x: F.concat(F.lit("<td>"), text.escape_html(x), F.lit("</td>"))
     rated = F.when(F.col("rating").isNull(), "—").otherwise(F.concat(F.col("rating").cast("string"), F.lit(" / 5 ("), F.col("review_count").cast("string"), F.lit(")")))
     row = F.concat(F.lit('<tr class="offer">'), cell(F.col("store")), cell(pricing.money(F.col("price"))), cell(F.coalesce("shipping", F.lit("—"))), cell(pricing.stock_label(F.col("stock"))), cell(rated), F.lit("</tr>"))
-    rows = offers.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("price", "store", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
-    title, about = text.escape_html(F.col("name")), F.concat(text.escape_html(F.col("name")), F.lit(": ofertas en "), text.plural(F.col("offer_count"), "tienda", "tiendas"), F.lit(" desde "), pricing.money(F.col("min_price")))
+    per = offers.groupBy("id").agg(*_sums(), F.collect_list(F.struct("price", "store", row.alias("row"), "store_id", "stock")).alias("list"))
+    rows = F.array_join(F.transform(F.array_sort("list"), lambda x: x["row"]), "\n")
+    by_store = F.array_sort(F.transform("list", lambda x: F.struct(x["store_id"].alias("store_id"), _offer(x).alias("o"))))
+    json_ld = _json_ld(F.transform(by_store, lambda x: x["o"]))
+    title, about = text.escape_html(F.col("name")), F.concat(text.escape_html(F.col("name")), F.lit(": ofertas en "), text.plural(F.col("n"), "tienda", "tiendas"), F.lit(" desde "), pricing.money(F.col("low")))
     crumbs = F.concat_ws(" › ", *(text.escape_html(F.col(c)) for c in ("category_name", "subcategory_name", "name")))
     body = F.concat(
         F.lit('<!doctype html>\n<html lang="es"><head><meta charset="utf-8">\n<title>'), title, F.lit('</title>\n<meta name="description" content="'), about,
-        F.lit(f'">\n<link rel="canonical" href="{base}/producto/'), F.col("id").cast("string"), F.lit('/">\n<script type="application/ld+json">'), F.replace("json_ld", F.lit("<"), F.lit("\\u003c")),
-        F.lit("</script></head>\n<body><nav>"), crumbs, F.lit("</nav><h1>"), title, F.lit("</h1><p>"), text.escape_html(F.col("brand")), F.lit("</p>\n<table>\n"), F.col("rows"), F.lit("\n</table></body></html>\n"),
+        F.lit(f'">\n<link rel="canonical" href="{base}/producto/'), F.col("id").cast("string"), F.lit('/">\n<script type="application/ld+json">'), F.replace(json_ld, F.lit("<"), F.lit("\\u003c")),
+        F.lit("</script></head>\n<body><nav>"), crumbs, F.lit("</nav><h1>"), title, F.lit("</h1><p>"), text.escape_html(F.col("brand")), F.lit("</p>\n<table>\n"), rows, F.lit("\n</table></body></html>\n"),
     )
-    return sorted_join(sorted_join(products, rows, "id"), json_ld, "id").select(F.concat(F.lit("producto/"), F.col("id").cast("string"), F.lit("/index.html")).alias("name"), body.alias("body"))
+    return sorted_join(products, per, "id").select(F.concat(F.lit("producto/"), F.col("id").cast("string"), F.lit("/index.html")).alias("name"), body.alias("body"))
 
 
 #: Addresses that one file of a site map may hold, and files that its index may.

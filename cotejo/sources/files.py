@@ -48,6 +48,15 @@ def _stage(path: str, run: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
         yield pd.DataFrame({"name": block["name"], "staged": staged})
 
 
+def _moved(where: fs.FileSystem, staged: str, to: str) -> None:
+    try:
+        where.move(staged, to)
+    except FileNotFoundError:
+        # An earlier attempt of this task has moved it.
+        if where.get_file_info(to).type != fs.FileType.File:
+            raise
+
+
 def _place(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     where, base = _at(path)
     there = None
@@ -57,12 +66,7 @@ def _place(path: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             if folder != there:
                 where.create_dir(folder, recursive=True)
                 there = folder
-            try:
-                where.move(staged, f"{base}/{name}")
-            except FileNotFoundError:
-                # An earlier attempt of this task has moved it.
-                if where.get_file_info(f"{base}/{name}").type != fs.FileType.File:
-                    raise
+            _moved(where, staged, f"{base}/{name}")
         yield pd.DataFrame({"n": [len(block)]})
 
 

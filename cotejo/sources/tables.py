@@ -51,6 +51,12 @@ class Catalog:
         lines = self.table("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("store_id"))
         return lines.repartition(max(1, -(-lines.count() // PIECE)), "id").distinct()
 
+    @property
+    def dealt_offers(self) -> DataFrame:
+        """The offers, dealt out by id in pieces of about PIECE lines: the newest are found, and a product's gathered, where they lie."""
+        lines = self.table("lineitem")
+        return self._offers(lines.repartition(max(self.spark.sparkContext.defaultParallelism, -(-lines.count() // PIECE)), "l_partkey"))
+
     def offers_of(self, products: DataFrame) -> DataFrame:
         """The offers of some products only: others don't come to be sorted for their newest."""
         return self._offers(self.table("lineitem").join(products.select(F.col("id").alias("l_partkey")), "l_partkey", "left_semi"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cotejo.functions import pricing, text
 from cotejo.operators import catalog, matching, offers, popularity, relevance, reports, variants
 from cotejo.sources.catalog import CatalogDocument, ListQuery, read_brands, read_feed, read_feeds, read_state
-from cotejo.sources import files, remote
+from cotejo.sources import files, packages, remote
 from cotejo.streaming import counters, stateful
 
 OFFER = "pos long, source string, source_id string, name string, brand string, identifier string"
@@ -549,6 +549,48 @@ def test_names_of_files_are_a_table(spark, tmp_path):
     assert {tuple(r) for r in files.read_files(names, path).collect()} == {tuple(r) for r in rows.collect()}
 
 
+def test_packages_are_written_whole_or_not_at_all(spark, tmp_path):
+    import zipfile
+
+    path = "file://" + str(tmp_path / "site")
+    rows = spark.range(300).select(F.format_string("p/%d/ñ.html", "id").alias("name"), F.when(F.col("id") > 0, F.concat(F.lit("ñ "), "id")).alias("body"))
+    names = packages.put_packages(rows.repartition(3), path, most=2_000)
+    there = lambda: sorted(str(p.relative_to(tmp_path / "site")) for p in (tmp_path / "site").rglob("*"))
+    before = there()
+    assert 3 < len(before) < 100 and all(n.endswith(".zip") for n in before)
+    want = {(r["name"], r["body"] or "") for r in rows.collect()}
+    held = [zipfile.ZipFile(tmp_path / "site" / n) for n in before]
+    assert sorted((n, z.read(n).decode()) for z in held for n in z.namelist()) == sorted(want)
+    assert {tuple(r) for r in packages.read_packages(names, path).collect()} == want
+    some = packages.read_packages(names.where("name < 'p/2'"), path)
+    assert {tuple(r) for r in some.collect()} == {w for w in want if w[0] < "p/2"}
+    bad = rows.withColumn("body", F.when(F.col("name") == "p/39/ñ.html", F.raise_error(F.lit("no page"))).otherwise(F.col("body")))
+    odd = [rows.withColumn("name", F.lit(n)) for n in ("../out", "a/", "a\0b", None)]
+    for broken in (bad, rows.unionByName(rows), *odd):
+        with pytest.raises(Exception):
+            packages.put_packages(broken, path)
+        assert there() == before
+    none = str(tmp_path / "none")
+    assert packages.read_packages(packages.put_packages(rows.where("false"), "file://" + none), "file://" + none).count() == 0
+
+
+def test_report_pages_are_few_files_from_one_shuffle(spark):
+    """Pages lie in packages, not in a file and a folder each, and their lines are read and dealt out once."""
+    from pathlib import Path
+
+    from cotejo.plans.queries import QUERIES
+    from cotejo.plans.sites import product_files
+    from cotejo.sources.tables import Catalog
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "cotejo"
+    before = set(shared.glob("site-*"))
+    rows = QUERIES["report_pages"](spark, "/root/testdata/sf0.001")
+    (folder,) = set(shared.glob("site-*")) - before
+    assert rows.count() == 200 and len(list(folder.rglob("*"))) <= 2 * spark.sparkContext.defaultParallelism
+    plan = product_files(Catalog(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning(l_partkey") == 1 and plan.count("Exchange hashpartitioning(l_suppkey") == 0
+
+
 def test_many_pages_are_read_in_runs(spark, tmp_path):
     """Partitions don't grow with the pages; all rows of all pages are there."""
     pages_of(spark, tmp_path / "c", n=2 * remote.RUNS + 51, size=1)
